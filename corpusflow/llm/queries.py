@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusflow.llm import decontaminate
+from corpusflow.llm import decontaminate, licenses, lines, url_rules
 from corpusflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +17,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("clean_text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_decontaminate,)}
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_recurring(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_decontaminate, op5_licenses, op8_line_templates, op10_url_rules)}
 
 OP4 = r"""
 WITH i0 AS (
@@ -35,4 +49,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGI
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": OP4}
+def _op5() -> str:
+    """Every statement against every template, without the size bounds and anchor words."""
+    known = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{g}'" for g in licenses.grams_of(text))) for name, text in licenses.TEMPLATES)
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {known}) v(name, g)),
+s AS (SELECT doc_id, row_number() OVER () k, u FROM (
+  SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?])[ \t-\r]+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), '\n')) u FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, k, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM s),
+b AS (SELECT doc_id, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) g FROM w WHERE len(w) BETWEEN 2 AND 200),
+m AS (SELECT doc_id, k, name, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) dice FROM b, t WHERE list_has_any(b.g, t.g)),
+top AS (SELECT doc_id, k, name, dice FROM m WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY k ORDER BY dice DESC, name) = 1),
+d AS (SELECT doc_id, count(*) n, string_agg(DISTINCT name, ',' ORDER BY name) names, first(name ORDER BY dice DESC, name) best, max(dice) dice FROM top GROUP BY 1)
+SELECT x.doc_id, CAST(coalesce(n, 0) AS BIGINT) n_statements, names licenses, best best_license, dice best_dice FROM documents x LEFT JOIN d ON x.doc_id = d.doc_id
+"""
+
+
+OP8 = r"""
+WITH l0 AS (SELECT doc_id, k, hash(text) AS dkey, string_split(text, chr(10)) a, unnest(range(1, len(string_split(text, chr(10))) + 1)) n
+            FROM (SELECT doc_id, text, row_number() OVER () k FROM documents WHERE text IS NOT NULL)),
+l1 AS (SELECT doc_id, k, n, trim(regexp_replace(a[n], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') f,
+              coalesce(CASE WHEN n > 1 THEN a[n - 1] END, '') || chr(10) || coalesce(a[n + 1], '') c FROM l0),
+l2 AS (SELECT doc_id, k, n, c, list_transform(string_split(f, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) w FROM l1),
+l AS (SELECT doc_id, k, n, c, w, array_to_string(w, ' ') m, len(w) || '|' || array_to_string(w[1:3], ' ') leaf FROM l2 WHERE len(w) >= 3),
+hot AS (SELECT leaf FROM l GROUP BY 1 HAVING count(DISTINCT c) >= 10),
+inl AS (SELECT l.* FROM l JOIN hot USING (leaf)),
+top AS (SELECT leaf, string_split(m, ' ') t FROM (SELECT leaf, m, count(DISTINCT c) v FROM inl GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY v DESC, m) = 1),
+t AS (SELECT doc_id, k, n, c, CASE WHEN list_sum(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] = t[i] THEN 1 ELSE 0 END)) >= 0.75 * len(w)
+             THEN leaf ELSE leaf || '||' || m END tpl FROM inl JOIN top USING (leaf)),
+rec AS (SELECT tpl FROM t GROUP BY 1 HAVING count(DISTINCT c) >= 10),
+gone AS (SELECT k, n FROM (SELECT k, n, row_number() OVER (PARTITION BY tpl ORDER BY doc_id, n) r FROM t JOIN rec USING (tpl)) WHERE r > 1),
+per AS (SELECT doc_id, k, count(*) n_lines, count(g.n) n_dropped, string_agg(CASE WHEN g.n IS NULL THEN x END, chr(10) ORDER BY n) kept
+        FROM (SELECT doc_id, k, n, a[n] x FROM l0) l LEFT JOIN gone g USING (k, n) GROUP BY 1, 2)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) kept_sha256 FROM per
+UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op4_decontaminate": OP4, "op5_licenses": _op5(), "op8_line_templates": OP8}
