@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontaminate, licenses, lines, url_rules
+from corpusflow.llm import decontaminate, langid, licenses, lines, packing, url_rules
 from corpusflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("clean_text")
 
@@ -26,11 +30,17 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    said = langid.predict(docs, langid.fit(docs, ~langid.held_out()))
+    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_decontaminate, op5_licenses, op8_line_templates, op10_url_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op4_decontaminate, op5_licenses, op8_line_templates, op9_langid, op10_url_rules)}
 
 OP4 = r"""
 WITH i0 AS (
