@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontaminate, langid, licenses, lines, packing, url_rules
+from corpusflow.llm import decontaminate, langid, licenses, lines, neardup, packing, url_rules
 from corpusflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_recurring(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -40,7 +44,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op4_decontaminate, op5_licenses, op8_line_templates, op9_langid, op10_url_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op4_decontaminate, op5_licenses, op6_minhash, op8_line_templates, op9_langid, op10_url_rules)}
 
 OP4 = r"""
 WITH i0 AS (
@@ -96,4 +100,19 @@ SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) kept_sha256 FROM p
 UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": OP4, "op5_licenses": _op5(), "op8_line_templates": OP8}
+OP6 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END g FROM d),
+e AS (SELECT doc_id, len(g) n, unnest(g) x FROM s),
+f AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY df, x) r FROM (SELECT doc_id, n, x, count(*) OVER (PARTITION BY x) df FROM e)),
+c AS (SELECT DISTINCT a.doc_id a, b.doc_id b FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id
+      AND a.r <= a.n - ceil(0.8 * a.n) + 1 AND b.r <= b.n - ceil(0.8 * b.n) + 1 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM c JOIN s x ON c.a = x.doc_id JOIN s y ON c.b = y.doc_id
+      WHERE 100 * len(list_intersect(x.g, y.g)) >= 80 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))),
+t AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+p AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT t.b, p.c FROM p JOIN t ON t.a = p.id AND p.c < t.b),
+m AS (SELECT id, min(c) c FROM p GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) n_shingles, c component_id, doc_id = c kept FROM s JOIN m ON m.id = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_decontaminate": OP4, "op5_licenses": _op5(), "op6_minhash": OP6, "op8_line_templates": OP8}
