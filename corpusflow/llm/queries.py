@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontaminate, langid, licenses, lines, neardup, packing, url_rules
+from corpusflow.llm import decontaminate, langid, licenses, lines, neardup, packing, substrings, url_rules
 from corpusflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("clean_text")
 
@@ -44,7 +48,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op4_decontaminate, op5_licenses, op6_minhash, op8_line_templates, op9_langid, op10_url_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_substrings, op4_decontaminate, op5_licenses, op6_minhash, op8_line_templates, op9_langid, op10_url_rules)}
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+x AS (SELECT k, p, md5(array_to_string(w[p:p + 34], ' ')) s FROM (SELECT k, w, unnest(range(1, len(w) - 33)) p FROM d WHERE len(w) >= 35)),
+r AS (SELECT k, p FROM x WHERE s IN (SELECT s FROM x GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT DISTINCT k, unnest(range(p, p + 35)) p FROM r),
+u AS (SELECT k, doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p FROM d)
+SELECT any_value(d.doc_id) doc_id, CAST(count(u.p) AS BIGINT) n_words, CAST(count(g.p) AS BIGINT) n_removed,
+       sha256(coalesce(string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY u.p), '')) kept_sha256
+FROM d LEFT JOIN u ON u.k = d.k LEFT JOIN g ON g.k = u.k AND g.p = u.p GROUP BY d.k
+"""
 
 OP4 = r"""
 WITH i0 AS (
@@ -115,4 +130,4 @@ m AS (SELECT id, min(c) c FROM p GROUP BY 1)
 SELECT doc_id, CAST(len(g) AS BIGINT) n_shingles, c component_id, doc_id = c kept FROM s JOIN m ON m.id = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": OP4, "op5_licenses": _op5(), "op6_minhash": OP6, "op8_line_templates": OP8}
+ORACLES: dict[str, str] = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op5_licenses": _op5(), "op6_minhash": OP6, "op8_line_templates": OP8}
