@@ -36,6 +36,8 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 UPPER, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words that ordinary texts hold: taken as anchors last.
+COMMON = set("a an and any are as at by can except file following for form free general in is it later met not of on or other published subject that the this to under use version with without work you your".split())
 ENDS = r"\n|(?<=[.!?])[\x20\x09-\x0D]+"
 
 
@@ -53,7 +55,7 @@ def anchors(templates: list[tuple[str, str]], least: float) -> list[str]:
         m = len(grams)
         fewest = math.ceil(m * least / (2 - least) - 1e-9)
         shared = math.ceil(least * (fewest + m) / 2 - 1e-9)
-        words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w not in out, -len(w), w))
+        words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w in COMMON, w not in out, -len(w), w))
         covered: set[str] = set()
         for word in words:
             if len(covered) >= m - shared + 1:
@@ -78,12 +80,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     text = F.col("text").cast("string")
     words = anchors([t for t in templates if grams_of(t[1])], least)
 
-    def holds(c: Column) -> Column:
-        lowered = F.translate(c, UPPER, DOWN)
-        found = F.lit(False)
-        for word in words:
-            found = found | lowered.contains(word)
-        return found
+    edge = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+    holds = lambda c: c.rlike(rf"(?i)(?<!{edge})(?:{'|'.join(words)})(?!{edge})") if words else F.lit(False)
 
     def matches(statement: Column) -> Column:
         near = F.filter(table, lambda t: (statement["n"] * (2 - least) >= t["m"] * least - 1e-9) & (t["m"] * (2 - least) >= statement["n"] * least - 1e-9))
