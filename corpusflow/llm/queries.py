@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontaminate, langid, licenses, lines, neardup, packing, substrings, url_rules
+from corpusflow.llm import decontaminate, langid, licenses, lines, neardup, packing, substrings, url_rules, vectors
 from corpusflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_recurring(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -48,7 +52,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_substrings, op4_decontaminate, op5_licenses, op6_minhash, op8_line_templates, op9_langid, op10_url_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_substrings, op4_decontaminate, op5_licenses, op6_minhash, op7_hnsw, op8_line_templates, op9_langid, op10_url_rules)}
 
 OP3 = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
@@ -94,6 +98,16 @@ SELECT x.doc_id, CAST(coalesce(n, 0) AS BIGINT) n_statements, names licenses, be
 """
 
 
+OP7 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+t AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+p AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT t.b, p.c FROM p JOIN t ON t.a = p.id AND p.c < t.b),
+m AS (SELECT id, min(c) c FROM p GROUP BY 1),
+n AS (SELECT a, count(*) k FROM t GROUP BY 1)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) n_links, c component_id, vec_id = c kept FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 OP8 = r"""
 WITH l0 AS (SELECT doc_id, k, hash(text) AS dkey, string_split(text, chr(10)) a, unnest(range(1, len(string_split(text, chr(10))) + 1)) n
             FROM (SELECT doc_id, text, row_number() OVER () k FROM documents WHERE text IS NOT NULL)),
@@ -130,4 +144,4 @@ m AS (SELECT id, min(c) c FROM p GROUP BY 1)
 SELECT doc_id, CAST(len(g) AS BIGINT) n_shingles, c component_id, doc_id = c kept FROM s JOIN m ON m.id = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op5_licenses": _op5(), "op6_minhash": OP6, "op8_line_templates": OP8}
+ORACLES: dict[str, str] = {"op3_substrings": OP3, "op4_decontaminate": OP4, "op5_licenses": _op5(), "op6_minhash": OP6, "op7_hnsw": OP7, "op8_line_templates": OP8}
