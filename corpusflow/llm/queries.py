@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontaminate, langid, licenses, lines, neardup, packing, substrings, url_rules, vectors
+from corpusflow.llm import decontaminate, langid, licenses, lines, lm, neardup, packing, substrings, url_rules, vectors
 from corpusflow.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_substrings, op4_decontaminate, op5_licenses, op6_minhash, op7_hnsw, op8_line_templates, op9_langid, op10_url_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_trie, op2_packing, op3_substrings, op4_decontaminate, op5_licenses, op6_minhash, op7_hnsw, op8_line_templates, op9_langid, op10_url_rules)}
 
 OP3 = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
