@@ -17,17 +17,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from corpusflow.llm._text import ALNUM, hash_words, mix, sliced, split_words
+from corpusflow.llm._text import ALNUM, Words, hash_words, mix, sliced, split_words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # words of unfolded texts
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,16 +157,17 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def benchmark_items(benchmark: DataFrame, max_words: int) -> list[tuple[str, list[str]]] | None:
-    """The items' words on the driver, or None when there are more words than one automaton may hold."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > 8 * max_words:
-        return None
+def matchers(benchmark: DataFrame, window: int, max_words: int) -> list[Broadcast]:
+    """An automaton for every `max_words` words or so of the benchmark; the driver holds one share of items at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares = max(1, -(-size // (6 * max_words)))
     out = []
-    for row in items.collect():
-        if words := WORD.findall(row.text):
-            out.append((row.item_id, [fold(w) for w in words]))
-    return None if sum(len(w) for _, w in out) > max_words else out
+    for k in range(shares):
+        share = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == k).collect()
+        words = [(r.item_id, [fold(w) for w in WORD.findall(r.text)]) for r in share]
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Matcher([x for x in words if x[1]], window)))
+    return out
 
 
 UPPER = {x: x + 32 for x in range(0x41, 0x5B)}
@@ -175,40 +177,63 @@ def fold(word: str) -> str:
     return word.translate(UPPER)
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
+def streamed(rows: DataFrame, benchmark: DataFrame, window: int, max_words: int, finish: Callable, schema: str | StructType) -> DataFrame:
+    """The rows (with a column text) through each automaton in turn; finish(batch, words, hits) makes the result."""
+    automata = matchers(benchmark, window, max_words)
+    names = rows.columns
+    marks = StructType([*rows.schema.fields, StructField("_mask", BinaryType()), StructField("_items", ArrayType(StringType()))])
 
+    def made(shared: Broadcast, first: bool, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = shared.value
+            for batch in sliced(batches):
+                w = split_words(batch.column("text"), ALNUM)
+                hits = matcher.hits(w.vocab.to_pylist(), w.ids, w.starts, hash_words(w.vocab)) if matcher.by_size else {}
+                if not first:
+                    for k, (mask, items) in enumerate(zip(batch.column("_mask").to_pylist(), batch.column("_items").to_pylist(), strict=True)):
+                        if mask is not None:
+                            old = np.frombuffer(mask, bool)
+                            hits[k] = (hits[k][0] | old, hits[k][1] | set(items)) if k in hits else (old, set(items))
+                if last:
+                    yield finish(batch.select(names), w, hits)
+                else:
+                    n = range(batch.num_rows)
+                    masks = pa.array([hits[k][0].tobytes() if k in hits else None for k in n], pa.binary())
+                    lists = pa.array([sorted(hits[k][1]) if k in hits else None for k in n], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*batch.select(names).columns, masks, lists], names=[*names, "_mask", "_items"])
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, max_words: int = 2_000_000) -> DataFrame:
-    """One row per document: its words, hit words and items, and the text without hit words (null where none is hit).
+        return run
 
-    The automaton goes to the executors with the tasks; its size is checked. A benchmark of more than `max_words`
-    words is matched by `scan_by_join` instead, which shuffles windows by their words.
+    for i, shared in enumerate(automata):
+        last = i == len(automata) - 1
+        rows = rows.mapInArrow(made(shared, i == 0, last), schema if last else marks)
+    return rows
+
+
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, max_words: int = 1_000_000) -> DataFrame:
+    """One row per document: its words, hit words and items.
+
+    An automaton goes to the executors with at most about `max_words` words; a larger benchmark is dealt to several,
+    which the documents pass one after another.
     """
-    items = benchmark_items(benchmark, max_words)
-    if items is None:
-        return scan_by_join(docs, benchmark, window, min_items)
-    shared = docs.sparkSession.sparkContext.broadcast(Matcher(items, window))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = shared.value
-        none = hashlib.sha256(b"").hexdigest()
-        for batch in sliced(batches):
-            w = split_words(batch.column("text"), ALNUM)
-            vocab = w.vocab.to_pylist() if matcher.by_size else []
-            found = matcher.hits(vocab, w.ids, w.starts, hash_words(w.vocab)) if matcher.by_size else {}
-            n = batch.num_rows
-            n_hit, n_items = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            shas, texts = [none] * n, [None] * n
-            for k, (mask, names) in found.items():
-                n_hit[k], n_items[k] = mask.sum(), len(names)
-                shas[k] = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-                texts[k] = without(batch.column("text")[k].as_py(), mask)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(w.counts), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array(n_items >= min_items), pa.array(texts, pa.string())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    none = hashlib.sha256(b"").hexdigest()
+
+    def finish(batch: pa.RecordBatch, w: Words, hits: dict[int, tuple[np.ndarray, set[str]]]) -> pa.RecordBatch:
+        n = batch.num_rows
+        n_hit, n_items, shas = np.zeros(n, np.int64), np.zeros(n, np.int64), [none] * n
+        for k, (mask, names) in hits.items():
+            n_hit[k], n_items[k] = mask.sum(), len(names)
+            shas[k] = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(w.counts), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array(n_items >= min_items)],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return streamed(rows, benchmark, window, max_words, finish, SCHEMA)
 
 
 def without(text: str, mask: np.ndarray) -> str:
@@ -226,39 +251,24 @@ def without(text: str, mask: np.ndarray) -> str:
     return "".join(parts)
 
 
-def scan_by_join(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
-    """The same digest for a benchmark too large for one automaton: windows meet in an equi-join (no cleaned text)."""
-
-    def words(name: str):
-        lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "").alias(name)
-
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words("iw")).where("size(iw) > 0")
-    items = items.select("item_id", F.expr(f"least({window}, size(iw))").alias("size"), "iw")
-    items = items.select("item_id", "size", F.explode(F.expr("transform(sequence(1, size(iw) - size + 1), p -> array_join(slice(iw, p, size), ' '))")).alias("seq")).distinct()
-    windows = items.groupBy("size", "seq").agg(F.collect_set("item_id").alias("items"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words("dw")).withColumn("row", F.monotonically_increasing_id())
-    sizes = F.broadcast(items.select("size").distinct())  # at most `window` rows
-    spans = rows.join(sizes, F.expr("size(dw) >= size")).select("row", "size", F.posexplode(F.expr("transform(sequence(1, size(dw) - size + 1), p -> array_join(slice(dw, p, size), ' '))")).alias("pos", "seq"))
-    met = spans.join(windows, ["size", "seq"]).groupBy("row").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(pos, pos + size - 1)"))))).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    return rows.join(met, "row", "left").select(
-        "doc_id", F.size("dw").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.expr("if(items is null, 0L, cast(size(items) as long))").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        F.expr(f"items is not null and size(items) >= {min_items}").alias("contaminated"), F.lit(None).cast("string").alias("clean_text"),
-    )
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, max_coverage: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, max_coverage: float = 0.5, max_words: int = 1_000_000) -> DataFrame:
     """The documents without benchmark spans; those with `min_items` items, or over `max_coverage` of their words hit, go.
 
     All columns of the input stay; a text changes only where a span was cut.
     """
-    flags = scan(docs, benchmark, window, min_items).where("n_hit > 0")
-    flags = flags.select(F.col("doc_id").alias("_hit_id"), F.struct("n_words", "n_hit", "contaminated", "clean_text").alias("_hit")).groupBy("_hit_id").agg(F.first("_hit").alias("_hit"))
-    bad = F.col("_hit.contaminated") | (F.col("_hit.n_hit") > max_coverage * F.col("_hit.n_words"))
-    out = docs.join(flags, docs["doc_id"] == flags["_hit_id"], "left").where(F.col("_hit").isNull() | ~bad)
-    return out.select(*[F.coalesce("_hit.clean_text", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    place = docs.columns.index("text")
+
+    def finish(batch: pa.RecordBatch, w: Words, hits: dict[int, tuple[np.ndarray, set[str]]]) -> pa.RecordBatch:
+        stays = np.ones(batch.num_rows, bool)
+        texts = batch.column("text")
+        if hits:
+            new = texts.to_pylist()
+            for k, (mask, names) in hits.items():
+                stays[k] = len(names) < min_items and mask.sum() <= max_coverage * len(mask)
+                new[k] = without(new[k], mask)
+            texts = pa.array(new, pa.string())
+        columns = [texts if i == place else x for i, x in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stays))
+
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return streamed(rows, benchmark, window, max_words, finish, rows.schema)

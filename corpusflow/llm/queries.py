@@ -26,7 +26,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("clean_text")
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ l2 AS (SELECT doc_id, k, n, c, list_transform(string_split(f, ' '), lambda x: CA
 l AS (SELECT doc_id, k, n, c, w, array_to_string(w, ' ') m, len(w) || '|' || array_to_string(w[1:3], ' ') leaf FROM l2 WHERE len(w) >= 3),
 hot AS (SELECT leaf FROM l GROUP BY 1 HAVING count(DISTINCT c) >= 10),
 inl AS (SELECT l.* FROM l JOIN hot USING (leaf)),
-top AS (SELECT leaf, string_split(m, ' ') t FROM (SELECT leaf, m, count(DISTINCT c) v FROM inl GROUP BY 1, 2)
+top AS (SELECT leaf, string_split(m, ' ') t FROM (SELECT leaf, m, count(DISTINCT c) v FROM inl GROUP BY 1, 2 HAVING count(DISTINCT c) > 1)
         QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY v DESC, m) = 1),
 t AS (SELECT doc_id, k, n, c, CASE WHEN list_sum(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] = t[i] THEN 1 ELSE 0 END)) >= 0.75 * len(w)
              THEN leaf ELSE leaf || '||' || m END tpl FROM inl JOIN top USING (leaf)),
