@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree: recurring line templates are dropped after their first occurrence.
 
 The tree has a fixed depth: a line goes down by its number of tokens and its leading tokens, fields with a digit
-masked as <*>. A leaf's most frequent masked line is its template; a line that agrees with it on at least
+masked as <*>. A leaf's most frequent masked line, if it occurs in two contexts, is its template; a line that agrees with it on at least
 `similarity` of all tokens is an instance of it, and the fields that differ are its variable fields. Any other line
 is its own template. So a template is a function of the whole corpus and not of the order in which lines arrive.
 
@@ -12,7 +12,8 @@ operators, and lines that merely belong to copied documents stay. Of a recurring
 
 Scale: leaves, templates and contexts are counted by partial aggregation on 64-bit hashes, in two steps (distinct
 pairs, then pairs per key), so a line that makes up a third of all lines is summed before it is shuffled. Only lines of
-leaves with enough contexts carry their text on. Texts are shuffled once, to meet their dropped line numbers.
+leaves that have a template and enough contexts carry their text on; those leaves are broadcast while their count is
+under a limit and joined by a shuffle beyond it. Texts are shuffled once, to meet their dropped line numbers.
 
 Edge cases: a null text stays null with no lines; an empty text has one blank line; documents with the same id and
 text are treated alike; rows without an id are passed through unchanged; an empty table gives an empty result.
@@ -23,47 +24,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.session import cut
+
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def templates(lines: DataFrame, lead: int, contexts: int, similarity: float, min_tokens: int) -> DataFrame:
-    """(key, line number, template) of lines whose template recurs; lines: doc_id, key, n, masked, context."""
-    words = F.split("masked", " ")
-    lines = lines.withColumn("size", F.size(words)).where(F.col("size") >= min_tokens)
-    lines = lines.withColumn("leaf", F.xxhash64("size", F.array_join(F.slice(words, 1, lead), " ")))
-    hot = lines.select("leaf", "context").distinct().groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf")
-    inside = lines.join(hot, "leaf")
-    # the leaf's template: the masked line with most contexts, the smallest of equals
-    ranked = inside.groupBy("leaf", "masked", "context").agg(F.lit(1).alias("one")).groupBy("leaf", "masked").agg(F.count("one").alias("times"))
-    tops = ranked.groupBy("leaf").agg(F.expr("min(struct(-times as rank, masked))").alias("top")).select("leaf", F.split("top.masked", " ").alias("top"))
-    same = F.aggregate(F.zip_with(F.split("masked", " "), F.col("top"), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    near = inside.join(tops, "leaf").withColumn("fits", same >= similarity * F.col("size"))
-    near = near.select("doc_id", "key", "n", "context", F.when(F.col("fits"), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "masked")).alias("template"))
+def hashed(docs: DataFrame, lead: int, min_tokens: int) -> DataFrame:
+    """Lines with their leaf, masked text and context as hashes: doc_id, key, n, leaf, m, context, size, masked."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("key"), F.split(text, "\n").alias("all"))
+    around = F.transform("all", lambda s, i: F.struct(
+        s.alias("line"), F.xxhash64(F.coalesce(F.get("all", i - 1), F.lit("")), F.coalesce(F.get("all", i + 1), F.lit(""))).alias("context")))
+    lines = rows.where("doc_id is not null and all is not null").select("doc_id", "key", F.posexplode(around).alias("n", "x"))
+    lines = lines.select("doc_id", "key", "n", "x.context", one_spaced(F.col("x.line")).alias("flat"))
+    lines = lines.select("doc_id", "key", "n", "context", mask(F.col("flat")).alias("masked"))
+    spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    lines = lines.withColumn("size", spaces + 1).where(F.col("size") >= min_tokens)
+    return lines.select("doc_id", "key", "n", "context", "size", F.xxhash64("size", F.substring_index("masked", " ", lead)).alias("leaf"), F.xxhash64("masked").alias("m"), "masked")
+
+
+def one_spaced(line: Column) -> Column:
+    """The line's tokens joined by one space; a regular expression only where a line needs one."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.when(odd, F.trim(F.regexp_replace(line, BLANK, " "))).otherwise(line)
+
+
+def mask(flat: Column) -> Column:
+    """Tokens with a digit masked."""
+    return F.when(flat.rlike("[0-9]"), F.array_join(F.transform(F.split(flat, " "), lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w)), " ")).otherwise(flat)
+
+
+def dropped(docs: DataFrame, lead: int, contexts: int, similarity: float, min_tokens: int, most_broadcast: int = 200_000) -> DataFrame:
+    """(doc_id, key, n) of the lines to drop."""
+    lines = hashed(docs, lead, min_tokens)
+    h = cut(lines.drop("masked", "size", "doc_id", "key", "n").distinct())
+    hot = h.select("leaf", "context").distinct().groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf")
+    times = h.groupBy("leaf", "m").agg(F.count("*").alias("times")).where("times > 1")
+    best = times.join(hot, "leaf").groupBy("leaf").agg(F.max("times").alias("times"))
+    tops = cut(times.join(best, ["leaf", "times"]).select("leaf", "m"))  # with ties
+    leaves = cut(tops.select("leaf").distinct())
+    small = leaves.count() <= most_broadcast  # 8 bytes each; beyond that the join shuffles
+    inside = cut(lines.join(F.broadcast(leaves) if small else leaves, "leaf"))
+    top = inside.join(tops, ["leaf", "m"]).groupBy("leaf").agg(F.min("masked").alias("top"))
+    same = F.aggregate(F.zip_with(F.split("masked", " "), F.split("top", " "), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    fits = (F.col("masked") == F.col("top")) | (same >= similarity * F.col("size"))
+    near = inside.join(top, "leaf").select("doc_id", "key", "n", "context", F.when(fits, F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "m")).alias("template"))
+    near = cut(near)
     recurring = near.select("template", "context").distinct().groupBy("template").count().where(F.col("count") >= contexts).select("template")
     firsts = near.groupBy("template").agg(F.min(F.struct("doc_id", "n", "key")).alias("first"))
     kept = near.join(recurring.join(firsts, "template"), "template")
     return kept.where((F.col("first.key") != F.col("key")) | (F.col("first.n") != F.col("n")) | (F.col("first.doc_id") != F.col("doc_id"))).select("doc_id", "key", "n")
 
 
-def mask(line: Column) -> Column:
-    """The line's tokens joined by one space, those with a digit masked."""
-    flat = F.trim(F.regexp_replace(line, BLANK, " "))
-    return F.when(flat.rlike("[0-9]"), F.array_join(F.transform(F.split(flat, " "), lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w)), " ")).otherwise(flat)
-
-
 def drop_recurring(
     docs: DataFrame, lead: int = 3, contexts: int = 10, similarity: float = 0.75, min_tokens: int = 3
 ) -> DataFrame:
     """All input columns with text cleaned, and the columns _n_lines and _n_dropped."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("key"), F.split(text, "\n").alias("all"))
-    rows = rows.where("doc_id is not null and all is not null")
-    around = F.transform("all", lambda s, i: F.struct(
-        s.alias("line"), F.xxhash64(F.coalesce(F.get("all", i - 1), F.lit("")), F.coalesce(F.get("all", i + 1), F.lit(""))).alias("context")))
-    lines = rows.select("doc_id", "key", F.posexplode(around).alias("n", "x")).select("doc_id", "key", "n", mask(F.col("x.line")).alias("masked"), "x.context")
-    dropped = templates(lines, lead, contexts, similarity, min_tokens).groupBy("doc_id", "key").agg(F.collect_set("n").alias("_gone"))
-    dropped = dropped.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_gone")
-    met = docs.join(dropped, (docs["doc_id"] == dropped["_id"]) & (F.xxhash64(docs["text"].cast("string")) == dropped["_key"]), "left")
+    gone = dropped(docs, lead, contexts, similarity, min_tokens).groupBy("doc_id", "key").agg(F.collect_set("n").alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_gone")
+    met = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_key"]), "left")
     stays = F.array_join(F.expr("filter(split(cast(text as string), '\\n'), (s, i) -> not array_contains(_gone, i))"), "\n")
     n_lines, n_dropped = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))), F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0))
     new = F.when(F.col("_gone").isNull(), text).otherwise(stays)
