@@ -21,15 +21,15 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm._text import PLAIN, sliced, split_words
+from corpusflow.llm._text import LOWER, PLAIN, sliced, split_words
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -110,8 +110,17 @@ def in_powers_of_two(window: list[tuple[int, int, int]], total: int) -> list[lis
     return out
 
 
+#: Symbols that the tokenizer splits from a letter or digit before them, without the apostrophe (it starts clitics).
+SYMBOLS = '!"#$%&()*+,-./:;=?@[]^_`{|}~'
+LAST = r"[0-9a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]$"
+
+
 class Encoder:
-    """Token ids of whole texts; each distinct word is encoded once."""
+    """Token ids of whole texts; each distinct word, less the symbols at its end, is encoded once.
+
+    The tokenizer lower-cases, so A-Z are folded first, except where a text may hold a special token's name. A run of
+    symbols after a letter or digit is a unit of its own to it, so the ids of a word are those of its stem and its end.
+    """
 
     def __init__(self, path: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -122,25 +131,51 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def known(self, units: list[str]) -> np.ndarray:
+        """Each unit's place in `size`; new units are encoded."""
+        new = [x for x in units if x not in self.place]
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            codes = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.size = np.append(self.size, np.fromiter(map(len, codes), np.int32, len(codes)))
+            self.flat = np.concatenate([self.flat, *codes])
+        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the first id's place of each text (one more than texts), end ids not included."""
-        w = split_words(texts, PLAIN)
-        vocab = w.vocab.to_pylist()
-        if len(self.known) > 400_000:
-            self.known = {}
-        new = [x for x in vocab if x not in self.known]
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = code.ids
-        ids = [self.known[x] for x in vocab]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64)
-        lens = size[w.ids]
-        ends = np.cumsum(lens)
-        places = np.repeat(first[w.ids] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return flat[places], np.concatenate([[0], ends])[w.starts]
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        w = split_words(texts, PLAIN if special else LOWER)
+        if len(self.place) > 600_000:
+            self.clear()
+        stem = pc.utf8_rtrim(w.vocab, SYMBOLS)
+        cut = pc.and_(pc.not_equal(stem, w.vocab), pc.match_substring_regex(stem, LAST))
+        stem = pc.if_else(cut, stem, w.vocab)
+        listed = lambda x: x.to_numpy(zero_copy_only=False).tolist()  # noqa: E731  faster than to_pylist
+        end = pa.array([x[n:] if c else "" for x, n, c in zip(listed(w.vocab), listed(pc.utf8_length(stem)), listed(cut), strict=True)], pa.large_string())
+        stems, ends = stem.dictionary_encode(), end.dictionary_encode()
+        stem_at = self.known(listed(stems.dictionary))[stems.indices.to_numpy(zero_copy_only=False)]
+        end_at = self.known(listed(ends.dictionary))[ends.indices.to_numpy(zero_copy_only=False)]
+        first = np.cumsum(self.size, dtype=np.int64) - self.size
+        # ids of the distinct words, then of all words
+        flat, start = ragged(self.flat, np.stack([first[stem_at], first[end_at]], 1).reshape(-1), np.stack([self.size[stem_at], self.size[end_at]], 1).reshape(-1))
+        size = (self.size[stem_at] + self.size[end_at]).astype(np.int32)
+        ids, places = ragged(flat, start[:-1:2][w.ids], size[w.ids])
+        return ids, places[w.starts]
+
+
+def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches (first, size) of flat one after another, and where each begins (one more than stretches)."""
+    starts = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=starts[1:])
+    at = np.arange(int(starts[-1]), dtype=np.int32)
+    at += np.repeat((first - starts[:-1]).astype(np.int32), size)
+    return flat[at], starts
 
 
 def packed(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None = None, pool: int = 50_000, with_ids: bool = False) -> DataFrame:
