@@ -116,7 +116,7 @@ class Matcher:
             bits[all_hashes >> np.uint64(42)] = True
             self.by_size[size] = (all_hashes, bits)
 
-    def hits(self, vocab: list[str], ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> dict[int, tuple[np.ndarray, set[str]]]:
+    def hits(self, vocab: np.ndarray, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> dict[int, tuple[np.ndarray, set[str]]]:
         """By text: a mask of hit words and the items found, for texts with any."""
         n = len(ids)
         near = np.zeros(n + 1, np.int32)
@@ -188,7 +188,7 @@ def streamed(rows: DataFrame, benchmark: DataFrame, window: int, max_words: int,
             matcher = shared.value
             for batch in sliced(batches):
                 w = split_words(batch.column("text"), ALNUM)
-                hits = matcher.hits(w.vocab.to_pylist(), w.ids, w.starts, hash_words(w.vocab)) if matcher.by_size else {}
+                hits = matcher.hits(w.vocab.to_numpy(zero_copy_only=False), w.ids, w.starts, hash_words(w.vocab)) if matcher.by_size else {}
                 if not first:
                     for k, (mask, items) in enumerate(zip(batch.column("_mask").to_pylist(), batch.column("_items").to_pylist(), strict=True)):
                         if mask is not None:

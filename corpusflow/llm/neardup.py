@@ -10,9 +10,10 @@ within distance 37 shares such a key.
 Equal sets are one node. In every key's bucket all members meet its first member only, so a large group of copies
 costs its size and not its square. A 64-bit sketch of the signature and the sizes prune pairs before sets are
 compared (Hamming distance over 20 of 64 has a probability under 1e-5 at similarity 0.8). Two rounds: each node is
-confirmed against its closest bucket leader and components are formed; then every other pair of a bucket is
-confirmed whose nodes still lie in different components. Pairs within a component cannot change it, so no pair
-under the signature distance is lost.
+confirmed against its closest bucket leader and components are formed; then the nodes of a bucket that still lie in
+different components, and pass the sketch with a node of another one, are compared by an exact prefix filter over
+their whole sets. Pairs within a component cannot change it, so no pair under the signature distance is lost, and a
+group of near copies that are just too far apart is not compared pair by pair.
 
 Scale: one shuffle of 95 keys a distinct set, one of the candidates' texts; buckets are windows that spill, star
 shaped; no list of links, ids or components reaches the driver.
@@ -134,22 +135,33 @@ def passes(s1: Column, n1: Column, s2: Column, n2: Column, percent: int, most_bi
     return sized & (F.bit_count(s1.bitwiseXOR(s2)) <= most_bits)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity. Sets of a go to b's task, sorted after b's own."""
-    routes = pairs.select(F.col("a").alias("id"), F.col("b").alias("to")).union(pairs.select(F.col("b").alias("id"), F.col("b").alias("to"))).distinct()
-    routes = routes.groupBy("id").agg(F.collect_list("to").alias("to"))
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The rows of ids (id, ...) with the whole set of their document, as sorted hashes."""
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    names = [c for c in ids.columns if c != "id"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = shingle_sets(batch.column("text"), size)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("to"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "to", "shingles"])
+            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in names), sets], names=["id", *names, "shingles"])
+
+    kinds = ", ".join(f"{c} {k}" for c, k in ids.dtypes if c != "id")
+    return base.join(ids, "id").mapInArrow(make, f"id long{', ' * bool(kinds)}{kinds}, shingles binary")
+
+
+def routes(pairs: DataFrame) -> DataFrame:
+    """(id, to): where sets must go to be compared: a's and b's to b."""
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("to")).union(pairs.select(F.col("b").alias("id"), F.col("b").alias("to"))).distinct()
+    return both.groupBy("id").agg(F.collect_list("to").alias("to"))
+
 
-    sets = base.join(routes, "id").mapInArrow(make, "id long, to array<long>, shingles binary").select("id", F.explode("to").alias("to"), "shingles")
+def confirmed(sent: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity; sent: id, to, shingles. Sets of a follow b's own."""
+    sets = sent.select("id", F.explode("to").alias("to"), "shingles")
     # a hot leader is dealt to several tasks, and its own set to each of them
-    sent = sets.withColumn("salt", F.when(F.col("id") == F.col("to"), F.sequence(F.lit(0), F.lit(7))).otherwise(F.array(F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))))
-    sent = sent.select("id", "to", "shingles", F.explode("salt").alias("salt"))
-    dealt = sent.repartition("to", "salt").sortWithinPartitions("to", "salt", F.col("id") != F.col("to"))
+    salted = sets.withColumn("salt", F.when(F.col("id") == F.col("to"), F.sequence(F.lit(0), F.lit(7))).otherwise(F.array(F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))))
+    salted = salted.select("id", "to", "shingles", F.explode("salt").alias("salt"))
+    dealt = salted.repartition("to", "salt").sortWithinPartitions("to", "salt", F.col("id") != F.col("to"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.zeros(0, np.uint64)
@@ -172,6 +184,38 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return dealt.select("id", "to", "shingles").mapInArrow(compare, "a long, b long")
 
 
+def sharing(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components that can reach the similarity, by an exact prefix filter over whole sets.
+
+    In an order by rarity, two sets that are close enough share one of their rarest (100 - percent) % + 1 shingles.
+    A near copy that differs too much has so many shingles of its own that it meets nobody.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                each = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+                n = np.array([len(x) for x in each])
+                rows = pa.array(np.repeat(np.arange(len(each)), n))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("component").take(rows), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(each))], names=["id", "component", "n", "h"])
+
+    rows = sets.mapInArrow(spread, "id long, component long, n int, h long")
+    common = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    met = rows.join(common, "h")
+    by_rarity = W.partitionBy("id").orderBy("df", "h")
+    met = met.withColumn("k", F.row_number().over(by_rarity)).withColumn("own", F.col("n") - F.count("*").over(W.partitionBy("id")))
+    prefix = cut(met.where(F.col("k") + F.col("own") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("h", "id", "n", "component"))
+    # of a shingle, the largest component is on one side only
+    main = prefix.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "main")
+    open_ = prefix.join(main, "h")
+    few = open_.where("component <> main").select("h", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
+    all_ = open_.select("h", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"), "main")
+    sized = (100 * F.least("n1", "n2")) >= (percent * F.greatest("n1", "n2"))
+    pairs = few.join(all_, "h").where((F.col("c1") != F.col("c2")) & ((F.col("a") < F.col("b")) | (F.col("c2") == F.col("main"))) & sized)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 19, width: int = 5, most_bits: int = 20) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     made = cut(features(docs, size, chunks, width))
@@ -184,7 +228,7 @@ def groups(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 19,
     met = cut(met.select("key", "doc_id", "sketch", "n", F.col("lead.doc_id").alias("leader"), ok.alias("ok"), F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead.sketch"))).alias("far")))
     star = met.where("ok").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), "far").distinct()
     first = star.groupBy("a").agg(F.expr("min(struct(far, b))").alias("x")).select("a", F.col("x.b").alias("b"))
-    links = cut(confirmed(docs, first, size, percent))
+    links = cut(confirmed(sets_of(docs, routes(first), size), percent))
     one = cut(components(links))
     # what is left: pairs of a bucket that lie in different components by now
     def component(c: str) -> Column:
@@ -193,14 +237,20 @@ def groups(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 19,
     inside = met.join(one.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("mine", component("doc_id")).drop("component")
     inside = inside.join(one.withColumnRenamed("id", "leader"), "leader", "left").withColumn("main", component("leader")).drop("component")
     inside = cut(inside.select("key", "doc_id", "sketch", "n", "leader", "ok", "mine", "main"))
-    apart = inside.where("mine <> main")
-    others = inside.select("key", F.col("doc_id").alias("b"), F.col("sketch").alias("s2"), F.col("n").alias("n2"), F.col("mine").alias("c2"), F.col("main").alias("m2"))
-    across = apart.join(others, "key").where((F.col("mine") != F.col("c2")) & ((F.col("doc_id") < F.col("b")) | (F.col("c2") == F.col("m2"))))
-    across = across.where(passes(F.col("sketch"), F.col("n"), F.col("s2"), F.col("n2"), percent, most_bits)).select(F.col("doc_id").alias("a"), "b")
-    rest = apart.where("ok").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).union(across).distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
+    apart = inside.where("mine <> main").select("key", F.col("doc_id").alias("id"), "sketch", "n", "mine", "main")
+    others = inside.select("key", F.col("doc_id").alias("id2"), F.col("sketch").alias("s2"), F.col("n").alias("n2"), F.col("mine").alias("c2"))
+    close = (F.col("mine") != F.col("c2")) & passes(F.col("sketch"), F.col("n"), F.col("s2"), F.col("n2"), percent, most_bits)
+    same_key = apart["key"] == others["key"]
+    # which nodes have such a partner at all: a row for each node and key, not for each pair
+    left = apart.join(others, same_key & close, "left_semi").select("id", F.col("mine").alias("component"))
+    right = others.join(apart, same_key & close, "left_semi").select(F.col("id2").alias("id"), F.col("c2").alias("component"))
+    near = inside.where("ok and mine <> main")
+    leaders = near.select(F.col("doc_id").alias("id"), F.col("mine").alias("component")).union(near.select(F.col("leader").alias("id"), F.col("main").alias("component")))
+    rest = cut(left.union(right).union(leaders).distinct())
     if not rest.isEmpty():
-        more = confirmed(docs, rest, size, percent)
+        sets = cut(sets_of(docs, rest, size))
+        pairs = cut(sharing(sets, percent))
+        more = confirmed(sets.select("id", "shingles").join(routes(pairs), "id").select("id", "to", "shingles"), percent)
         one = cut(components(links.union(more)))
     named = nodes.select("set_hash", F.col("doc_id").alias("node")).join(one.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("set_hash", F.coalesce("component", "node").alias("component_id"))

@@ -15,12 +15,12 @@ on the input: every word of every occurrence of a repeated k-mer goes, overlaps
 k-mers are compared by two independent 64-bit hashes.
 
 Scale: a text gives about 2 / (window - seed + 2) rows a word; all groups are counted by partial aggregation and
-joined back, so a passage in a third of all texts is a sum and not a gathered list. Texts are shuffled to meet their
-spans and, those with a branching path, once more.
+joined back, so a passage in a third of all texts is a sum and not a gathered list. Texts are shuffled once, to meet
+their paths; only texts with a branching path that occurs once are kept for a second look.
 
 Edge cases: a null or empty text has no words; texts shorter than the window lose nothing; repeated rows lose all
-words when they have a window's worth; rows that share an id and a text are treated alike; a row without an id loses nothing but counts as a
-source; an empty table gives an empty result.
+words when they have a window's worth; rows that share an id and a text are treated alike; a null id is an id like
+any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +93,33 @@ def paths(w: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
     return text[first], first - w.starts[text[first]], count, best[first], content, full, other
 
 
-def found(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFrame:
-    """(doc_id, key, spans): first k-mers and numbers of k-mers of the repeated stretches of each text that has any."""
+FULL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+
+
+def digest(w: Words, rows: np.ndarray, first: np.ndarray, n: np.ndarray, window: int) -> tuple[list[int], list[str], list[str]]:
+    """Removed words, hash and text of what stays, of each text; rows, first, n: the repeated stretches."""
+    gone = np.zeros(len(w.ids) + 1, np.int64)
+    a = w.starts[rows] + first
+    np.add.at(gone, a, 1)
+    np.add.at(gone, a + n + window - 1, -1)
+    stays = np.cumsum(gone[:-1]) == 0
+    words = w.vocab.to_numpy(zero_copy_only=False)[w.ids] if len(w.ids) else np.zeros(0, object)
+    kept = [" ".join(words[x:y][stays[x:y]]) for x, y in zip(w.starts[:-1], w.starts[1:], strict=True)]
+    left = np.append(0, np.cumsum(~stays))
+    return (left[w.starts[1:]] - left[w.starts[:-1]]).tolist(), [hashlib.sha256(t.encode()).hexdigest() for t in kept], kept
+
+
+def lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each struct of a list column, and the struct's fields."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), size), [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)]
+
+
+def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay, if asked)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("key", F.xxhash64("text"))
+    base = base.withColumn("key", F.hash("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 6 << 20):
@@ -106,70 +130,62 @@ def found(docs: DataFrame, window: int = 35, seed: int = 16) -> DataFrame:
                 names=["doc_id", "key", "first", "n", "least", "content"],
             )
 
-    all_paths = base.mapInArrow(make, "doc_id long, key long, first int, n short, least long, content long")
-    counted = all_paths.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first", "n")).alias("one"))
-    minimizers = counted.groupBy("least").agg(F.sum("times").alias("total"), F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("total > 1")
-    counted = cut(counted.join(minimizers, "least").select("least", "content", "times", "one", (F.col("kinds") > 1).alias("branches"), ((F.col("kinds") > 1) & (F.col("fewest") == 1)).alias("open")))
-    whole = all_paths.join(counted.where("times > 1").select("least", "content"), ["least", "content"]).where("doc_id is not null").select("doc_id", "key", "first", "n")
-
-    # the branching part: representatives' k-mers
-    opened = counted.where("open").select("one.doc_id", "one.key", "one.first", "one.n", "times")
-    wanted = opened.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "times")).alias("want"))
-    wanted = wanted.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "want")
-    met = base.join(wanted, base["doc_id"].eqNullSafe(wanted["id"]) & (base["key"] == wanted["k"])).select(
-        "doc_id", "key", "text", F.col("want.first").alias("first"), F.col("want.n").alias("n"), F.col("want.times").alias("times"))
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    every = base.mapInArrow(make, "doc_id long, key int, first int, n short, least long, content long")
+    twice = every.groupBy("least").agg(F.count("*").alias("total")).where("total > 1").select("least")
+    met = cut(every.join(twice, "least"))
+    counted = met.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("one"))
+    kinds = counted.groupBy("least").agg((F.count("*") > 1).alias("branches"), F.min("times").alias("fewest"))
+    counted = counted.join(kinds, "least").select("least", "content", "times", "one", (F.col("branches") & (F.col("fewest") == 1)).alias("open"))
+    named = met.join(counted, ["least", "content"])
+    rep = F.col("one").eqNullSafe(F.struct("doc_id", "key", "first"))
+    path = F.struct(F.col("first"), F.col("n"), (F.col("times") > 1).alias("whole"), (F.col("open") & rep).alias("expand"))
+    of_text = named.where("times > 1 or open").groupBy("doc_id", "key").agg(F.collect_list(path).alias("paths"))
+    of_text = of_text.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "paths")
+    joined = base.join(of_text, base["doc_id"].eqNullSafe(of_text["id"]) & (base["key"] == of_text["k"]), "left").select("doc_id", "key", "text", "paths")
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 6 << 20):
             w = split_words(batch.column("text"), PLAIN)
+            row, (first, n, whole, expand) = lists(batch.column("paths"))
+            first, n, whole, expand = first.astype(np.int64), n.astype(np.int64), whole.astype(bool), expand.astype(bool)
+            cut_, shas, kept = digest(w, row[whole], first[whole], n[whole], window)
+            unsure = np.zeros(batch.num_rows, bool)
+            unsure[row[~whole]] = True
             h = hash_words(w.vocab)[w.ids] if len(w.ids) else np.zeros(0, np.uint64)
             full, other = rolled(h, window, STEP), rolled(h, window, STEP2)
-            lists = [batch.column(c) for c in ("first", "n", "times")]
-            rows = np.repeat(np.arange(batch.num_rows), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-            first, n, times = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
-            start = np.repeat(first, n)
-            row, weight = np.repeat(rows, n), np.repeat(times, n)
-            off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at = w.starts[row] + start + off
+            e_row, e_n, once = np.repeat(row[expand], n[expand]), n[expand], np.repeat(~whole[expand], n[expand])
+            at = np.repeat(first[expand], e_n) + np.arange(int(e_n.sum())) - np.repeat(np.cumsum(e_n) - e_n, e_n)
+            place = w.starts[e_row] + at
+            order = np.argsort(e_row, kind="stable")
+            kmers = pa.StructArray.from_arrays(
+                [pa.array(at[order].astype(np.int32)), pa.array(once[order]), pa.array(full[place][order].view(np.int64)), pa.array(other[place][order].view(np.int64))], names=["at", "once", "h1", "h2"])
+            offsets = np.append(0, np.cumsum(np.bincount(e_row, minlength=batch.num_rows))).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(first[whole].astype(np.int32)), pa.array(n[whole].astype(np.int16))], names=["first", "n"])
+            span_at = np.append(0, np.cumsum(np.bincount(row[whole], minlength=batch.num_rows))).astype(np.int32)
+            some = pa.array(~unsure)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), batch.column("key").take(pa.array(row)), pa.array((start + off).astype(np.int32)), pa.array(np.minimum(weight, 2).astype(np.int16)), pa.array(full[at].view(np.int64)), pa.array(other[at].view(np.int64))],
-                names=["doc_id", "key", "at", "times", "h1", "h2"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(w.counts), pa.array(cut_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept if with_text else [None] * len(kept), pa.string()),
+                 pc.if_else(some, pa.scalar(None, pa.string()), batch.column("text")), pa.ListArray.from_arrays(pa.array(span_at), spans), pa.ListArray.from_arrays(pa.array(offsets), kmers)],
+                names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept", "text", "spans", "kmers"],
             )
 
-    kmers = met.mapInArrow(expand, "doc_id long, key long, at int, times short, h1 long, h2 long")
-    again = kmers.groupBy("h1", "h2").agg(F.sum("times").alias("total"), F.count("*").alias("rows")).where("total > 1 and rows > 1").select("h1", "h2")
-    single = kmers.where("times = 1").join(again, ["h1", "h2"]).where("doc_id is not null").select("doc_id", "key", F.col("at").alias("first"), F.lit(1).cast("short").alias("n"))
-    spans = whole.union(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    return spans
-
-
-def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay, if asked)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("key", F.xxhash64("text"))
-    spans = found(docs, window, seed).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "spans")
-    met = base.join(spans, (base["doc_id"] == spans["id"]) & (base["key"] == spans["k"]), "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.n").alias("n"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    middle = "spans array<struct<first:int,n:short>>, kmers array<struct<at:int,once:boolean,h1:long,h2:long>>"
+    half = cut(joined.mapInArrow(first_pass, f"doc_id long, key int, n_words long, n_removed long, kept_sha256 string, kept string, text string, {middle}"))
+    kmers = half.select("doc_id", "key", F.explode("kmers").alias("x")).select("doc_id", "key", "x.*")
+    # a k-mer of two contents repeats; each content is here once
+    again = kmers.groupBy("h1", "h2").agg(F.count("*").alias("total")).where("total > 1").select("h1", "h2")
+    single = kmers.where("once").join(again, ["h1", "h2"]).groupBy("doc_id", "key").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.lit(1).cast("short").alias("n"))).alias("more"))
+    single = single.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "more")
+    unsure = half.where("text is not null")
+    unsure = unsure.join(single, unsure["doc_id"].eqNullSafe(single["id"]) & (unsure["key"] == single["k"]), "left")
+    unsure = unsure.select("doc_id", "text", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<first:int,n:short>>"))).alias("spans"))
+
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 6 << 20):
             w = split_words(batch.column("text"), PLAIN)
-            gone = np.zeros(len(w.ids) + 1, np.int64)
-            first, n = batch.column("first"), batch.column("n")
-            rows = np.repeat(np.arange(batch.num_rows), first.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            a = w.starts[rows] + first.flatten().to_numpy(zero_copy_only=False)
-            b = a + n.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + window - 1
-            np.add.at(gone, a, 1)
-            np.add.at(gone, b, -1)
-            stays = np.cumsum(gone[:-1]) == 0
-            words = np.array(w.vocab.to_pylist(), object)[w.ids] if len(w.ids) else np.zeros(0, object)
-            shas, kept, cut_ = [], [], []
-            for x, y in zip(w.starts[:-1], w.starts[1:], strict=True):
-                text = " ".join(words[x:y][stays[x:y]])
-                shas.append(hashlib.sha256(text.encode()).hexdigest())
-                cut_.append(int((~stays[x:y]).sum()))
-                kept.append(text)
-            arrays = [batch.column("doc_id"), pa.array(w.counts), pa.array(cut_, pa.int64()), pa.array(shas, pa.string())] + [pa.array(kept, pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
-
-    return met.mapInArrow(finish, schema)
+            row, (first, n) = lists(batch.column("spans"))
+            cut_, shas, kept = digest(w, row, first.astype(np.int64), n.astype(np.int64), window)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w.counts), pa.array(cut_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    out = half.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").union(unsure.mapInArrow(second_pass, FULL))
+    return out if with_text else out.drop("kept")
