@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+#: What Python's str.isspace and str.strip take for white space.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PYW = r"[\p{L}\p{N}_]"
 PYB = rf"(?:(?<={PYW})(?!{PYW})|(?<!{PYW})(?={PYW}))"
@@ -30,7 +32,7 @@ def span(script: tuple[int, int]) -> str:
 
 def strip(c: Column) -> Column:
     """Without white space at either end (all Unicode white space, not only blanks)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -207,17 +209,10 @@ def devanagari_clusters(c: Column) -> Column:
 
 
 def shingles(c: Column, size: int = 5) -> Column:
-    """Distinct character shingles of the normal text; a shorter text is its own."""
+    """Distinct character shingles of the normal text; a shorter text is its own. One pass over the text."""
     t = normal(c)
-    cut = F.transform(F.sequence(F.lit(1), F.length(t) - (size - 1)), lambda i: F.substr(t, i, F.lit(size)))
-    return F.when(F.length(t) < size, F.array(t)).otherwise(F.array_distinct(cut))
-
-
-def minhash(c: Column, perms: int = 128, seed: int = 42, size: int = 5) -> Column:
-    """MinHash by md5 as column expressions: exact but slow; `minhash_udf` gives the same faster."""
-    grams = shingles(c, size)
-    low = lambda i: F.conv(F.right(F.array_min(F.transform(grams, lambda g: F.md5(F.concat(F.lit(str(seed + i)), g)))), F.lit(8)), 16, 10).cast("long")
-    return F.array(*[low(i) for i in range(perms)])
+    found = F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{size}}}))."), 1)
+    return F.when(F.length(t) < size, F.array(t)).otherwise(F.array_distinct(found))
 
 
 def similarity(a: Column, b: Column) -> Column:

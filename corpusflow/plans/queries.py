@@ -390,7 +390,9 @@ def akshara_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.aksharas(text)).cast("long").alias("n"))
 
 
-@query(f"WITH n AS (SELECT doc_id, {NORM} AS t FROM documents), g AS (SELECT doc_id, t, unnest(range(1, greatest(1, length(t) - 4) + 1)) AS i FROM n) SELECT doc_id, count(DISTINCT substr(t, i, 5)) AS n FROM g GROUP BY 1")
+@query(f"""WITH n AS (SELECT doc_id, {NORM} AS t FROM documents), c AS (SELECT doc_id, length(t) AS n, unnest(string_split(t, '')) AS x, unnest(range(1, greatest(1, length(t)) + 1)) AS i FROM n),
+g AS (SELECT doc_id, n, i, concat(x, lead(x) OVER w, lead(x, 2) OVER w, lead(x, 3) OVER w, lead(x, 4) OVER w) AS g FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, count(DISTINCT g) AS n FROM g WHERE i <= greatest(1, n - 4) GROUP BY 1""")
 def shingle_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.shingles(text)).cast("long").alias("n"))
 
