@@ -337,7 +337,8 @@ def word_counts(base: DataFrame, root: str, shard_tokens: int) -> tuple[int, int
             words = pa.concat_arrays([w.vocab.cast(pa.large_string()), pa.array([" "], pa.large_string())])  # no word is a space: the end
             c = np.append(np.bincount(w.ids, minlength=len(w.vocab)), batch.num_rows)
             h = np.append(hash_words(w.vocab), END).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(h), pa.array(c.astype(np.int64))], names=["word", "h", "c"])
+            met = pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(h), pa.array(c.astype(np.int64))], names=["word", "h", "c"])
+            yield met.filter(pa.array(c > 0))  # the vocabulary may hold an empty word that stands nowhere
 
     counted = base.mapInArrow(count, "word string, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
     path = f"{root}/words"
