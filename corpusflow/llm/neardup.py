@@ -7,10 +7,11 @@ closer. With at most 37 differing positions in 19 chunks of five, pigeonhole lea
 error. Each chunk is therefore indexed with each of its positions left out: every pair of signatures
 within distance 37 shares such a key.
 
-Equal sets are one node. In every key's bucket all members meet its first member only, so a large group of copies
-costs its size and not its square. A 64-bit sketch of the signature and the sizes prune pairs before sets are
-compared (Hamming distance over 20 of 64 has a probability under 1e-5 at similarity 0.8). Two rounds: each node is
-confirmed against its closest bucket leader and components are formed; then the nodes of a bucket that still lie in
+Equal sets are one node. In every key's bucket all members meet one leader only, drawn by the key, so a large group of
+copies costs its size and not its square. A 64-bit sketch of the signature and the sizes prune pairs before sets are
+compared (Hamming distance over 20 of 64 has a probability under 1e-5 at similarity 0.8). Each node is confirmed
+against its closest bucket leaders and components are formed, again with other leaders for nodes that lie in another
+component than their leader's; then the nodes of a bucket that still lie in
 different components, and pass the sketch with a node of another one, are compared by an exact prefix filter over
 their whole sets. Pairs within a component cannot change it, so no pair under the signature distance is lost, and a
 group of near copies that are just too far apart is not compared pair by pair.
@@ -135,8 +136,14 @@ def passes(s1: Column, n1: Column, s2: Column, n2: Column, percent: int, most_bi
     return sized & (F.bit_count(s1.bitwiseXOR(s2)) <= most_bits)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """The rows of ids (id, ...) with the whole set of their document, as sorted hashes."""
+def sets_of(docs: DataFrame, ids: DataFrame, size: int, most_broadcast: int = 200_000) -> DataFrame:
+    """The rows of ids (id, ...) with the whole set of their document, as sorted hashes.
+
+    Few ids (up to `most_broadcast`, with the lists' items) go to the texts; more meet them in a shuffle.
+    """
+    ids = cut(ids)
+    items = F.sum(F.size("to")) if "to" in ids.columns else F.count("*")
+    few = (ids.agg(items).first()[0] or 0) <= most_broadcast
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     names = [c for c in ids.columns if c != "id"]
 
@@ -146,7 +153,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in names), sets], names=["id", *names, "shingles"])
 
     kinds = ", ".join(f"{c} {k}" for c, k in ids.dtypes if c != "id")
-    return base.join(ids, "id").mapInArrow(make, f"id long{', ' * bool(kinds)}{kinds}, shingles binary")
+    return base.join(F.broadcast(ids) if few else ids, "id").mapInArrow(make, f"id long{', ' * bool(kinds)}{kinds}, shingles binary")
 
 
 def routes(pairs: DataFrame) -> DataFrame:
@@ -187,8 +194,9 @@ def confirmed(sent: DataFrame, percent: int) -> DataFrame:
 def sharing(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) in different components that can reach the similarity, by an exact prefix filter over whole sets.
 
-    In an order by rarity, two sets that are close enough share one of their rarest (100 - percent) % + 1 shingles.
-    A near copy that differs too much has so many shingles of its own that it meets nobody.
+    In an order by rarity, two sets that are close enough share one of their rarest (100 - percent) % + 1 shingles, and
+    the first one that they share stands so early in both that what follows can still make up the similarity: a
+    near copy with too many shingles of its own meets nobody.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,31 +213,53 @@ def sharing(sets: DataFrame, percent: int) -> DataFrame:
     met = rows.join(common, "h")
     by_rarity = W.partitionBy("id").orderBy("df", "h")
     met = met.withColumn("k", F.row_number().over(by_rarity)).withColumn("own", F.col("n") - F.count("*").over(W.partitionBy("id")))
-    prefix = cut(met.where(F.col("k") + F.col("own") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("h", "id", "n", "component"))
+    # what is left of a set from this shingle on
+    met = met.select("h", "id", "n", "component", (F.col("n") - F.col("own") - F.col("k") + 1).cast("int").alias("left"))
+    prefix = cut(met.where(100 * F.col("left") >= percent * F.col("n")))
     # of a shingle, the largest component is on one side only
-    main = prefix.groupBy("h", "component").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "main")
-    open_ = prefix.join(main, "h")
-    few = open_.where("component <> main").select("h", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    all_ = open_.select("h", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"), "main")
-    sized = (100 * F.least("n1", "n2")) >= (percent * F.greatest("n1", "n2"))
+    by_kind = prefix.groupBy("h", "component").agg(F.count("*").alias("m"), F.min("n").alias("least"))
+    main = by_kind.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("kinds"), F.min("least").alias("least")).where("kinds > 1").select("h", "main", "least")
+    enough = lambda left, n1, n2: ((100 + percent) * F.col(left)) >= (percent * (F.col(n1) + F.col(n2)))
+    open_ = prefix.join(main, "h").where(enough("left", "n", "least"))
+    few = open_.where("component <> main").select("h", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("left").alias("left1"))
+    all_ = open_.select("h", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"), "main", F.col("left").alias("left2"))
+    sized = enough("left1", "n1", "n2") & enough("left2", "n1", "n2")
     pairs = few.join(all_, "h").where((F.col("c1") != F.col("c2")) & ((F.col("a") < F.col("b")) | (F.col("c2") == F.col("main"))) & sized)
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 19, width: int = 5, most_bits: int = 20) -> DataFrame:
+def drawn(rows: DataFrame, salt: int, *more: str) -> DataFrame:
+    """The rows of (key, doc_id, ...) with their bucket's leader, but the leaders' own. Drawn by the key, so that a node meets other leaders in other buckets."""
+    order = W.partitionBy("key").orderBy(F.xxhash64("key", "doc_id", F.lit(salt)), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("lead", F.first(F.struct("doc_id", "sketch", "n", *more)).over(order)).where("doc_id <> lead.doc_id")
+
+
+def closest(met: DataFrame, rivals: int) -> DataFrame:
+    """(a, b): each node with the closest of its leaders by sketch, for each of `rivals` shares of the keys."""
+    far = F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead.sketch")))
+    best = met.groupBy(F.col("doc_id").alias("a"), F.pmod("key", F.lit(rivals))).agg(F.min(F.struct(far.alias("far"), F.col("lead.doc_id").alias("b"))).alias("x"))
+    return best.select("a", "x.b").distinct()
+
+
+def groups(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 19, width: int = 5, most_bits: int = 20, rivals: int = 2, again: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     made = cut(features(docs, size, chunks, width))
     some = made.where("set_hash is not null and doc_id is not null")
     nodes = some.groupBy("set_hash").agg(F.expr("min_by(struct(doc_id, n_shingles, sketch, signature), doc_id)").alias("x"))
     nodes = cut(nodes.select("set_hash", "x.*"))
-    leader = F.first(F.struct("doc_id", "sketch", "n")).over(W.partitionBy("key").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
-    met = keyed(nodes, chunks, width).withColumn("lead", leader).where("doc_id <> lead.doc_id")
+    met = drawn(keyed(nodes, chunks, width), 0)
     ok = passes(F.col("sketch"), F.col("n"), F.col("lead.sketch"), F.col("lead.n"), percent, most_bits)
-    met = cut(met.select("key", "doc_id", "sketch", "n", F.col("lead.doc_id").alias("leader"), ok.alias("ok"), F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead.sketch"))).alias("far")))
-    star = met.where("ok").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), "far").distinct()
-    first = star.groupBy("a").agg(F.expr("min(struct(far, b))").alias("x")).select("a", F.col("x.b").alias("b"))
-    links = cut(confirmed(sets_of(docs, routes(first), size), percent))
+    met = cut(met.select("key", "doc_id", "sketch", "n", "lead", ok.alias("ok")))
+    links = cut(confirmed(sets_of(docs, routes(closest(met.where("ok"), rivals)), size), percent))
     one = cut(components(links))
+    # again with other leaders, for those that lie in another component than their leader's
+    rows = met.select("key", "doc_id", "sketch", "n").union(met.groupBy("key").agg(F.first("lead").alias("lead")).select("key", "lead.doc_id", "lead.sketch", "lead.n"))
+    for salt in range(1, 1 + again):
+        named = rows.join(one.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        apart = drawn(named, salt, "component").where(ok & (F.col("component") != F.col("lead.component")))
+        links = cut(links.union(confirmed(sets_of(docs, routes(closest(apart, rivals)), size), percent)))
+        one = cut(components(links))
+    met = met.select("key", "doc_id", "sketch", "n", "ok", F.col("lead.doc_id").alias("leader"))
     # what is left: pairs of a bucket that lie in different components by now
     def component(c: str) -> Column:
         return F.coalesce(F.col("component"), F.col(c))
