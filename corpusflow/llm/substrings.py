@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,10 +161,10 @@ def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool =
             offsets = np.append(0, np.cumsum(np.bincount(e_row, minlength=batch.num_rows))).astype(np.int32)
             spans = pa.StructArray.from_arrays([pa.array(first[whole].astype(np.int32)), pa.array(n[whole].astype(np.int16))], names=["first", "n"])
             span_at = np.append(0, np.cumsum(np.bincount(row[whole], minlength=batch.num_rows))).astype(np.int32)
-            some = pa.array(~unsure)
+            again = batch.column("text").take(pa.array(np.arange(batch.num_rows), mask=~unsure))  # null where all is known
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(w.counts), pa.array(cut_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept if with_text else [None] * len(kept), pa.string()),
-                 pc.if_else(some, pa.scalar(None, pa.string()), batch.column("text")), pa.ListArray.from_arrays(pa.array(span_at), spans), pa.ListArray.from_arrays(pa.array(offsets), kmers)],
+                 again, pa.ListArray.from_arrays(pa.array(span_at), spans), pa.ListArray.from_arrays(pa.array(offsets), kmers)],
                 names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept", "text", "spans", "kmers"],
             )
 
