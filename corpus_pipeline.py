@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring line templates are cut after their first occurrence; a document of nothing else goes."""
-    cut = lines.drop_recurring(docs)
+    cut = lines.drop_by_documents(docs)
     return cut.where("_n_dropped = 0 or _n_dropped < _n_lines and trim(text) <> ''").drop("_n_lines", "_n_dropped")
 
 

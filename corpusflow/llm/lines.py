@@ -15,15 +15,23 @@ pairs, then pairs per key), so a line that makes up a third of all lines is summ
 leaves that have a template and enough contexts carry their text on; those leaves are broadcast while their count is
 under a limit and joined by a shuffle beyond it. Texts are shuffled once, to meet their dropped line numbers.
 
+`drop_by_documents` is the pipeline's rule and differs in what recurs: a template recurs when it stands in at least
+`documents` documents, near copies (five-word shingles, 80 %) counted as one, so the inner lines of a boilerplate
+block and documents of one template line go as well. Every line that holds a letter outside its masked fields takes part.
+`drop_recurring` keeps to neighbour pairs, which the SQL of op8_line_templates fixes.
+
 Edge cases: a null text stays null with no lines; an empty text has one blank line; documents with the same id and
 text are treated alike; rows without an id are passed through unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm import neardup
 from corpusflow.session import cut
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -78,12 +86,58 @@ def dropped(docs: DataFrame, lead: int, contexts: int, similarity: float, min_to
     return kept.where((F.col("first.key") != F.col("key")) | (F.col("first.n") != F.col("n")) | (F.col("first.doc_id") != F.col("doc_id"))).select("doc_id", "key", "n")
 
 
+def clustered(times: DataFrame, documents: int, similarity: float) -> DataFrame:
+    """(leaf, m, template) of the distinct masked lines (leaf, m, masked, times) of each leaf.
+
+    The line in most groups (ties: the smallest) is a template and takes all lines that agree with it.
+    """
+
+    def assign(leaf: pd.DataFrame) -> pd.DataFrame:
+        leaf = leaf.sort_values(["times", "masked"], ascending=[False, True], ignore_index=True)
+        words = [line.split(" ") for line in leaf["masked"]]
+        codes = pd.factorize(np.array([w for line in words for w in line], dtype=object))[0].reshape(len(words), -1)
+        m, n = leaf["m"].to_numpy(), leaf["times"].to_numpy()
+        template, left = m.copy(), np.arange(len(m))
+        if n[left].sum() >= documents:
+            fits = (codes[left] == codes[left[0]]).sum(1) >= similarity * codes.shape[1]
+            template[left[fits]] = m[left[0]]
+        return pd.DataFrame({"leaf": leaf["leaf"], "m": m, "template": template})
+
+    return times.groupBy("leaf").applyInPandas(assign, "leaf long, m long, template long")
+
+
+def dropped_by_documents(docs: DataFrame, lead: int, documents: int, similarity: float) -> DataFrame:
+    """(doc_id, key, n) of the lines to drop: templates in `documents` groups of near copies or more, but their first lines."""
+    groups = neardup.groups(docs, size=5).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("grp"))
+    lines = hashed(docs, lead, 1).where(F.replace("masked", F.lit("<*>"), F.lit("")).rlike(r"\p{L}"))
+    lines = lines.join(cut(groups), "doc_id").select("doc_id", "key", "n", "leaf", "m", "masked", "grp")
+    hot = cut(lines.select("leaf", "grp").distinct().groupBy("leaf").count().where(F.col("count") >= documents).select("leaf"))
+    inside = cut(lines.join(hot, "leaf"))
+    pairs = inside.groupBy("leaf", "m", "grp").agg(F.first("masked").alias("masked"))
+    times = pairs.groupBy("leaf", "m").agg(F.first("masked").alias("masked"), F.count("*").alias("times"))
+    near = cut(inside.drop("masked").join(clustered(times, documents, similarity), ["leaf", "m"]))
+    recurring = near.select("leaf", "template", "grp").distinct().groupBy("leaf", "template").count().where(F.col("count") >= documents).drop("count")
+    firsts = near.groupBy("leaf", "template").agg(F.min(F.struct("doc_id", "n", "key")).alias("first"))
+    kept = near.join(recurring.join(firsts, ["leaf", "template"]), ["leaf", "template"])
+    return kept.where((F.col("first.key") != F.col("key")) | (F.col("first.n") != F.col("n")) | (F.col("first.doc_id") != F.col("doc_id"))).select("doc_id", "key", "n")
+
+
 def drop_recurring(
     docs: DataFrame, lead: int = 3, contexts: int = 10, similarity: float = 0.75, min_tokens: int = 3
 ) -> DataFrame:
     """All input columns with text cleaned, and the columns _n_lines and _n_dropped."""
+    return without(docs, dropped(docs, lead, contexts, similarity, min_tokens))
+
+
+def drop_by_documents(docs: DataFrame, lead: int = 3, documents: int = 10, similarity: float = 0.75) -> DataFrame:
+    """As drop_recurring, by documents in place of neighbour pairs."""
+    return without(docs, dropped_by_documents(docs, lead, documents, similarity))
+
+
+def without(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The documents without these lines (doc_id, key, n)."""
     text = F.col("text").cast("string")
-    gone = dropped(docs, lead, contexts, similarity, min_tokens).groupBy("doc_id", "key").agg(F.collect_set("n").alias("_gone"))
+    gone = lines.groupBy("doc_id", "key").agg(F.collect_set("n").alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_gone")
     met = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_key"]), "left")
     stays = F.array_join(F.expr("filter(split(cast(text as string), '\\n'), (s, i) -> not array_contains(_gone, i))"), "\n")

@@ -156,6 +156,21 @@ def test_recurring_lines_equal_brute_force(docs):
     assert [(r.text, r._n_lines, r._n_dropped) for r in odd] == [(None, 0, 0), ("", 1, 0)]
 
 
+def test_lines_recur_by_documents(docs):
+    """A footer's inner lines, one-line documents of a template and short lines go; near copies count once."""
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") + str(rng.choice("uvwxyz")) for _ in range(n))
+    footer = ["Imprint", "We use cookies on this site", "All of it is free", "Read our terms of use"]
+    rows = ["\n".join([say(30), *footer, say(30)]) for _ in range(12)]
+    rows += [f"Visitor number {k} was here today" for k in range(12)]
+    story = [say(12) for _ in range(8)]
+    rows += ["\n".join([*story, say(3)]) for _ in range(15)]
+    got = {r.doc_id: r.text for r in lines.drop_by_documents(docs(list(enumerate(rows)))).collect()}
+    assert got[0] == rows[0] and all(got[i] == "\n".join(rows[i].split("\n")[::5]) for i in range(1, 12))
+    assert got[12] == rows[12] and all(got[i] == "" for i in range(13, 24))
+    assert all(got[i] == rows[i] for i in range(24, 39))
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
