@@ -17,7 +17,8 @@ under a limit and joined by a shuffle beyond it. Texts are shuffled once, to mee
 
 `drop_by_documents` is the pipeline's rule and differs in what recurs: a template recurs when it stands in at least
 `documents` documents, near copies (five-word shingles, 80 %) counted as one, so the inner lines of a boilerplate
-block and documents of one template line go as well. Every line that holds a letter outside its masked fields takes part.
+block and documents of one template line go as well. A leaf holds as many templates as its lines make, also of lines
+that are all different. Every line that holds a letter outside its masked fields takes part.
 `drop_recurring` keeps to neighbour pairs, which the SQL of op8_line_templates fixes.
 
 Edge cases: a null text stays null with no lines; an empty text has one blank line; documents with the same id and
@@ -89,7 +90,9 @@ def dropped(docs: DataFrame, lead: int, contexts: int, similarity: float, min_to
 def clustered(times: DataFrame, documents: int, similarity: float) -> DataFrame:
     """(leaf, m, template) of the distinct masked lines (leaf, m, masked, times) of each leaf.
 
-    The line in most groups (ties: the smallest) is a template and takes all lines that agree with it.
+    The line in most groups (ties: the smallest) is a template and takes all lines that agree with it; so again with
+    the lines left over, until they are in too few groups for a template. Only distinct masked lines of a leaf meet in
+    one task, but the work is their number times the number of clusters.
     """
 
     def assign(leaf: pd.DataFrame) -> pd.DataFrame:
@@ -98,9 +101,11 @@ def clustered(times: DataFrame, documents: int, similarity: float) -> DataFrame:
         codes = pd.factorize(np.array([w for line in words for w in line], dtype=object))[0].reshape(len(words), -1)
         m, n = leaf["m"].to_numpy(), leaf["times"].to_numpy()
         template, left = m.copy(), np.arange(len(m))
-        if n[left].sum() >= documents:
+        while n[left].sum() >= documents:
             fits = (codes[left] == codes[left[0]]).sum(1) >= similarity * codes.shape[1]
+            fits[0] = True
             template[left[fits]] = m[left[0]]
+            left = left[~fits]
         return pd.DataFrame({"leaf": leaf["leaf"], "m": m, "template": template})
 
     return times.groupBy("leaf").applyInPandas(assign, "leaf long, m long, template long")

@@ -171,6 +171,16 @@ def test_lines_recur_by_documents(docs):
     assert all(got[i] == rows[i] for i in range(24, 39))
 
 
+def test_a_leaf_holds_all_its_templates(docs):
+    """Two templates of the same length and leading words, the names in them all different."""
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(1000 + k))
+    rows = [f"Article written by {word(i)} {word(i + 50)} for the Daily Example" for i in range(12)]
+    rows += [f"Article written by our man in {word(i)} last night" for i in range(14)]
+    rows += [f"Article written by {' '.join(word(100 + 9 * i + j) for j in range(6))}" for i in range(6)]
+    got = {r.doc_id: r._n_dropped for r in lines.drop_by_documents(docs(list(enumerate(rows)))).collect()}
+    assert got == {i: int(i not in (0, 12) and i < 26) for i in range(len(rows))}
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
