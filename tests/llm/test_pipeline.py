@@ -51,6 +51,15 @@ def test_stages_act_and_keep_clean_documents(spark, tmp_path):
     assert {i for i, _ in pieces} == set(texts) and all(n == total for (_, total), n in pieces.items())
 
 
+def test_near_stage_compares_five_words(spark):
+    """One changed word in 24: close on two-word shingles, not on five-word ones."""
+    words = [f"w{k}" for k in range(24)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:12], "new", *words[13:]])), (3, " ".join([*words, "w24"]))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.component_id for r in neardup.groups(docs, size=2).collect()} == {1}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 2}
+
+
 def test_run_over_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
