@@ -6,8 +6,11 @@ rule decides. A rule is indexed under its first token, met by an equi-join on th
 holds when all its tokens are there. URLs without a label count against a rule, so that a token combination is only
 blocked when nearly all URLs that have it were labelled so.
 
-A URL gives at most nine tokens (top two host labels, leading label, two path segments, file ending, query keys),
-which bounds the mined sets to 2^9 for each URL; equal token sets are judged once. Digits are folded to 0.
+A URL's tokens are all its host labels, path segments and query keys and the words inside them, at any place; and its
+top, second and leading host labels, first two path segments, file ending and whole query keys as such. Digits are
+folded to 0. Support bounds the mining: an item in fewer blocked URLs than the support asks for is in no rule and is
+left out before FP-growth, and of items that stand in the very same URLs one is mined for all. Neither changes a
+verdict. Equal token sets are judged once.
 
 Edge cases: a null URL or one without `://` has an empty host and path, no tokens, and is allowed; repeated pages and
 null ids each give their own row; an empty table, or one without blocked URLs, is judged without mining.
@@ -15,6 +18,8 @@ null ids each give their own row; an empty table, or one without blocked URLs, i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,28 +50,42 @@ def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tup
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    labels = F.split(host, r"\.")
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    """Every host label, path segment and query key, the words of those that have several, and some by their place."""
     fold = lambda c: F.regexp_replace(c, "[0-9]+", "0")
+    full = lambda c: F.filter(c, lambda x: x != "")
+    labels = full(F.split(host, r"\."))
+    end = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    keys = F.array_sort(F.array_distinct(F.transform(F.split(query, "&"), lambda kv: F.regexp_extract(kv, "^[^=]*", 0))))
-    item = lambda kind, c, when: F.when(when, F.concat(F.lit(kind + "="), c))
-    n = F.size(labels)
-    made = F.array(
-        item("top", F.element_at(labels, -1), host != ""),
-        item("site", F.try_element_at(labels, F.lit(-2)), n > 1),
-        item("lead", fold(F.try_element_at(labels, F.lit(1))), n > 2),
+    keys = full(F.transform(F.split(query, "&"), lambda kv: F.regexp_extract(kv, "^[^=]*", 0)))
+    parts = full(F.split(path, "/"))
+
+    def items(kind: str, c: Column) -> list[Column]:
+        words = F.flatten(F.transform(F.filter(F.transform(c, lambda x: full(F.split(fold(x), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), lambda w: F.size(w) > 1), lambda w: w))
+        return [F.transform(c, lambda x: F.concat(F.lit(kind + "="), fold(x))), F.transform(words, lambda w: F.concat(F.lit(kind + "~"), w))]
+
+    item = lambda name, c, when: F.when(when, F.concat(F.lit(name + "="), c))
+    placed = F.array(
+        item("top", F.try_element_at(labels, F.lit(-1)), F.size(labels) > 0),
+        item("site", F.try_element_at(labels, F.lit(-2)), F.size(labels) > 1),
+        item("lead", fold(F.try_element_at(labels, F.lit(1))), F.size(labels) > 2),
         item("dir1", fold(F.try_element_at(parts, F.lit(1))), F.size(parts) > 0),
         item("dir2", fold(F.try_element_at(parts, F.lit(2))), F.size(parts) > 1),
-        item("end", F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1), F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1) != ""),
-        item("keys", F.array_join(keys, "&"), query != ""),
+        item("end", end, end != ""),
+        item("keys", F.array_join(F.array_sort(F.array_distinct(keys)), "&"), F.size(keys) > 0),
     )
-    return F.array_sort(F.array_compact(F.array_distinct(made)))
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(placed), *items("host", F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))), *items("dir", parts), *items("key", keys))))
 
 
 def mine(sets: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Association rules `antecedent => block` over (tokens, label) rows."""
-    items = sets.select(F.when(F.col("label"), F.array_append("tokens", F.lit(LABEL))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0")
+    least = math.ceil(min_support * sets.where("label or size(tokens) > 0").count())
+    each = sets.select(F.explode("tokens").alias("token"), "label", F.xxhash64("tokens").cast("decimal(38,0)").alias("h"))
+    counted = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("label").alias("blocked"), F.sum("h").alias("h"))
+    # the first of the items that stand in the same URLs
+    able = counted.where(F.col("blocked") >= least).groupBy("n", "h").agg(F.min("token").alias("token")).agg(F.sort_array(F.collect_list("token")).alias("able"))
+    held = sets.crossJoin(F.broadcast(able)).select("label", F.array_intersect("tokens", "able").alias("few"), (F.col("label") | (F.size("tokens") > 0)).alias("counts"))
+    # rows without such an item stay, as one item that is in no rule, so that support keeps its base
+    items = held.where("counts").select(F.when(F.col("label"), F.array_append("few", F.lit(LABEL))).when(F.size("few") > 0, F.col("few")).otherwise(F.array(F.lit("none"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     return model.associationRules.where(F.col("consequent")[0] == LABEL).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
 

@@ -260,5 +260,21 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_rules.judge(df.where("url like '%blog%'")).collect()} == {"allow"}
 
 
+def test_url_rules_mine_any_token(spark):
+    """What alone tells the pages apart is a middle host label, a word of it, a third path segment, a second query key."""
+    urls = []
+    for bad in ("http://m.casino-win.example.{t}/{d}/a{k}", "http://m.free-pills.example.{t}/{d}/a{k}", "http://m.a.example.{t}/{d}/x/bets", "http://m.b.example.{t}/{d}/y?id={k}&buy=1"):
+        urls += [bad.format(t="org", d="es", k=k) for k in range(60)] + [bad.format(t="io", d="it", k=k) for k in range(3)]
+    urls += ["http://m.other-pills.example.io/it/a", "http://m.cheap-free.example.io/it/a"]
+    urls += [f"http://m.{x}.example.io/it/{y}" for x in "abcd" for y in ("a0", "x/z", "y?id=1", "x")] * 6
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.decided_by) for r in url_rules.judge(df).collect()}
+    for i, u in enumerate(urls):
+        if ".io/" in u and ("casino" in u or "pills" in u or "free" in u or "bets" in u or "buy" in u):
+            assert got[i] == ("block", "mined"), u
+        elif ".io/" in u:
+            assert got[i] == ("allow", "default"), u
+
+
 def test_every_query_is_registered():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
