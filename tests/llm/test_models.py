@@ -197,6 +197,15 @@ def test_licences(docs):
     assert licenses.scan(docs([])).collect() == []
 
 
+def test_wrapped_and_whole_licences(docs):
+    gpl = "# Some tool\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# More."
+    mit = 'Copyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above.'
+    span = "Some long words stand before what matters here and this tool is\nreleased under the\nMIT License and then there are many more of them without an end"
+    rows = [(1, gpl), (2, mit), (3, mit.split("\n\n")[1].replace("\n", " ")), (4, gpl.replace("version 3", "version 2")), (5, gpl.replace("General", "Affero General")), (6, span), (7, "Licensed under\nCC BY-SA 4.0."), (8, gpl.replace("free", "x").replace("License", "y").replace("General", "z").replace("version 3", "w"))]
+    got = {r.doc_id: (r.n_statements, r.licenses) for r in licenses.scan(docs(rows)).collect()}
+    assert got == {1: (1, "GPL-3.0"), 2: (1, "MIT"), 3: (1, "MIT"), 4: (1, "GPL-2.0"), 5: (1, "AGPL-3.0"), 6: (1, "MIT"), 7: (1, "CC-BY-SA-4.0"), 8: (0, None)}
+
+
 def test_anchor_words_lose_nothing():
     """Statements at the limit, made by cutting and changing templates, hold an anchor word."""
     rng = random.Random(11)
