@@ -507,6 +507,13 @@ def pipeline_curate(spark, d):
     return final.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query()
+def pipeline_curate_near(spark, d):
+    """The whole curation; near copies are what SQL can't express."""
+    final, _ = pipelines.curate(records(spark, d), pipelines.Curation(script=LATIN, min_fraction=0.5))
+    return final.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @query(f"""{REC}, u AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY sha256({NORM}) ORDER BY ord) = 1)
 SELECT source, count(*) AS kept, CAST(sum(length(text)) AS BIGINT) AS chars FROM u WHERE ({REASON}) IS NULL GROUP BY 1""")
 def flagship(spark, d):
