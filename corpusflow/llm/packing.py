@@ -7,17 +7,21 @@ counts are backtracked, and a pattern is used as often as the counts allow. Only
 exactly, a remainder is cut to fill the slack, so just the last window of a pool can be short; that one is cut into
 powers of two, which need no padding.
 
-A pool never leaves its task: nothing is shuffled, memory is bounded by `pool` remainders (five numbers each), and a
-task that is run again packs its own rows again. Sequence ids are the partition's number and a running number.
+A pool never leaves its task: nothing is shuffled, memory is bounded by `pool` remainders and `pool_ids` ids in them,
+and a task that is run again packs its own rows again. Sequence ids are the partition's number and a running number.
 
-Whole texts are tokenised. White space ends words for this tokenizer, so each distinct word is encoded once per task.
+Whole texts are tokenised. White space ends words for this tokenizer, so each distinct word is encoded once and known
+from then on, up to a bound on what a worker keeps.
 
-Edge cases: a null or empty text is its end id alone; equal documents are separate; an empty table gives no pieces.
+Edge cases: a null or empty text is its end id alone; a null id is packed under a null id; rows that share an id or are
+equal are separate documents; remainders of equal length are taken last come first; a very long text is a slice of its
+own and gives its full windows at once; other columns, whatever their names, are not read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -112,7 +116,10 @@ def in_powers_of_two(window: list[tuple[int, int, int]], total: int) -> list[lis
 
 #: Symbols that the tokenizer splits from a letter or digit before them, without the apostrophe (it starts clitics).
 SYMBOLS = '!"#$%&()*+,-./:;=?@[]^_`{|}~'
-LAST = r"[0-9a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]$"
+#: Without U+0130, which lower-cases to a letter and a mark; a mark joins the symbols after it.
+LAST = r"[0-9a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]$"
+#: A unit of its own to the tokenizer, written between units that are encoded at once.
+BAR = "\N{SECTION SIGN}"
 
 
 class Encoder:
@@ -120,9 +127,10 @@ class Encoder:
 
     The tokenizer lower-cases, so A-Z are folded first, except where a text may hold a special token's name. A run of
     symbols after a letter or digit is a unit of its own to it, so the ids of a word are those of its stem and its end.
+    What is known is bounded by `most_units`, and a worker process keeps it from task to task.
     """
 
-    def __init__(self, path: str | None) -> None:
+    def __init__(self, path: str | None, most_units: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -130,28 +138,66 @@ class Encoder:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most_units = Tokenizer.from_file(path), most_units
+        self.bar = self.plain([BAR])[0]
         self.clear()
 
+    @classmethod
+    def of_worker(cls, path: str | None) -> Encoder:
+        kept = sys.__dict__.setdefault("_corpusflow_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, units: list[str], at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units and how many each has; units without a bar go many to a text, with bars between."""
+        lone = [k for k, x in enumerate(units) if BAR in x]
+        if lone:
+            others = [x for x in units if BAR not in x]
+            parts = np.split(*self.split_sizes(others, at_once)) if others else []
+            for k, ids in zip(lone, self.plain([units[k] for k in lone]), strict=True):
+                parts.insert(k, ids)
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int32, len(parts))
+        flat, ends = self.split_sizes(units, at_once)
+        return flat, np.diff(ends, prepend=0, append=len(flat)).astype(np.int32) if units else np.zeros(0, np.int32)
+
+    def split_sizes(self, units: list[str], at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each unit but the last ends."""
+        if not units:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        joined = [f" {BAR} ".join(units[a : a + at_once]) for a in range(0, len(units), at_once)]
+        ids = np.concatenate([x for part in self.plain(joined) for x in (part, self.bar)])
+        n = len(self.bar)
+        hit = np.ones(len(ids) - n + 1, bool)
+        for j, x in enumerate(self.bar):
+            hit &= ids[j : len(ids) - n + 1 + j] == x
+        at = np.flatnonzero(hit)
+        gone = np.zeros(len(ids), bool)
+        for j in range(n):
+            gone[at + j] = True
+        return ids[~gone], (at - n * np.arange(len(at)))[:-1]
+
     def known(self, units: list[str]) -> np.ndarray:
         """Each unit's place in `size`; new units are encoded."""
         new = [x for x in units if x not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            codes = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.size = np.append(self.size, np.fromiter(map(len, codes), np.int32, len(codes)))
-            self.flat = np.concatenate([self.flat, *codes])
+            flat, size = self.encoded(new)
+            self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
         return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the first id's place of each text (one more than texts), end ids not included."""
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, an end id after each text, and the first id's place of each text (one more than texts)."""
         special = pc.any(pc.match_substring(texts, "<|")).as_py()
         w = split_words(texts, PLAIN if special else LOWER)
-        if len(self.place) > 600_000:
+        if len(self.place) > self.most_units:
             self.clear()
         stem = pc.utf8_rtrim(w.vocab, SYMBOLS)
         cut = pc.and_(pc.not_equal(stem, w.vocab), pc.match_substring_regex(stem, LAST))
@@ -162,11 +208,12 @@ class Encoder:
         stem_at = self.known(listed(stems.dictionary))[stems.indices.to_numpy(zero_copy_only=False)]
         end_at = self.known(listed(ends.dictionary))[ends.indices.to_numpy(zero_copy_only=False)]
         first = np.cumsum(self.size, dtype=np.int64) - self.size
-        # ids of the distinct words, then of all words
+        # ids of the distinct words and of the end, then of all words
         flat, start = ragged(self.flat, np.stack([first[stem_at], first[end_at]], 1).reshape(-1), np.stack([self.size[stem_at], self.size[end_at]], 1).reshape(-1))
-        size = (self.size[stem_at] + self.size[end_at]).astype(np.int32)
-        ids, places = ragged(flat, start[:-1:2][w.ids], size[w.ids])
-        return ids, places[w.starts]
+        size = np.append(self.size[stem_at] + self.size[end_at], 1).astype(np.int32)
+        word = np.insert(w.ids, w.starts[1:], len(w.vocab))
+        ids, places = ragged(np.append(flat, np.uint32(end_id)), start[::2][word], size[word])
+        return ids, places[w.starts + np.arange(len(w.starts))]
 
 
 def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,13 +225,14 @@ def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return flat[at], starts
 
 
-def packed(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None = None, pool: int = 50_000, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None = None, pool: int = 50_000, pool_ids: int = 4_000_000, with_ids: bool = False) -> DataFrame:
     """One row per piece; with_ids adds the token ids themselves. path: the tokenizer's file on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = Encoder.of_worker(path)
         number = TaskContext.get().partitionId() << 36
         rest: list[tuple] = []  # remainders: doc_id, start, ids, doc_tokens
+        waiting = 0
 
         def rows(pieces: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*pieces, strict=True))
@@ -194,33 +242,34 @@ def packed(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | Non
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, rest
+            nonlocal number, rest, waiting
             out = []
             for part in pack([len(x[2]) for x in rest], window):
                 offset = 0
                 for item, start, length in part:
                     doc_id, first, ids, tokens = rest[item]
                     ids = ids[start : start + length]
-                    out.append((doc_id, first + start, length, zlib.crc32(ids.tobytes()), tokens, number, offset, ids))
+                    out.append((doc_id, first + start, length, zlib.crc32(ids), tokens, number, offset, ids if with_ids else None))
                     offset += length
                 number += 1
-            rest = []
+            rest, waiting = [], 0
             if out:
                 yield rows(out)
 
-        for batch in sliced(batches, 6 << 20):
-            flat, starts = encode(batch.column("text"))
+        for batch in sliced(batches, 3 << 20):
+            flat, starts = encode(batch.column("text"), end_id)
+            flat = flat.astype("<u4", copy=False)
             out = []
-            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                ids = np.append(flat[starts[k] : starts[k + 1]], np.uint32(end_id)).astype("<u4")
-                tokens = len(ids)
-                for a in range(0, tokens - window + 1, window):
-                    part = ids[a : a + window]
-                    out.append((doc_id, a, window, zlib.crc32(part.tobytes()), tokens, number, 0, part))
+            for doc_id, begin, end in zip(batch.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                tokens = end - begin
+                for a in range(begin, end - window + 1, window):
+                    part = flat[a : a + window]
+                    out.append((doc_id, a - begin, window, zlib.crc32(part), tokens, number, 0, part))
                     number += 1
                 if left := tokens % window:
-                    rest.append((doc_id, tokens - left, ids[tokens - left :].copy(), tokens))
-                if len(rest) >= pool:
+                    rest.append((doc_id, tokens - left, flat[end - left : end].copy(), tokens))
+                    waiting += left
+                if len(rest) >= pool or waiting >= pool_ids:
                     yield from flush()
             if out:
                 yield rows(out)

@@ -150,6 +150,42 @@ def words8(text):
     return out
 
 
+def test_encoder_equals_the_plain_tokenizer():
+    """Words of letters, marks, symbols and separators of all kinds, in units that are encoded many at once or alone."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(30)
+    kinds = ["abcxyzABC", "0123456789", "'.,!?-_()[]:;/&%$#@*", "\u0130\u0131\u00df\u00e9\u00c9\u01c5\u0345", "\u0301\u0307\u0308", "\u00a7\u00b6\u2063", "\u4e2d\u0b95\u0bcd\U0001f600", "\u00a0\u2003\u200b"]
+    word = lambda: "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(1, 9)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 12))) for _ in range(3000)] + ["", "\u0130.", "AL\u0130, GELD\u0130.", "DEN\u0130ZL\u0130!", "<|endoftext|> A <|startoftext|>b", "it's they'LL \u00a7\u00a7 x\u00a7", "\u00a7"]
+    encode = packing.Encoder(None, most_units=500)
+    for a in range(0, len(texts), 211):
+        part = texts[a : a + 211]
+        ids, starts = encode(pa.array(part, pa.string()), 1)
+        for k, text in enumerate(part):
+            assert ids[starts[k] : starts[k + 1]].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_packing_of_repeated_rows_and_small_pools(spark):
+    """Rows that share an id, a null id and equal rows are documents of their own; every token lies in one piece."""
+    rows = [(7, "one two three " * 40), (7, "other text"), (7, "other text"), (None, "no id here"), (8, None), (9, "x " * 5000)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, sequence_id int").repartition(1)
+    got = packing.packed(df, window=64, pool=2, pool_ids=90).collect()
+    assert sorted({r.doc_tokens for r in got if r.doc_id == 7}) == [3, 121] and sum(r.length for r in got if r.doc_id == 7) == 121 + 3 + 3
+    assert sum(r.length for r in got if r.doc_id == 9) == 5001 and sum(r.length for r in got if r.doc_id is None) == 4
+    sizes = defaultdict(list)
+    for r in got:
+        sizes[r.sequence_id].append((r.offset, r.length))
+    for parts in sizes.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        total = sum(n for _, n in parts)
+        assert total == 64 or total & (total - 1) == 0
+
+
 def test_benchmark_hits_equal_brute_force(spark, docs):
     """Items that share windows, short items, equal items, periodic items; one automaton and several."""
     rng = random.Random(10)
