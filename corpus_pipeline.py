@@ -22,14 +22,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring line templates are cut after their first occurrence; a document of nothing else goes."""
-    cut = lines.drop_by_documents(docs)
-    return cut.where("_n_dropped = 0 or _n_dropped < _n_lines and trim(text) <> ''").drop("_n_lines", "_n_dropped")
+    """Line templates that recur across documents are cut after their first occurrence; a document of nothing else goes."""
+    return lines.keep_with_text(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles) stays."""
-    return neardup.one_of_each(docs, size=5)
+    return neardup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,14 @@ ALNUM = bytes(
 SLICE_BYTES = 12 << 20
 
 
+def free(columns: list[str], name: str) -> str:
+    """The name, or a longer one where the columns hold it already in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Words(NamedTuple):
     """Words of consecutive texts: ids into vocab, and the first word's place of each text (one more than texts)."""
 

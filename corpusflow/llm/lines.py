@@ -1,55 +1,39 @@
 """Line dedup by a log-template tree: recurring line templates are dropped after their first occurrence.
 
 The tree has a fixed depth: a line goes down by its number of tokens and its leading tokens, fields with a digit
-masked as <*>. A leaf's most frequent masked line, if it occurs in two contexts, is its template; a line that agrees with it on at least
-`similarity` of all tokens is an instance of it, and the fields that differ are its variable fields. Any other line
-is its own template. So a template is a function of the whole corpus and not of the order in which lines arrive.
-
-A template recurs when it stands between at least `contexts` different pairs of neighbouring lines. Copies of a
-document repeat its lines between the same neighbours and so count once: they are left to the document-level
-operators, and lines that merely belong to copied documents stay. Of a recurring template the first occurrence
-(lowest doc_id, then line) stays, every other goes. Blank lines and lines of fewer than `min_tokens` tokens stay.
-
-Scale: leaves, templates and contexts are counted by partial aggregation on 64-bit hashes, in two steps (distinct
-pairs, then pairs per key), so a line that makes up a third of all lines is summed before it is shuffled. Only lines of
-leaves that have a template and enough contexts carry their text on; those leaves are broadcast while their count is
-under a limit and joined by a shuffle beyond it. Texts are shuffled once, to meet their dropped line numbers.
-
-`drop_by_documents` is the pipeline's rule and differs in what recurs: a template recurs when it stands in at least
-`documents` documents, near copies (five-word shingles, 80 %) counted as one, so the inner lines of a boilerplate
-block and documents of one template line go as well. A leaf holds as many templates as its lines make, also of lines
-that are all different. Every line that holds a letter outside its masked fields takes part.
-`drop_recurring` keeps to neighbour pairs, which the SQL of op8_line_templates fixes.
-
-Edge cases: a null text stays null with no lines; an empty text has one blank line; documents with the same id and
-text are treated alike; rows without an id are passed through unchanged; an empty table gives an empty result.
+masked as <*>. In a leaf, a field is constant where its token stands at that place in many of the leaf's lines (in
+`documents` at least, and in `share` of the leaf's documents), else it is variable. A line whose constant fields,
+leading ones included, are `similarity` of all and half of those after the leading ones generalises to its constants;
+any other line is its own template. So a leaf holds as many templates as its lines make, and a template is a function
+of the whole corpus and not of the order in which lines arrive.
+
+A template recurs when it stands in at least `documents` different documents; documents with equal texts count once.
+Of a recurring template the first occurrence (lowest doc_id, then line) stays, every other goes. Lines without a letter
+outside their masked fields stay.
+
+Scale: everything is counted by partial aggregation on 64-bit hashes, in two steps (distinct pairs, then pairs per key),
+so a line or leaf that makes up a third of all lines is summed before it is shuffled. Fields are counted on the
+distinct masked lines of leaves that reach `documents`; only those lines carry text on. Tables that are met by a hash of
+few rows are broadcast while their count is under a limit and joined by a shuffle beyond it, which adaptive execution
+splits where a key is hot. Texts are shuffled once, to meet their dropped line numbers.
+
+Edge cases: a null text stays null with no lines; an empty text has one blank line; a very long text or line is one row
+like any other; ties between occurrences go to the lower line, then to the smaller text hash; a null id comes after
+all others; rows that share both id and text are treated alike (all keep a first occurrence), rows that share only the
+id are told apart by their texts; columns keep their values whatever their names, but for `_n_lines` and `_n_dropped`,
+which `drop_recurring` sets; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm import neardup
+from corpusflow.llm._text import free
 from corpusflow.session import cut
 
 BLANK = r"[\x20\x09-\x0D]+"
-
-
-def hashed(docs: DataFrame, lead: int, min_tokens: int) -> DataFrame:
-    """Lines with their leaf, masked text and context as hashes: doc_id, key, n, leaf, m, context, size, masked."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("key"), F.split(text, "\n").alias("all"))
-    around = F.transform("all", lambda s, i: F.struct(
-        s.alias("line"), F.xxhash64(F.coalesce(F.get("all", i - 1), F.lit("")), F.coalesce(F.get("all", i + 1), F.lit(""))).alias("context")))
-    lines = rows.where("doc_id is not null and all is not null").select("doc_id", "key", F.posexplode(around).alias("n", "x"))
-    lines = lines.select("doc_id", "key", "n", "x.context", one_spaced(F.col("x.line")).alias("flat"))
-    lines = lines.select("doc_id", "key", "n", "context", mask(F.col("flat")).alias("masked"))
-    spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
-    lines = lines.withColumn("size", spaces + 1).where(F.col("size") >= min_tokens)
-    return lines.select("doc_id", "key", "n", "context", "size", F.xxhash64("size", F.substring_index("masked", " ", lead)).alias("leaf"), F.xxhash64("masked").alias("m"), "masked")
+LAST_ID = 2**63 - 1
 
 
 def one_spaced(line: Column) -> Column:
@@ -65,87 +49,72 @@ def mask(flat: Column) -> Column:
     return F.when(flat.rlike("[0-9]"), F.array_join(F.transform(F.split(flat, " "), lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w)), " ")).otherwise(flat)
 
 
-def dropped(docs: DataFrame, lead: int, contexts: int, similarity: float, min_tokens: int, most_broadcast: int = 200_000) -> DataFrame:
-    """(doc_id, key, n) of the lines to drop."""
-    lines = hashed(docs, lead, min_tokens)
-    h = cut(lines.drop("masked", "size", "doc_id", "key", "n").distinct())
-    hot = h.select("leaf", "context").distinct().groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf")
-    times = h.groupBy("leaf", "m").agg(F.count("*").alias("times")).where("times > 1")
-    best = times.join(hot, "leaf").groupBy("leaf").agg(F.max("times").alias("times"))
-    tops = cut(times.join(best, ["leaf", "times"]).select("leaf", "m"))  # with ties
-    leaves = cut(tops.select("leaf").distinct())
-    small = leaves.count() <= most_broadcast  # 8 bytes each; beyond that the join shuffles
-    inside = cut(lines.join(F.broadcast(leaves) if small else leaves, "leaf"))
-    top = inside.join(tops, ["leaf", "m"]).groupBy("leaf").agg(F.min("masked").alias("top"))
-    same = F.aggregate(F.zip_with(F.split("masked", " "), F.split("top", " "), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    fits = (F.col("masked") == F.col("top")) | (same >= similarity * F.col("size"))
-    near = inside.join(top, "leaf").select("doc_id", "key", "n", "context", F.when(fits, F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "m")).alias("template"))
-    near = cut(near)
-    recurring = near.select("template", "context").distinct().groupBy("template").count().where(F.col("count") >= contexts).select("template")
-    firsts = near.groupBy("template").agg(F.min(F.struct("doc_id", "n", "key")).alias("first"))
-    kept = near.join(recurring.join(firsts, "template"), "template")
-    return kept.where((F.col("first.key") != F.col("key")) | (F.col("first.n") != F.col("n")) | (F.col("first.doc_id") != F.col("doc_id"))).select("doc_id", "key", "n")
-
-
-def clustered(times: DataFrame, documents: int, similarity: float) -> DataFrame:
-    """(leaf, m, template) of the distinct masked lines (leaf, m, masked, times) of each leaf.
-
-    The line in most groups (ties: the smallest) is a template and takes all lines that agree with it; so again with
-    the lines left over, until they are in too few groups for a template. Only distinct masked lines of a leaf meet in
-    one task, but the work is their number times the number of clusters.
-    """
-
-    def assign(leaf: pd.DataFrame) -> pd.DataFrame:
-        leaf = leaf.sort_values(["times", "masked"], ascending=[False, True], ignore_index=True)
-        words = [line.split(" ") for line in leaf["masked"]]
-        codes = pd.factorize(np.array([w for line in words for w in line], dtype=object))[0].reshape(len(words), -1)
-        m, n = leaf["m"].to_numpy(), leaf["times"].to_numpy()
-        template, left = m.copy(), np.arange(len(m))
-        while n[left].sum() >= documents:
-            fits = (codes[left] == codes[left[0]]).sum(1) >= similarity * codes.shape[1]
-            fits[0] = True
-            template[left[fits]] = m[left[0]]
-            left = left[~fits]
-        return pd.DataFrame({"leaf": leaf["leaf"], "m": m, "template": template})
-
-    return times.groupBy("leaf").applyInPandas(assign, "leaf long, m long, template long")
-
-
-def dropped_by_documents(docs: DataFrame, lead: int, documents: int, similarity: float) -> DataFrame:
-    """(doc_id, key, n) of the lines to drop: templates in `documents` groups of near copies or more, but their first lines."""
-    groups = neardup.groups(docs, size=5).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("grp"))
-    lines = hashed(docs, lead, 1).where(F.replace("masked", F.lit("<*>"), F.lit("")).rlike(r"\p{L}"))
-    lines = lines.join(cut(groups), "doc_id").select("doc_id", "key", "n", "leaf", "m", "masked", "grp")
-    hot = cut(lines.select("leaf", "grp").distinct().groupBy("leaf").count().where(F.col("count") >= documents).select("leaf"))
-    inside = cut(lines.join(hot, "leaf"))
-    pairs = inside.groupBy("leaf", "m", "grp").agg(F.first("masked").alias("masked"))
-    times = pairs.groupBy("leaf", "m").agg(F.first("masked").alias("masked"), F.count("*").alias("times"))
-    near = cut(inside.drop("masked").join(clustered(times, documents, similarity), ["leaf", "m"]))
-    recurring = near.select("leaf", "template", "grp").distinct().groupBy("leaf", "template").count().where(F.col("count") >= documents).drop("count")
-    firsts = near.groupBy("leaf", "template").agg(F.min(F.struct("doc_id", "n", "key")).alias("first"))
-    kept = near.join(recurring.join(firsts, ["leaf", "template"]), ["leaf", "template"])
-    return kept.where((F.col("first.key") != F.col("key")) | (F.col("first.n") != F.col("n")) | (F.col("first.doc_id") != F.col("doc_id"))).select("doc_id", "key", "n")
-
-
-def drop_recurring(
-    docs: DataFrame, lead: int = 3, contexts: int = 10, similarity: float = 0.75, min_tokens: int = 3
-) -> DataFrame:
+def placed(docs: DataFrame, lead: int) -> DataFrame:
+    """Lines with tokens and their leaf: id, key, n, flat, leaf."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("key"), F.split(text, "\n").alias("all"))
+    lines = rows.select("id", "key", F.posexplode("all").alias("n", "line")).select("id", "key", "n", one_spaced(F.col("line")).alias("flat")).where("flat <> ''")
+    size = F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit("")))
+    return lines.select("id", "key", "n", "flat", F.xxhash64(size, mask(F.substring_index("flat", " ", lead))).alias("leaf"))
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """Marked for broadcast if it has few rows (of some numbers each); it must be cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def templates(kinds: DataFrame, leaves: DataFrame, lead: int, documents: int, similarity: float, share: float) -> DataFrame:
+    """(leaf, m, template) of the distinct masked lines (leaf, m, masked, times); leaves: (leaf, docs)."""
+    fields = kinds.select("leaf", "m", "times", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    counted = fields.where(F.col("at") >= lead).groupBy("leaf", "at", "token").agg(F.sum("times").alias("times")).where(F.col("times") >= documents)
+    constant = counted.join(small(leaves), "leaf").where(F.col("times") >= F.col("docs") * share).select("leaf", "at", "token", F.lit(True).alias("constant"))
+    met = fields.join(constant, ["leaf", "at", "token"], "left")
+    is_constant = (F.col("at") < lead) | F.coalesce("constant", F.lit(False))
+    one = F.struct("at", F.when(is_constant, F.col("token")).otherwise("<*>").alias("token"))
+    after = F.count_if(is_constant & (F.col("at") >= lead))
+    lines = met.groupBy("leaf", "m").agg(F.array_sort(F.collect_list(one))["token"].alias("tokens"), F.count_if(is_constant).alias("same"), after.alias("same_after"))  # a line's fields
+    size = F.size("tokens")
+    general = (F.col("same") >= similarity * size) & (2 * F.col("same_after") >= size - lead)
+    return lines.select("leaf", "m", F.when(general, F.xxhash64("leaf", "tokens")).otherwise(F.xxhash64("leaf", "m")).alias("template"))
+
+
+def dropped(docs: DataFrame, lead: int, documents: int, similarity: float, share: float) -> DataFrame:
+    """(id, key, n) of the lines to drop."""
+    lines = placed(docs, lead)
+    hot = cut(lines.select("leaf", "key").distinct().groupBy("leaf").count().where(F.col("count") >= documents).select("leaf"))
+    inside = lines.join(small(hot), "leaf").select("id", "key", "n", "leaf", mask(F.col("flat")).alias("masked"))
+    inside = inside.where(F.replace("masked", F.lit("<*>"), F.lit("")).rlike(r"\p{L}"))
+    inside = cut(inside.withColumn("m", F.xxhash64("masked")))
+    pairs = inside.groupBy("leaf", "m", "key").agg(F.first("masked").alias("masked"))
+    kinds = cut(pairs.groupBy("leaf", "m").agg(F.first("masked").alias("masked"), F.count("*").alias("times")))
+    leaves = cut(inside.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= documents))
+    named = cut(templates(kinds.join(small(leaves).select("leaf"), "leaf"), leaves, lead, documents, similarity, share))
+    near = cut(inside.drop("masked").join(small(named), ["leaf", "m"]).select("id", "key", "n", "template"))
+    recurring = near.select("template", "key").distinct().groupBy("template").count().where(F.col("count") >= documents).select("template")
+    firsts = near.groupBy("template").agg(F.min(F.struct("id", "n", "key")).alias("first"))
+    known = cut(recurring.join(firsts, "template"))
+    return near.join(small(known), "template").where(F.col("first") != F.struct("id", "n", "key")).select("id", "key", "n")
+
+
+def drop_recurring(docs: DataFrame, lead: int = 3, documents: int = 10, similarity: float = 0.75, share: float = 0.05) -> DataFrame:
     """All input columns with text cleaned, and the columns _n_lines and _n_dropped."""
-    return without(docs, dropped(docs, lead, contexts, similarity, min_tokens))
-
-
-def drop_by_documents(docs: DataFrame, lead: int = 3, documents: int = 10, similarity: float = 0.75) -> DataFrame:
-    """As drop_recurring, by documents in place of neighbour pairs."""
-    return without(docs, dropped_by_documents(docs, lead, documents, similarity))
-
-
-def without(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The documents without these lines (doc_id, key, n)."""
     text = F.col("text").cast("string")
-    gone = lines.groupBy("doc_id", "key").agg(F.collect_set("n").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_gone")
-    met = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_key"]), "left")
-    stays = F.array_join(F.expr("filter(split(cast(text as string), '\\n'), (s, i) -> not array_contains(_gone, i))"), "\n")
-    n_lines, n_dropped = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))), F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0))
-    new = F.when(F.col("_gone").isNull(), text).otherwise(stays)
-    return met.select(*[new.alias("text") if c == "text" else docs[c] for c in docs.columns], n_lines.cast("long").alias("_n_lines"), n_dropped.cast("long").alias("_n_dropped"))
+    names = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    id_, key, gone = (free(docs.columns, c) for c in ("_id", "_key", "_gone"))
+    lines = dropped(docs, lead, documents, similarity, share).groupBy("id", "key").agg(F.collect_set("n").alias(gone))  # a text's lines
+    rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias(id_), F.xxhash64(text).alias(key))
+    met = rows.join(lines.withColumnsRenamed({"id": id_, "key": key}), [id_, key], "left")
+    stays = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains(gone, i)), "\n")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    n_dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    new = F.when(F.col(gone).isNull(), text).otherwise(stays)
+    return met.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], n_lines.alias("_n_lines"), n_dropped.alias("_n_dropped"))
+
+
+def keep_with_text(docs: DataFrame) -> DataFrame:
+    """The documents without recurring lines, with their columns; one of which nothing but white space is left goes."""
+    renamed = {c: free(docs.columns, f"_own{c}") for c in ("_n_lines", "_n_dropped") if c in docs.columns}
+    cleaned = drop_recurring(docs.withColumnsRenamed(renamed))
+    some = cleaned.where(r"_n_dropped = 0 or text rlike '[^\\x20\\x09-\\x0D]'").drop("_n_lines", "_n_dropped")
+    back = some.withColumnsRenamed({new: old for old, new in renamed.items()})
+    return back.select(*[f"`{c}`" for c in docs.columns])

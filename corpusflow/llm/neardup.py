@@ -1,6 +1,6 @@
 """MinHash near-dedup by a multi-index Hamming join, confirmed on whole shingle sets.
 
-A document's set is its distinct two-word shingles (`size` words; a shorter text is one shingle). Its signature is
+A document's set is its distinct shingles of `size` words, five by default (a shorter text is one shingle). Its signature is
 `chunks * width` b-bit minima. Two sets of Jaccard similarity 0.8 differ in 0.2 of the positions on average; of 95
 positions they differ in more than 37 with a probability under 1e-5 (binomial tail), and in fewer when they are
 closer. With at most 37 differing positions in 19 chunks of five, pigeonhole leaves a chunk with at most one
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusflow.llm._text import LOWER, hash_words, mix, sliced, split_words
+from corpusflow.llm._text import LOWER, free, hash_words, mix, sliced, split_words
 from corpusflow.llm.components import components
 from corpusflow.session import cut
 
@@ -80,7 +80,7 @@ def features(docs: DataFrame, size: int, chunks: int, width: int) -> DataFrame:
     n = chunks * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 6 << 20):
             sets = shingle_sets(batch.column("text"), size)
             full = [k for k, s in enumerate(sets) if len(s)]
             codes: list[bytes | None] = [None] * len(sets)
@@ -148,7 +148,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, most_broadcast: int = 20
     names = [c for c in ids.columns if c != "id"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 6 << 20):
             sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), size)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in names), sets], names=["id", *names, "shingles"])
 
@@ -241,7 +241,7 @@ def closest(met: DataFrame, rivals: int) -> DataFrame:
     return best.select("a", "x.b").distinct()
 
 
-def groups(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 19, width: int = 5, most_bits: int = 20, rivals: int = 2, again: int = 1) -> DataFrame:
+def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19, width: int = 5, most_bits: int = 20, rivals: int = 2, again: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     made = cut(features(docs, size, chunks, width))
     some = made.where("set_hash is not null and doc_id is not null")
@@ -288,7 +288,17 @@ def groups(docs: DataFrame, size: int = 2, percent: int = 80, chunks: int = 19,
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
-    """The documents with one of each group kept: the row with the group's smallest id. All columns stay."""
-    gone = groups(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one row of each group kept, that with the group's smallest id. All columns stay.
+
+    Where rows share an id or have none, they are told apart: of equal rows one stays, a different text is never lost.
+    """
+    row = free(docs.columns, "_row")
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = groups(docs, size, percent).where("not kept").select(F.col("doc_id").alias(row))
+        return docs.join(gone, docs["doc_id"] == gone[row], "left_anti")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = groups(rows.select(F.col(row).alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias(row), "component_id")
+    named = found.join(rows.select(row, F.col("doc_id").alias("own")), row)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", row))[row].alias(row))
+    return rows.join(first.select(row), row, "left_semi").drop(row)

@@ -34,7 +34,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(table(spark, sf_dir, "documents"))
+    return neardup.groups(table(spark, sf_dir, "documents"), size=2)
 
 
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,19 +113,20 @@ SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) n_links, c component_id, vec_id =
 """
 
 OP8 = r"""
-WITH l0 AS (SELECT doc_id, k, hash(text) AS dkey, string_split(text, chr(10)) a, unnest(range(1, len(string_split(text, chr(10))) + 1)) n
-            FROM (SELECT doc_id, text, row_number() OVER () k FROM documents WHERE text IS NOT NULL)),
-l1 AS (SELECT doc_id, k, n, trim(regexp_replace(a[n], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') f,
-              coalesce(CASE WHEN n > 1 THEN a[n - 1] END, '') || chr(10) || coalesce(a[n + 1], '') c FROM l0),
-l2 AS (SELECT doc_id, k, n, c, list_transform(string_split(f, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) w FROM l1),
-l AS (SELECT doc_id, k, n, c, w, array_to_string(w, ' ') m, len(w) || '|' || array_to_string(w[1:3], ' ') leaf FROM l2 WHERE len(w) >= 3),
-hot AS (SELECT leaf FROM l GROUP BY 1 HAVING count(DISTINCT c) >= 10),
-inl AS (SELECT l.* FROM l JOIN hot USING (leaf)),
-top AS (SELECT leaf, string_split(m, ' ') t FROM (SELECT leaf, m, count(DISTINCT c) v FROM inl GROUP BY 1, 2 HAVING count(DISTINCT c) > 1)
-        QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY v DESC, m) = 1),
-t AS (SELECT doc_id, k, n, c, CASE WHEN list_sum(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] = t[i] THEN 1 ELSE 0 END)) >= 0.75 * len(w)
-             THEN leaf ELSE leaf || '||' || m END tpl FROM inl JOIN top USING (leaf)),
-rec AS (SELECT tpl FROM t GROUP BY 1 HAVING count(DISTINCT c) >= 10),
+WITH l0 AS (SELECT doc_id, k, dkey, a, unnest(range(1, len(a) + 1)) n FROM (SELECT doc_id, row_number() OVER () k, md5(text) dkey, string_split(text, chr(10)) a FROM documents WHERE text IS NOT NULL)),
+l1 AS (SELECT doc_id, k, dkey, n, trim(regexp_replace(a[n], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') f FROM l0),
+l2 AS (SELECT doc_id, k, dkey, n, list_transform(string_split(f, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) w FROM l1 WHERE f <> ''),
+l AS (SELECT doc_id, k, dkey, n, w, array_to_string(w, ' ') m, len(w) || '|' || array_to_string(w[1:3], ' ') leaf FROM l2 WHERE regexp_matches(replace(array_to_string(w, ' '), '<*>', ''), '\p{L}')),
+leaves AS (SELECT leaf, count(DISTINCT dkey) docs FROM l GROUP BY 1 HAVING count(DISTINCT dkey) >= 10),
+inl AS (SELECT l.* FROM l JOIN leaves USING (leaf)),
+kinds AS (SELECT leaf, m, any_value(w) w, count(DISTINCT dkey) times FROM inl GROUP BY 1, 2),
+fields AS (SELECT leaf, m, times, len(w) size, unnest(w) token, unnest(range(1, len(w) + 1)) p FROM kinds),
+constants AS (SELECT leaf, p, token FROM (SELECT leaf, p, token, sum(times) s FROM fields WHERE p > 3 GROUP BY 1, 2, 3) JOIN leaves USING (leaf) WHERE s >= greatest(10, 0.05::DOUBLE * docs)),
+met AS (SELECT f.leaf, m, size, f.p, f.token, f.p <= 3 OR c.token IS NOT NULL con FROM fields f LEFT JOIN constants c ON f.leaf = c.leaf AND f.p = c.p AND f.token = c.token),
+named AS (SELECT leaf, m, CASE WHEN count_if(con) >= 0.75 * size AND 2 * count_if(con AND p > 3) >= size - 3
+               THEN 'general|' || leaf || '|' || string_agg(CASE WHEN con THEN token ELSE '<*>' END, ' ' ORDER BY p) ELSE 'own|' || leaf || '|' || m END tpl FROM met GROUP BY leaf, m, size),
+t AS (SELECT doc_id, k, dkey, n, tpl FROM inl JOIN named USING (leaf, m)),
+rec AS (SELECT tpl FROM t GROUP BY 1 HAVING count(DISTINCT dkey) >= 10),
 gone AS (SELECT k, n FROM (SELECT k, n, row_number() OVER (PARTITION BY tpl ORDER BY doc_id, n) r FROM t JOIN rec USING (tpl)) WHERE r > 1),
 per AS (SELECT doc_id, k, count(*) n_lines, count(g.n) n_dropped, string_agg(CASE WHEN g.n IS NULL THEN x END, chr(10) ORDER BY n) kept
         FROM (SELECT doc_id, k, n, a[n] x FROM l0) l LEFT JOIN gone g USING (k, n) GROUP BY 1, 2)

@@ -50,11 +50,11 @@ def test_near_copies_equal_brute_force(docs):
     rows += ["the same words again and again"] * 30 + ["The  same\twords AGAIN and again", "", " ", None, "one", "One", "two"]
     rows += [rows[5] + " tail", rows[5].upper()]
     rows = list(enumerate(rows))
-    got = neardup.groups(docs(rows)).collect()
+    got = neardup.groups(docs(rows), size=2).collect()
     want = near_brute(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
-    kept = neardup.one_of_each(docs(rows)).collect()
+    kept = neardup.one_of_each(docs(rows), size=2).collect()
     assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, c) in want.items() if i == c)
     assert kept[0].key == "k"
 
@@ -70,6 +70,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)}
 
 
+def test_one_of_each_tells_rows_with_one_id_apart(spark):
+    """Rows that share an id or have none: one row of each group stays, and no text of its own is lost."""
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    rows = [(1, text("a")), (5, text("unique")), (5, text("a")), (7, text("b")), (7, text("b")), (7, text("b")), (None, text("c")), (None, text("c")), (9, text("c") + " more"), (None, None), (3, None)]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row int, component_id string")
+    got = neardup.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(r._row for r in got.collect()) in ([0, 1, b, 8, 9, 10] for b in (3, 4, 5))
+
+
 def substring_brute(rows, window):
     texts = {i: words_of(t, lower=False) for i, t in rows}
     seen = Counter(tuple(w[k : k + window]) for w in texts.values() for k in range(len(w) - window + 1))
@@ -105,30 +115,28 @@ def test_repeated_spans_equal_brute_force(docs):
     assert substrings.removed(docs([])).collect() == []
 
 
-def lines_brute(rows, contexts=10, similarity=0.75, min_tokens=3, lead=3):
+def lines_brute(rows, documents=10, similarity=0.75, share=0.05, lead=3):
     """Which lines go, by the documented rule, in plain Python."""
     found = []
     for doc_id, text in rows:
-        parts = text.split("\n")
-        for n, line in enumerate(parts):
-            w = ["<*>" if any(c in "0123456789" for c in x) else x for x in words_of(line, lower=False)]
-            if len(w) >= min_tokens:
-                around = (parts[n - 1] if n else "", parts[n + 1] if n + 1 < len(parts) else "")
-                found.append((doc_id, n, around, w, (len(w), tuple(w[:lead]))))
-    leaf_contexts, times = defaultdict(set), defaultdict(set)
-    for _, _, c, w, leaf in found:
-        leaf_contexts[leaf].add(c)
-        times[leaf, " ".join(w)].add(c)
-    top = {}
-    for (leaf, m), cs in times.items():
-        if len(cs) > 1 and len(leaf_contexts[leaf]) >= contexts and (leaf not in top or (-len(cs), m) < top[leaf]):
-            top[leaf] = (-len(cs), m)
+        for n, line in enumerate((text or "").split("\n")):
+            w = tuple("<*>" if any(c in "0123456789" for c in x) else x for x in words_of(line, lower=False))
+            if any(c.isalpha() for x in w for c in x.replace("<*>", "")):
+                found.append((doc_id, n, text, w, (len(w), w[:lead])))
+    docs, times = defaultdict(set), defaultdict(set)
+    for _, _, text, w, leaf in found:
+        docs[leaf].add(text)
+        times[leaf, w].add(text)
+    fields = Counter()
+    for (leaf, w), texts in times.items():
+        for at, token in enumerate(w):
+            fields[leaf, at, token] += len(texts)
     of = defaultdict(list)
-    for doc_id, n, c, w, leaf in found:
-        if leaf in top:
-            same = sum(a == b for a, b in zip(w, top[leaf][1].split(" "), strict=True))
-            of[leaf if same >= similarity * len(w) else (leaf, " ".join(w))].append((doc_id, n, c))
-    return {x[:2] for places in of.values() if len({c for _, _, c in places}) >= contexts for x in sorted(places)[1:]}
+    for doc_id, n, text, w, leaf in found:
+        constant = [at < lead or fields[leaf, at, x] >= max(documents, share * len(docs[leaf])) for at, x in enumerate(w)]
+        general = sum(constant) >= similarity * len(w) and 2 * sum(constant[lead:]) >= len(w) - lead
+        of[leaf, general, tuple(x if c or not general else "<*>" for x, c in zip(w, constant, strict=True))].append((doc_id, n, text))
+    return {x[:2] for places in of.values() if len({t for _, _, t in places}) >= documents for x in sorted(places)[1:]}
 
 
 def test_recurring_lines_equal_brute_force(docs):
@@ -154,18 +162,30 @@ def test_recurring_lines_equal_brute_force(docs):
         assert r.key == "k" and r.id == "x"
     odd = lines.drop_recurring(docs([(1, None), (2, "")])).orderBy("doc_id").collect()
     assert [(r.text, r._n_lines, r._n_dropped) for r in odd] == [(None, 0, 0), ("", 1, 0)]
+    assert lines.drop_recurring(docs([])).collect() == [] and lines.keep_with_text(docs([])).collect() == []
+
+
+def test_lines_of_repeated_rows_null_ids_and_clashing_columns(spark):
+    """Equal rows are treated alike, a null id comes last, rows that share an id are told apart, other columns stay."""
+    rows = [(k, f"Share this page now\nown text number {'abcdefghijklm'[k]}") for k in range(11)]
+    rows += [(0, rows[0][1]), (0, "another text\nShare this page now"), (None, "Share this page now\nwithout an id"), (20, "Share this page now"), (21, None)]
+    df = spark.createDataFrame([(i, t, k, k, k, "n", "d") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _gone int, `KEY` int, _id int, _n_lines string, _n_dropped string")
+    got = {r._gone: r.text for r in lines.keep_with_text(df).collect()}
+    assert lines.keep_with_text(df).columns == df.columns and {r._n_lines for r in lines.keep_with_text(df).collect()} == {"n"}
+    assert got[0] == got[11] == rows[0][1] and got[12] == "another text" and got[13] == "without an id" and 14 not in got and got[15] is None
+    assert all(got[k] == rows[k][1].split("\n")[1] for k in range(1, 11))
 
 
 def test_lines_recur_by_documents(docs):
-    """A footer's inner lines, one-line documents of a template and short lines go; near copies count once."""
+    """A footer's inner lines, one-line documents of a template and short lines go; equal texts count once."""
     rng = random.Random(21)
     say = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") + str(rng.choice("uvwxyz")) for _ in range(n))
     footer = ["Imprint", "We use cookies on this site", "All of it is free", "Read our terms of use"]
     rows = ["\n".join([say(30), *footer, say(30)]) for _ in range(12)]
     rows += [f"Visitor number {k} was here today" for k in range(12)]
     story = [say(12) for _ in range(8)]
-    rows += ["\n".join([*story, say(3)]) for _ in range(15)]
-    got = {r.doc_id: r.text for r in lines.drop_by_documents(docs(list(enumerate(rows)))).collect()}
+    rows += ["\n".join(story)] * 15
+    got = {r.doc_id: r.text for r in lines.drop_recurring(docs(list(enumerate(rows)))).collect()}
     assert got[0] == rows[0] and all(got[i] == "\n".join(rows[i].split("\n")[::5]) for i in range(1, 12))
     assert got[12] == rows[12] and all(got[i] == "" for i in range(13, 24))
     assert all(got[i] == rows[i] for i in range(24, 39))
@@ -177,7 +197,7 @@ def test_a_leaf_holds_all_its_templates(docs):
     rows = [f"Article written by {word(i)} {word(i + 50)} for the Daily Example" for i in range(12)]
     rows += [f"Article written by our man in {word(i)} last night" for i in range(14)]
     rows += [f"Article written by {' '.join(word(100 + 9 * i + j) for j in range(6))}" for i in range(6)]
-    got = {r.doc_id: r._n_dropped for r in lines.drop_by_documents(docs(list(enumerate(rows)))).collect()}
+    got = {r.doc_id: r._n_dropped for r in lines.drop_recurring(docs(list(enumerate(rows)))).collect()}
     assert got == {i: int(i not in (0, 12) and i < 26) for i in range(len(rows))}
 
 
