@@ -8,9 +8,14 @@ are removed from texts, and documents over a coverage or item limit go.
 Only stretches where a window's rolling hash is one of the items' hashes are streamed; the automaton then confirms
 them word by word, so a hash collision costs time and never a wrong hit.
 
+Scale: the driver builds one automaton for a share of at most about `max_words` words of the items, deals the items to
+shares by hash, and broadcasts each share as flat arrays (some 60 MB at most, whatever the benchmark's size). Documents
+pass the shares one after another in one map; nothing of them is shuffled.
+
 Edge cases: a null text has no words; an empty item or document matches nothing; items with the same text all
-count; an item without an id is ignored; repeated documents each get their own row; an empty benchmark leaves
-every document clean; other columns are neither read nor needed.
+count; an item without an id is ignored; items that share an id count as one; repeated documents and null ids each get
+their own row; a very long text is a slice of its own; an empty table gives no rows, an empty benchmark leaves every
+document clean; other columns, whatever their names, stay as they are in `clean` and are not read by `scan`.
 """
 
 from __future__ import annotations
@@ -26,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from corpusflow.llm._text import ALNUM, Words, hash_words, mix, sliced, split_words
+from corpusflow.llm._text import ALNUM, Words, free, hash_words, mix, sliced, split_words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # words of unfolded texts
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class SuffixAutomaton:
-    """A generalised suffix automaton over words; `outs` lists, by state, the windows that end there."""
+    """A generalised suffix automaton over words, and the windows that end at each state."""
 
     def __init__(self, items: list[tuple[str, list[str]]], window: int) -> None:
         self.next: list[dict[str, int]] = [{}]
@@ -53,10 +58,7 @@ class SuffixAutomaton:
                 matched = min(matched, self.length[state])
                 if k + 1 >= size:
                     found.setdefault(state, {}).setdefault(size, set()).add(item)
-        own = {s: [(m, frozenset(x)) for m, x in sizes.items()] for s, sizes in found.items()}
-        self.outs: list[list[tuple[int, frozenset[str]]]] = [[] for _ in self.link]
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.outs[state] = own.get(state, []) + self.outs[self.link[state]]
+        self.own = found  # by state, then size: the items whose windows end there
 
     def _add(self, last: int, word: str) -> int:
         at = self.next[last].get(word)
@@ -88,44 +90,83 @@ class SuffixAutomaton:
             p = self.link[p]
         return copy
 
+    def frozen(self) -> dict[str, np.ndarray | list[str]]:
+        """Flat arrays: edges by state and word, links, lengths, windows by state and the next state up the links that has any."""
+        names = {w: k for k, w in enumerate(sorted({w for edges in self.next for w in edges}))}
+        keys = np.array([s << 32 | names[w] for s, edges in enumerate(self.next) for w in edges], np.int64)
+        to = np.array([x for edges in self.next for x in edges.values()], np.int32)
+        order = np.argsort(keys)
+        jump = np.zeros(len(self.link), np.int32)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            jump[state] = state if state in self.own else jump[self.link[state]]
+        items = sorted({x for sizes in self.own.values() for found in sizes.values() for x in found})
+        place = {x: k for k, x in enumerate(items)}
+        rows = sorted((s, m, place[x]) for s, sizes in self.own.items() for m, found in sizes.items() for x in found)
+        return {
+            "words": list(names), "keys": keys[order], "to": to[order], "link": np.array(self.link, np.int32), "length": np.array(self.length, np.int32),
+            "jump": jump, "items": items, "outs": np.array(rows, np.int32).reshape(-1, 3),
+        }
+
+
+class Matcher:
+    """A frozen automaton, and the rolling hashes that tell where streaming can find anything."""
+
+    def __init__(self, parts: dict) -> None:
+        self.parts = parts
+        self.words = {w: k for k, w in enumerate(parts["words"])}
+        self.keys, self.to, self.link, self.length, self.jump, self.outs = (parts[k] for k in ("keys", "to", "link", "length", "jump", "outs"))
+        self.bits: dict[int, np.ndarray] = {}
+        for size, known in parts["hashes"].items():
+            self.bits[size] = np.zeros(1 << 22, bool)
+            self.bits[size][known >> np.uint64(42)] = True
+
+    @staticmethod
+    def parts_of(items: list[tuple[str, list[str]]], window: int) -> dict:
+        hashes: dict[int, list[np.ndarray]] = {}
+        for _, w in items:
+            size = min(window, len(w))
+            hashes.setdefault(size, []).append(rolling(hash_words(pa.array(w, pa.large_string())), size))
+        return SuffixAutomaton(items, window).frozen() | {"hashes": {size: np.unique(np.concatenate(x)) for size, x in hashes.items()}}
+
     def stream(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
         """(place, state, longest match that ends there) of each word."""
         state = matched = 0
         for k, word in enumerate(words):
-            while state and word not in self.next[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            if word in self.next[state]:
-                state, matched = self.next[state][word], matched + 1
+            code = self.words.get(word, -1)
+            if code < 0:
+                state = matched = 0
+            while code >= 0:
+                key = state << 32 | code
+                at = int(np.searchsorted(self.keys, key))
+                if at < len(self.keys) and self.keys[at] == key:
+                    state, matched = int(self.to[at]), matched + 1
+                    break
+                if not state:
+                    break
+                state = int(self.link[state])
+                matched = int(self.length[state])
             yield k, state, matched
 
-
-class Matcher:
-    """The automaton with the rolling hashes that tell where streaming can find anything."""
-
-    def __init__(self, items: list[tuple[str, list[str]]], window: int) -> None:
-        self.automaton = SuffixAutomaton(items, window)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {min(window, len(w)) for _, w in items}:
-            hashes = []
-            for _, w in items:
-                if min(window, len(w)) == size:
-                    hashes.append(rolling(hash_words(pa.array(w, pa.large_string())), size))
-            all_hashes = np.unique(np.concatenate(hashes))
-            bits = np.zeros(1 << 22, bool)
-            bits[all_hashes >> np.uint64(42)] = True
-            self.by_size[size] = (all_hashes, bits)
+    def found(self, state: int, matched: int) -> Iterator[tuple[int, int]]:
+        """(size, item) of the windows that end at a state with a match that long."""
+        state = int(self.jump[state])
+        while state:
+            a, b = np.searchsorted(self.outs[:, 0], (state, state + 1))
+            for _, size, item in self.outs[a:b].tolist():
+                if matched >= size:
+                    yield size, item
+            state = int(self.jump[self.link[state]])
 
     def hits(self, vocab: np.ndarray, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> dict[int, tuple[np.ndarray, set[str]]]:
         """By text: a mask of hit words and the items found, for texts with any."""
         n = len(ids)
         near = np.zeros(n + 1, np.int32)
         text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        for size, (known, bits) in self.by_size.items():
+        for size, known in self.parts["hashes"].items():
             if n < size:
                 continue
             rolled = rolling(hashes[ids], size)
-            at = np.flatnonzero(bits[rolled >> np.uint64(42)])
+            at = np.flatnonzero(self.bits[size][rolled >> np.uint64(42)])
             at = at[np.isin(rolled[at], known)]
             at = at[text_of[at] == text_of[at + size - 1]]
             np.add.at(near, at, 1)
@@ -139,13 +180,12 @@ class Matcher:
                 end = min(int(b), int(starts[text + 1]))
                 words = [vocab[i] for i in ids[a:end]]
                 first = int(a - starts[text])
-                for k, state, matched in self.automaton.stream(words):
-                    for size, items in self.automaton.outs[state]:
-                        if matched >= size:
-                            if text not in out:
-                                out[text] = (np.zeros(int(starts[text + 1] - starts[text]), bool), set())
-                            out[text][0][first + k + 1 - size : first + k + 1] = True
-                            out[text][1].update(items)
+                for k, state, matched in self.stream(words):
+                    for size, item in self.found(state, matched):
+                        if text not in out:
+                            out[text] = (np.zeros(int(starts[text + 1] - starts[text]), bool), set())
+                        out[text][0][first + k + 1 - size : first + k + 1] = True
+                        out[text][1].add(self.parts["items"][item])
                 a = end
         return out
 
@@ -166,7 +206,8 @@ def matchers(benchmark: DataFrame, window: int, max_words: int) -> list[Broadcas
     for k in range(shares):
         share = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shares)) == k).collect()
         words = [(r.item_id, [fold(w) for w in WORD.findall(r.text)]) for r in share]
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Matcher([x for x in words if x[1]], window)))
+        # plain arrays: executors need no copy of this package to read them
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Matcher.parts_of([x for x in words if x[1]], window)))
     return out
 
 
@@ -181,16 +222,17 @@ def streamed(rows: DataFrame, benchmark: DataFrame, window: int, max_words: int,
     """The rows (with a column text) through each automaton in turn; finish(batch, words, hits) makes the result."""
     automata = matchers(benchmark, window, max_words)
     names = rows.columns
-    marks = StructType([*rows.schema.fields, StructField("_mask", BinaryType()), StructField("_items", ArrayType(StringType()))])
+    mask_, items_ = free(names, "_mask"), free(names, "_items")
+    marks = StructType([*rows.schema.fields, StructField(mask_, BinaryType()), StructField(items_, ArrayType(StringType()))])
 
     def made(shared: Broadcast, first: bool, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = shared.value
+            matcher = Matcher(shared.value)
             for batch in sliced(batches):
                 w = split_words(batch.column("text"), ALNUM)
-                hits = matcher.hits(w.vocab.to_numpy(zero_copy_only=False), w.ids, w.starts, hash_words(w.vocab)) if matcher.by_size else {}
+                hits = matcher.hits(w.vocab.to_numpy(zero_copy_only=False), w.ids, w.starts, hash_words(w.vocab)) if matcher.words else {}
                 if not first:
-                    for k, (mask, items) in enumerate(zip(batch.column("_mask").to_pylist(), batch.column("_items").to_pylist(), strict=True)):
+                    for k, (mask, items) in enumerate(zip(batch.column(mask_).to_pylist(), batch.column(items_).to_pylist(), strict=True)):
                         if mask is not None:
                             old = np.frombuffer(mask, bool)
                             hits[k] = (hits[k][0] | old, hits[k][1] | set(items)) if k in hits else (old, set(items))
@@ -200,7 +242,7 @@ def streamed(rows: DataFrame, benchmark: DataFrame, window: int, max_words: int,
                     n = range(batch.num_rows)
                     masks = pa.array([hits[k][0].tobytes() if k in hits else None for k in n], pa.binary())
                     lists = pa.array([sorted(hits[k][1]) if k in hits else None for k in n], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([*batch.select(names).columns, masks, lists], names=[*names, "_mask", "_items"])
+                    yield pa.RecordBatch.from_arrays([*batch.select(names).columns, masks, lists], names=[*names, mask_, items_])
 
         return run
 
@@ -213,7 +255,7 @@ def streamed(rows: DataFrame, benchmark: DataFrame, window: int, max_words: int,
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, max_words: int = 1_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, max_words: int = 200_000) -> DataFrame:
     """One row per document: its words, hit words and items.
 
     An automaton goes to the executors with at most about `max_words` words; a larger benchmark is dealt to several,
@@ -251,7 +293,7 @@ def without(text: str, mask: np.ndarray) -> str:
     return "".join(parts)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, max_coverage: float = 0.5, max_words: int = 1_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, max_coverage: float = 0.5, max_words: int = 200_000) -> DataFrame:
     """The documents without benchmark spans; those with `min_items` items, or over `max_coverage` of their words hit, go.
 
     All columns of the input stay; a text changes only where a span was cut.
