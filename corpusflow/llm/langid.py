@@ -5,12 +5,15 @@ widths run over them, each filter's maximum over the window feeds a softmax. A d
 windows' log-probabilities, weighted by their bytes, made a distribution again: every byte of a text counts.
 
 Training uses a bounded sample: at most `per_language` labelled documents of each language, those with the smallest
-hash of their id, and of each one stretch of `stretch` characters at a place that the hash picks. The filter
-happens in the cluster (partial top-k for each language), so the driver gets at most max_languages * per_language
-stretches. Prediction reads whole texts in one map over the input; nothing is shuffled.
+hash of their id, and of each one stretch of `stretch` characters at a place that the hash picks. A language's distinct
+ids are counted first, which gives a limit for their hashes, so a task sends on only what is about to be used; the
+driver gets some two `per_language` stretches for each label value. Prediction reads whole texts in one map over the
+input, a bounded number of windows at a time; nothing is shuffled.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; without any labelled text everything is
-`und`; labels that are null do not train; equal rows get equal results; an empty table gives no rows.
+`und`; labels that are null do not train; a tie between languages goes to the one that sorts first; rows that share an
+id train once; equal rows get equal results; null ids train and are predicted; other columns, whatever their names, are
+not read by `predict` and stay in `keep_known`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusflow.llm._text import LOWER, folded, sliced
+from corpusflow.llm._text import LOWER, folded, free, sliced
 
 WIDTHS = (2, 3, 4)
 WIDEST = max(WIDTHS)
@@ -40,21 +42,29 @@ class Model(NamedTuple):
     window: int
 
 
-def windows_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded byte windows, the text of each, and the bytes that count in each."""
+def window_blocks(texts: pa.Array, size: int, at_once: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Padded byte windows, the text of each, and the bytes that count in each; `at_once` windows at most together."""
     texts = folded(texts, LOWER)
     _, offsets, data = texts.buffers()
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    raw = np.append(raw, np.uint8(0))
     off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     length = np.diff(off)
     n = np.maximum(1, -(-length // size))
-    text = np.repeat(np.arange(len(length)), n)
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    start, real = off[text] + k * size, np.minimum(size, length[text] - k * size)
-    place = start[:, None] + np.arange(size)
-    inside = np.arange(size) < real[:, None]
-    padded = np.append(raw, np.uint8(0))
-    return np.where(inside, padded[np.minimum(place, len(raw))], 0).astype(np.uint8), text, real
+    before = np.cumsum(n) - n
+    for a in range(0, int(n.sum()), at_once):
+        window = np.arange(a, min(a + at_once, int(n.sum())))
+        text = np.searchsorted(before, window, "right") - 1
+        skip = (window - before[text]) * size
+        real = np.minimum(size, length[text] - skip)
+        place = (off[text] + skip)[:, None] + np.arange(size)
+        yield np.where(np.arange(size) < real[:, None], raw[np.minimum(place, len(raw) - 1)], 0).astype(np.uint8), text, real
+
+
+def windows_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows at once, for training stretches."""
+    parts = list(window_blocks(texts, size))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def columns(model: Model, block: np.ndarray) -> np.ndarray:
@@ -131,17 +141,24 @@ def train(texts: list[str], labels: list[str], window: int = 256, dims: int = 8,
     return Model(languages, p["embed"], p["filters"], p["bias"], p["out"], p["out_bias"], window)
 
 
-def fit(docs: DataFrame, may_train: Column, per_language: int = 500, stretch: int = 1024, max_languages: int = 64) -> Model | None:
+def fit(docs: DataFrame, may_train: Column, per_language: int = 500, stretch: int = 1024) -> Model | None:
     """A model from the bounded sample of rows with may_train and a language; None where there is none."""
     known = docs.where(may_train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    h = F.xxhash64("doc_id")
-    start = F.pmod(F.shiftrightunsigned(h, 8), F.greatest(F.lit(1), F.length("text") - stretch + 1))
-    rows = known.select(F.col("lang").cast("string").alias("lang"), h.alias("h"), F.substr("text", (start + 1).cast("int"), F.lit(stretch)).alias("text"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    sample = rows.withColumn("k", place).where(F.col("k") <= per_language).join(F.broadcast(counted), "lang")  # max_languages rows
-    got = sorted((r.lang, r.h, r.text) for r in sample.select("lang", "h", "text").collect())
-    return train([r[2] for r in got], [r[0] for r in got]) if got else None
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    start = F.pmod(F.shiftright(h, 8), F.greatest(F.lit(1), F.length("text") - stretch + 1))
+    rows = known.select(F.col("lang").cast("string").alias("lang"), h.alias("h"), start.alias("start"), "text")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()  # a row for each label value
+    if not counts:
+        return None
+    limits = [(r.lang, min(2**63 - 1, int((2 * per_language + 50) / max(1, r.n) * 2**63))) for r in counts]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, most long")
+    few = rows.join(F.broadcast(limits), "lang").where("h <= most")
+    few = few.groupBy("lang", "h").agg(F.min(F.substr("text", (F.col("start") + 1).cast("int"), F.lit(stretch))).alias("text"))
+    got: dict[str, list[tuple[int, str]]] = {}
+    for r in few.collect():
+        got.setdefault(r.lang, []).append((r.h, r.text))
+    sample = [(lang, text) for lang in sorted(got) for _, text in sorted(got[lang])[:per_language]]
+    return train([x[1] for x in sample], [x[0] for x in sample])
 
 
 def scored(model: Model | None, texts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,30 +166,31 @@ def scored(model: Model | None, texts: pa.Array, letters: np.ndarray) -> tuple[n
     n = len(texts)
     said, score = np.full(n, "und", object), np.zeros(n)
     if model is not None and letters.any():
-        blocks, text, real = windows_of(texts, model.window)
-        total = np.zeros((n, len(model.languages)))
-        weight = np.maximum(real, 1).astype(np.float64)
-        np.add.at(total, text, forward(model, blocks) * weight[:, None])
-        p = np.exp(log_softmax(total / np.bincount(text, weights=weight, minlength=n)[:, None]))
+        total, sizes = np.zeros((n, len(model.languages))), np.zeros(n)
+        for blocks, text, real in window_blocks(texts, model.window):
+            weight = np.maximum(real, 1).astype(np.float64)
+            np.add.at(total, text, forward(model, blocks) * weight[:, None])
+            np.add.at(sizes, text, weight)
+        p = np.exp(log_softmax(total / sizes[:, None]))
         best = p.argmax(1)
         said[letters] = np.array(model.languages, object)[best][letters]
         score[letters] = np.minimum(1.0, p[np.arange(n), best])[letters]
     return said, score
 
 
-def with_letters(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+def with_letters(docs: DataFrame, name: str) -> DataFrame:
+    return docs.withColumn(name, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row, from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4 << 20):
-            said, score = scored(model, batch.column("text"), batch.column("_letters").to_numpy(zero_copy_only=False))
+        for batch in sliced(batches, 3 << 20):
+            said, score = scored(model, batch.column("text"), batch.column("letters").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(said, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    base = with_letters(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    base = with_letters(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "letters")
     return base.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
@@ -184,10 +202,11 @@ def keep_known(docs: DataFrame, per_language: int = 500, least: float = 0.35) ->
     """The documents whose language the model can tell, with all their columns; rejected are `und` and scores below `least`."""
     model = fit(docs, ~held_out(), per_language)
     names = docs.columns
+    letters = free(names, "_letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4 << 20):
-            said, score = scored(model, batch.column("text"), batch.column("_letters").to_numpy(zero_copy_only=False))
+        for batch in sliced(batches, 3 << 20):
+            said, score = scored(model, batch.column("text"), batch.column(letters).to_numpy(zero_copy_only=False))
             yield batch.select(names).filter(pa.array((said != "und") & (score >= least)))
 
-    return with_letters(docs).mapInArrow(run, docs.schema)
+    return with_letters(docs, letters).mapInArrow(run, docs.schema)
