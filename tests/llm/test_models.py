@@ -5,8 +5,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import words_of
+from pyspark.sql import functions as F
 
 from corpusflow.llm import decontaminate, eliasfano, langid, licenses, lm, packing, queries, url_rules
 
@@ -152,7 +154,6 @@ def words8(text):
 
 def test_encoder_equals_the_plain_tokenizer():
     """Words of letters, marks, symbols and separators of all kinds, in units that are encoded many at once or alone."""
-    import pyarrow as pa
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -321,5 +322,84 @@ def test_url_rules_mine_any_token(spark):
             assert got[i] == ("allow", "default"), u
 
 
+def test_mined_rules_equal_brute_force_counting(spark):
+    """Every set of tokens is counted; a URL that no path rule decides is blocked when one of its sets is bad enough."""
+    rng = random.Random(77)
+    urls = []
+    for k in range(220):
+        host = rng.choice(["casino-win", "good", "mixed", "poker"]) + rng.choice([".alpha", ".beta", ""]) + rng.choice([".io", ".org", ".net"])
+        urls.append(f"http://{host}/{rng.choice(['de', 'es', 'it'])}/{rng.choice(['slots', 'news', 'a1', 'a2'])}" + rng.choice(["", "?ads=1", "?id=4"]))
+    urls += [None, "no host", urls[0], urls[0], "http://casino-win.io/" + "x/" * 3000]
+    df = spark.createDataFrame([(k if k % 50 else None, u, "t", True) for k, u in enumerate(urls)], "page_id long, url string, tokens string, label boolean")
+    host, path = url_rules.host_path(F.col("url"))
+    rows = df.select("url", url_rules.tokens(F.col("url"), host, path).alias("t"), url_rules.seeded(url_rules.tokens(F.col("url"), host, path), url_rules.SEEDS).alias("s")).collect()
+    sets = {r.url: frozenset(r.t) if page_brute(r.url)[0] else frozenset() for r in rows}
+    seeds = {r.url: bool(r.s) and bool(sets[r.url]) for r in rows}
+    bad = {u: page_brute(u)[3] == "block" or page_brute(u)[3] is None and seeds[u] for u in sets}
+    counted = [u for u in urls if sets[u] or bad[u]]
+    least, n = 0.04, len(counted)
+    some = {t for t in set().union(*sets.values()) if sum(bad[u] for u in counted if t in sets[u]) >= least * n}
+    level, good = [frozenset([t]) for t in some], []
+    while level:
+        alive = []
+        for a in level:
+            of = [u for u in counted if a <= sets[u]]
+            hits = sum(bad[u] for u in of)
+            if hits >= least * n:
+                alive.append(a)
+                if hits >= 0.9 * len(of):
+                    good.append(a)
+        level = list({a | b for a in alive for b in alive if len(a | b) == len(a) + 1})
+    got = url_rules.judge(df, min_support=least).collect()
+    assert len(got) == len(urls)
+    seen = Counter()
+    want = Counter((page_brute(u)[0], page_brute(u)[1], page_brute(u)[3] or ("block" if any(a <= sets[u] for a in good) else "allow")) for u in urls)
+    for r in got:
+        seen[r.host, r.path, r.verdict] += 1
+    assert seen == want
+    assert {"mined", "rule", "default"} == {r.decided_by for r in got}
+    for most in (0, 100_000):
+        assert Counter((r.host, r.path, r.verdict) for r in url_rules.judge(df, min_support=least, most_broadcast=most).collect()) == want
+
+
+def test_language_network_equals_plain_loops():
+    """The forward pass against plain loops, and windows in blocks against windows at once."""
+    rng = np.random.default_rng(3)
+    texts = ["short", "x" * 700, "", "\u00e9\u00df " * 90, "a"]
+    model = langid.train(texts * 3, ["a", "b", "a", "b", "a"] * 3, window=64, epochs=1)
+    blocks, text, real = langid.windows_of(pa.array(texts, pa.large_string()), 64)
+    parts = list(langid.window_blocks(pa.array(texts, pa.large_string()), 64, at_once=3))
+    assert (np.concatenate([x[0] for x in parts]) == blocks).all() and (np.concatenate([x[1] for x in parts]) == text).all()
+    raw = [t.encode() for t in texts]
+    assert [bytes(b[:n]) for b, n in zip(blocks, real, strict=True)] == [r[k : k + 64] for r in raw for k in range(0, max(1, len(r)), 64)]
+    got = langid.forward(model, blocks)
+    each = model.filters.shape[1] // len(langid.WIDTHS)
+    for i in rng.choice(len(blocks), 6):
+        padded = np.concatenate([blocks[i], np.zeros(langid.WIDEST - 1, np.uint8)])
+        h = []
+        for f in range(model.filters.shape[1]):
+            width = langid.WIDTHS[f // each]
+            responses = [sum(float(model.embed[padded[p + j]] @ model.filters[j * 8 : (j + 1) * 8, f]) for j in range(width)) for p in range(64)]
+            h.append(max(0.0, max(responses) + float(model.bias[f])))
+        z = np.array(h) @ model.out + model.out_bias
+        assert np.allclose(got[i], z - np.log(np.exp(z - z.max()).sum()) - z.max(), atol=1e-3)
+
+
+def test_cleaning_keeps_columns_of_any_name(spark):
+    """Names that the operators would use for themselves, in two automata; repeated rows, null ids and a very long text."""
+    item = "one two three four five six seven eight nine ten"
+    long = "word " * 300_000
+    rows = [(1, f"before {item} after some more words that stay here for good and all of it", "m"), (1, "clean text of mine", "m"), (None, long + item, "m"), (2, None, "m"), (2, None, "m")]
+    df = spark.createDataFrame([(i, t, "en", x, x, True) for i, t, x in rows], "doc_id long, text string, lang string, _mask string, _ITEMS string, _letters boolean")
+    bench = spark.createDataFrame([(k, item if k == 3 else f"other{k} " * 9) for k in range(12)], "item_id long, text string")
+    for most in (200_000, 20):
+        got = decontaminate.clean(df, bench, max_words=most)
+        assert got.columns == df.columns
+        texts = sorted(r.text or "" for r in got.collect())
+        assert texts == ["", "", "before after some more words that stay here for good and all of it", "clean text of mine", long]
+    kept = langid.keep_known(df)
+    assert kept.columns == df.columns and {r._mask for r in kept.collect()} <= {"m"}
+
+
 def test_every_query_is_registered():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
