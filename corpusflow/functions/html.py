@@ -14,17 +14,19 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corpusflow.functions import text as T
 
+# Tags whose text counts, tags that are passed over, and tags without an end.
 BLOCKS = frozenset({"p", "div", "article", "section"})
 SKIPPED = frozenset({"script", "style", "noscript", "svg", "header", "footer", "nav"})
+FRAME = frozenset({"script", "style", "nav", "footer", "header"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 
 
 class _Blocks(HTMLParser):
     """Text of each block element in document order; nested blocks count in their parents too."""
 
-    def __init__(self, blocks: frozenset[str], skipped: frozenset[str]) -> None:
+    def __init__(self, blocks: frozenset[str], skipped: frozenset[str], css_class: str | None = None) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks, self.skipped, self.depth = blocks, skipped, 0
+        self.blocks, self.skipped, self.depth, self.css_class = blocks, skipped, 0, css_class
         self.open: list[tuple[str, list[str]]] = []
         self.found: list[list[str]] = []
         self.all: list[str] = []
@@ -36,7 +38,8 @@ class _Blocks(HTMLParser):
             self.depth += 1
         elif not self.depth and tag in self.blocks:
             parts: list[str] = []
-            self.found.append(parts)
+            if self.css_class is None or self.css_class in (dict(attrs).get("class") or "").split():
+                self.found.append(parts)
             self.open.append((tag, parts))
 
     def handle_endtag(self, tag):
@@ -55,14 +58,14 @@ class _Blocks(HTMLParser):
                 parts.append(data)
 
 
-def block_text(html: str, blocks: frozenset[str] = BLOCKS, skipped: frozenset[str] = SKIPPED) -> list[str]:
-    p = _Blocks(blocks, skipped)
+def block_text(html: str, blocks: frozenset[str] = BLOCKS, skipped: frozenset[str] = SKIPPED, css_class: str | None = None) -> list[str]:
+    p = _Blocks(blocks, skipped, css_class)
     p.feed(html or "")
     p.close()
     return ["".join(x) for x in p.found]
 
 
-def page_text(html: str, skipped: frozenset[str] = frozenset({"script", "style", "nav", "footer", "header"})) -> str:
+def page_text(html: str, skipped: frozenset[str] = FRAME) -> str:
     p = _Blocks(frozenset(), skipped)
     p.feed(html or "")
     p.close()
@@ -79,6 +82,16 @@ def html_text(s: pd.Series) -> pd.Series:
     return s.map(page_text)
 
 
+def selected_text(html: Column, tag: str, css_class: str | None = None) -> Column:
+    """Texts of all elements of a tag (and class) joined by line ends, then cleaned: scripts, styles and page frames left out."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: "\n".join(t.strip() for t in block_text(x, frozenset({tag}), FRAME, css_class)))
+
+    return T.clean_controls(run(html))
+
+
 def article_text(html: Column, script: tuple[int, int] = T.TAMIL) -> Column:
     """Blocks joined by line ends, then cleaned for the script."""
     return T.clean_for_script(F.array_join(html_blocks(html), "\n"), script)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 from corpusflow.functions.html import TableRows, html_text
+from corpusflow.operators.neardup import signer
 
 
 def register(spark: SparkSession, tokenizer=None) -> None:
-    """nfc, html_text, work_rows; pure-SQL target_fraction, norm_key, content_hash, scrub_pii; encode with a tokenizer."""
+    """nfc, html_text, minhash_sig (of a normal text), work_rows; pure-SQL target_fraction, norm_key, content_hash, quality_score, aksharas, scrub_pii; encode_text with a tokenizer."""
     spark.udf.register("nfc", T.nfc)
     spark.udf.register("html_text", html_text)
     spark.udtf.register("work_rows", TableRows)
@@ -27,6 +28,9 @@ def register(spark: SparkSession, tokenizer=None) -> None:
     for pattern, name in ((T.EMAIL, "[EMAIL]"), (T.PHONE, "[PHONE]"), (T.LINK, "[URL]")):
         scrubbed = f"regexp_replace({scrubbed}, '{quoted(pattern)}', '{name}')"
     make("scrub_pii", "t STRING", "STRING", scrubbed)
+    make("quality_score", "t STRING", "DOUBLE", "0.6D * least(1D, CASE WHEN trim(regexp_replace(t, '" + ws + "', ' ')) = '' THEN 0D ELSE size(split(trim(regexp_replace(t, '" + ws + f"', ' ')), ' ')) / 50D END) + 0.4D * CASE WHEN length(regexp_replace(t, '{inside}', '')) / greatest(1, length(t)) > 0.6 THEN 1D ELSE length(regexp_replace(t, '{inside}', '')) / greatest(1, length(t)) END")
+    make("aksharas", "t STRING", "ARRAY<STRING>", "regexp_extract_all(nfc(t), '" + quoted(r"(?s)(.[\x{bbe}-\x{bcd}]*)") + "', 1)")
+    spark.udf.register("minhash_sig", signer(128, 42, 5, "md5"))
     if tokenizer is not None:
 
         @F.pandas_udf("array<int>")

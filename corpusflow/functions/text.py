@@ -9,6 +9,7 @@ Arrow batches, since Spark has no function for it.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -110,16 +111,41 @@ def word_count(c: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def round3(s: pd.Series) -> pd.Series:
     """Half-even on the exact binary value, which no built-in does."""
-    return s.map(lambda x: None if pd.isna(x) else round(float(x), 3))
+    return pd.Series([None if x != x else round(x, 3) for x in s.tolist()], dtype="float64")
 
 
 def quality_score(c: Column, script: tuple[int, int] = TAMIL) -> Column:
-    """0.6 for length (full from 50 words) and 0.4 for script (full above 0.6), not rounded."""
+    """0.6 for length (full from 50 words) and 0.4 for script (full above 0.6), not rounded; `score_quality` rounds it."""
     length = F.least(F.lit(1.0), word_count(c) / F.lit(50))
     fraction = script_chars(c, script) / F.greatest(F.lit(1), F.length(c))
     return 0.6 * length + 0.4 * F.when(fraction > 0.6, 1.0).otherwise(fraction)
 
 
+def score_quality(c: Column, script: tuple[int, int] = TAMIL) -> Column:
+    """The score rounded to 3 places, with the flags."""
+    return F.struct(round3(quality_score(c, script)).alias("quality_score"), quality_flags(c, script).alias("flags"))
+
+
+def fraction3(c: Column, script: tuple[int, int] = TAMIL) -> Column:
+    """In-script characters over all characters, rounded to 3 places."""
+    return round3(script_fraction(c, script))
+
+
+def mostly_script(c: Column, least: float = 0.5, script: tuple[int, int] = TAMIL) -> Column:
+    """Whether that share or more of what is not white space is in the script; an empty text is not."""
+    return script_fraction_nonspace(c, script) >= least
+
+
+def script_content(c: Column, least: float = 0.5, script: tuple[int, int] = TAMIL) -> Column:
+    """Whether that share or more of all characters is in the script; an empty text is not."""
+    return (F.length(c) > 0) & (script_fraction(c, script) >= least)
+
+
+def some_script(c: Column, more_than: float = 0.3, script: tuple[int, int] = TAMIL) -> Column:
+    """Whether more than that share of all characters is in the script."""
+    return script_chars(c, script) > F.length(c) * F.lit(more_than)
+
+
 def quality_flags(c: Column, script: tuple[int, int] = TAMIL) -> Column:
     fraction = script_chars(c, script) / F.greatest(F.lit(1), F.length(c))
     return F.struct((word_count(c) < 5).alias("too_short"), (fraction > 0.5).alias("in_script"))
@@ -154,6 +180,11 @@ def colloquial(c: Column, source: Column, pattern: str, informal: tuple[str, ...
     return F.coalesce((c != "") & (F.coalesce(F.lower(source).isin(*informal), F.lit(False)) | c.rlike(pattern) | short), F.lit(False))
 
 
+def casual_signs(c: Column, *words: list[str]) -> Column:
+    """Whether a word of any of the lists occurs, also inside other words."""
+    return c.rlike("|".join(any_word(w, False) for w in words))
+
+
 def topics(c: Column, keywords: dict[str, list[str]], default: str) -> Column:
     """Labels whose keywords occur, in the table's order; [default] if none."""
     low = F.lower(c)
@@ -194,6 +225,29 @@ def looks_legacy(c: Column, marker: str = "charset=x-user-defined", glyphs: str
     return found | c.rlike(f"[{glyphs}]") if glyphs else found
 
 
+def convert_legacy(c: Column, convert: Callable[[str], str] | None = None, marker: str = "charset=x-user-defined", glyphs: str = "") -> Column:
+    """Texts that look like a legacy font encoding passed through a converter; unchanged where there is none."""
+    if convert is None:
+        return c
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else convert(x))
+
+    return F.when(looks_legacy(c, marker, glyphs), run(c)).otherwise(c)
+
+
+def declared_charset(content: Column) -> Column:
+    """The charset named in the first 4096 bytes of a page, in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), r"(?i)charset\s*=\s*\"?([^\"' >]+)", 1))
+
+
+def decoded(content: Column) -> Column:
+    """A page's bytes as text: Latin-1 where a legacy font charset is declared or the bytes aren't UTF-8."""
+    latin, plain = F.decode(content, "ISO-8859-1"), content.cast("string")
+    return F.when(declared_charset(content).rlike("x-user-defined|tscii"), latin).when(F.is_valid_utf8(plain), plain).otherwise(latin)
+
+
 def token_estimate(chars: Column) -> Column:
     return F.floor(chars / 4.5)
 

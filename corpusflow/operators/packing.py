@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusflow.operators.select import starts_of
 from corpusflow.session import cut
 
 
@@ -18,18 +19,13 @@ def offsets(docs: DataFrame, length: Column, order: str = "ord") -> DataFrame:
     placed = docs.select(order, length.cast("long").alias("length")).repartitionByRange(F.col(order)).sortWithinPartitions(order)
     placed = placed.withColumn("_p", F.monotonically_increasing_id())
     placed = cut(placed.withColumn("_p", F.shiftright("_p", 18)))
-    sums = sorted((r._p, r.s) for r in placed.groupBy("_p").agg(F.sum("length").alias("s")).collect())
-    table, at = [], 0
-    for p, s in sums:
-        table.append((p, at))
-        at += s
-    starts = docs.sparkSession.createDataFrame(table, "_p long, _start long")
+    starts = starts_of(placed, F.sum("length"), "long")
     before = F.coalesce(F.sum("length").over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    met = placed.withColumn("_before", before).join(F.broadcast(starts), "_p")  # a row for each 2^18 documents
+    met = placed.withColumn("_before", before).join(starts, "_p")  # a row for each 2^18 documents
     return met.select(order, "length", (F.col("_start") + F.col("_before")).alias("offset"))
 
 
-def pack(docs: DataFrame, tokens: str, size: int, bos: int = 2, eos: int = 3, order: str = "ord") -> DataFrame:
+def pack(docs: DataFrame, tokens: str, size: int, bos: int = 1, eos: int = 2, order: str = "ord") -> DataFrame:
     """(seq_id, tokens) of exactly `size` tokens each.
 
     A document is cut into its share of each sequence before it is shuffled: a row for each piece, not for each token.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,6 +76,59 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     return got.select("source", zero("n_old").alias("n_old"), zero("n_new").alias("n_new"), (zero("n_new") - zero("n_old")).alias("delta"))
 
 
+def split_shares(old: DataFrame, new: DataFrame, modern: list[str]) -> DataFrame:
+    """For both corpora: rows, rows of modern sources and of others, and the modern share in percent, to one place."""
+    out = None
+    for name, df in (("old", old), ("new", new)):
+        n, m = F.count("*"), F.count_if(F.coalesce(F.col("source").isin(modern), F.lit(False)))
+        got = df.agg(n.alias("n"), m.alias("modern")).select(F.lit(name).alias("corpus"), "n", "modern", (F.col("n") - F.col("modern")).alias("classical"), F.when(F.col("n") > 0, F.round(100 * F.col("modern") / F.col("n"), 1)).otherwise(0.0).alias("modern_percent"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def quality_deltas(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Average quality by source in both corpora, 0 where one lacks the source, and the difference."""
+    mean = lambda df, name: df.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.avg(F.coalesce("quality_score", F.lit(0.0))).alias(name))
+    got = mean(old, "q_old").join(mean(new, "q_new"), "source", "full_outer")
+    q = lambda c: F.coalesce(c, F.lit(0.0))
+    return got.select("source", q("q_old").alias("q_old"), q("q_new").alias("q_new"), (q("q_new") - q("q_old")).alias("delta"))
+
+
+def casual_share(df: DataFrame, signs: Column) -> DataFrame:
+    """Rows, rows with signs of casual speech and their percentage to one place, average quality and fraction."""
+    n, casual = F.count("*"), F.count_if(F.coalesce(signs, F.lit(False)))
+    got = df.agg(n.alias("n"), casual.alias("casual"), F.avg(F.coalesce("quality_score", F.lit(0.0))).alias("avg_quality"), F.avg(F.coalesce("tamil_fraction", F.lit(0.0))).alias("avg_fraction"))
+    return got.select("n", "casual", F.when(F.col("n") > 0, F.round(100 * F.col("casual") / F.col("n"), 1)).otherwise(0.0).alias("casual_percent"), "avg_quality", "avg_fraction")
+
+
+def validate_all(df: DataFrame, script: tuple[int, int] = T.TAMIL) -> DataFrame:
+    """One row: totals, sources, quality, language mix, length histogram and personal data, as structs."""
+    one = lambda d, name: d.select(F.struct(*d.columns).alias(name))
+    top = top_sources(df).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "first_ord", "source")))["source"].alias("sources"))  # five rows
+    bins = histogram(df, F.length(F.coalesce("text", F.lit("")))).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bin", "n")))).alias("lengths"))  # ten rows
+    out = one(corpus_report(df), "totals")
+    for part in (top, one(quality_stats(df), "quality"), one(language_mix(df, script), "language"), bins, one(pii_check(df), "pii")):
+        out = out.join(F.broadcast(part))  # one row each
+    return out
+
+
+def boundary_agreement(df: DataFrame, stem: Callable[[str], str], cut: Callable[[str], list[str]]) -> DataFrame:
+    """Share of words whose stem ends at a token boundary; stem and cut are the caller's, for a row of words each."""
+
+    @F.pandas_udf("boolean")
+    def agrees(words: pd.Series) -> pd.Series:
+        def one(word: str) -> bool:
+            ends, at = set(), 0
+            for token in cut(word):
+                at += len(token)
+                ends.add(at)
+            return len(stem(word)) in ends
+
+        return words.map(one)
+
+    return df.select(agrees("word").alias("a")).agg(F.count("*").alias("n"), F.avg(F.col("a").cast("int")).alias("agreement"))
+
+
 def source_quality(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"), F.sum(F.coalesce("quality_score", F.lit(0.5))).alias("quality_sum"))
 
@@ -109,9 +165,9 @@ def manifest_counts(df: DataFrame, key: Column) -> DataFrame:
     return rows.groupBy(key.alias("work_id")).agg(F.count("*").alias("n_pages"), F.sum(F.length("_t")).alias("char_count"), F.sum(T.word_count(F.col("_t"))).alias("word_count"))
 
 
-def rolling(df: DataFrame, value: str, size: int, order: str = "ord", by: list[str] | None = None) -> DataFrame:
-    """Mean and maximum of the last `size` values; give `by` (a host, a run) so that no task holds all rows."""
-    w = W.partitionBy(*(by or [])).orderBy(order).rowsBetween(1 - size, 0)
+def rolling(df: DataFrame, value: str, size: int, by: list[str], order: str = "ord") -> DataFrame:
+    """Mean and maximum of the last `size` values of each host, run or whatever `by` names."""
+    w = W.partitionBy(*by).orderBy(order).rowsBetween(1 - size, 0)
     return df.withColumn(f"{value}_mean", F.avg(value).over(w)).withColumn(f"{value}_max", F.max(value).over(w))
 
 

@@ -6,6 +6,8 @@ partition counts, so that no single task sorts or counts all rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,13 +42,26 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     Rows are range-partitioned and sorted; partition sizes are summed on the driver (a number for each partition).
     """
     sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33)))
-    sizes = {r._p: r.n for r in sorted_.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    total, offsets = 0, []
-    for p in sorted(sizes):
-        offsets += [F.lit(p), F.lit(total)]
-        total += sizes[p]
-    offset = F.create_map(*offsets)[F.col("_p")] if offsets else F.lit(0)
-    return sorted_.withColumn(name, (F.col("_i") + offset).cast("long")).drop("_p", "_i")
+    return sorted_.join(starts_of(sorted_, F.count("*"), "long"), "_p").withColumn(name, (F.col("_i") + F.col("_start")).cast("long")).drop("_p", "_i", "_start")
+
+
+def starts_of(rows: DataFrame, amount: Column, kind: str) -> DataFrame:
+    """(_p, _start): what all partitions before _p amount to; a row for each partition, summed on the driver."""
+    total, out = 0, []
+    for p, n in sorted((r._p, r.n) for r in rows.groupBy("_p").agg(amount.alias("n")).collect()):
+        out.append((p, float(total) if kind == "double" else total))
+        total += n
+    return rows.sparkSession.createDataFrame(out, f"_p {dict(rows.dtypes)['_p']}, _start {kind}")
+
+
+def seeded(seed: int, key: str | Column) -> Column:
+    """A hash of the seed and a key that other engines have too; its order is a shuffle."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")))
+
+
+def uniform(digest: Column) -> Column:
+    """A number above 0 and below 1 from the first 13 hex digits of a hash."""
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
@@ -54,6 +69,11 @@ def top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n) if n else df
 
 
+def best_and_longest(df: DataFrame, n: int | None = None) -> DataFrame:
+    """By quality, then by length."""
+    return top(df, n, F.coalesce("quality_score", F.lit(0.0)).desc(), F.length("text").desc(), F.col("ord").asc())
+
+
 def select_top(df: DataFrame, n: int | None = None) -> DataFrame:
     quality = F.coalesce("quality_score", F.lit(0.5))
     weight = F.coalesce("_weight", F.lit(1.0))
@@ -89,40 +109,48 @@ def colloquial_quota(df: DataFrame, n: int, ratio: float) -> DataFrame:
 
 
 def weighted_sample(df: DataFrame, target: int, seed: int = 42) -> DataFrame:
-    """Everything if there are no more than target rows, else target draws with replacement, p ~ max(quality weight, 1e-9)."""
+    """Everything if there are no more than target rows, else target independent draws with replacement, p ~ max(quality weight, 1e-9).
+
+    Draw i falls on the row whose stretch of the running weight holds a seeded uniform number. Draws and rows meet in
+    range partitions of the order, as one sorted stream in each.
+    """
     if df.count() <= target:
         return df
-    w = df.withColumn("_w", F.greatest(F.coalesce("quality_score", F.lit(1.0)) * F.coalesce("weight", F.lit(1.0)), F.lit(1e-9)))
-    total = w.agg(F.sum("_w")).first()[0]
-    # the number of draws of a row: its share of a systematic sample with a random start and order
-    start = df.sparkSession.range(1).select(F.rand(seed)).first()[0]
-    rows = cut(w.repartitionByRange(F.xxhash64(F.lit(seed), "ord")).sortWithinPartitions(F.xxhash64(F.lit(seed), "ord"), "ord").withColumn("_p", F.spark_partition_id()))
-    sums = sorted((r._p, r.s) for r in rows.groupBy("_p").agg(F.sum("_w").alias("s")).collect())
-    offsets, at = [], 0.0
-    for p, s in sums:
-        offsets += [F.lit(p), F.lit(at)]
-        at += s
-    before = F.sum("_w").over(W.partitionBy("_p").orderBy(F.xxhash64(F.lit(seed), "ord"), "ord")) + F.create_map(*offsets)[F.col("_p")]
-    rows = rows.withColumn("_b", before)
-    tick = lambda c: F.floor(c * F.lit(target / total) + F.lit(start))
-    n = tick(F.col("_b")) - tick(F.col("_b") - F.col("_w"))
-    return rows.withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_n", F.explode(F.expr("sequence(1, _n)"))).drop("_w", "_p", "_b", "_n")
+    weight = F.greatest(F.coalesce("quality_score", F.lit(1.0)) * F.coalesce("weight", F.lit(1.0)), F.lit(1e-9))
+    rows = cut(df.select("ord", weight.alias("_w")).repartitionByRange("ord").sortWithinPartitions("ord").withColumn("_p", F.spark_partition_id()))
+    starts = cut(starts_of(rows, F.sum("_w"), "double"))
+    total = rows.agg(F.sum("_w")).first()[0]
+    # a row's stretch ends at _at; a draw lies in the partition that starts last before it
+    ends = rows.join(starts, "_p").select("_p", "ord", (F.col("_start") + F.sum("_w").over(W.partitionBy("_p").orderBy("ord"))).alias("_at"))
+    draws = df.sparkSession.range(target).select((uniform(seeded(seed, "id")) * F.lit(float(total))).alias("_at"))
+    table = starts.orderBy("_p").collect()  # two numbers for each partition
+    parts, edges = np.array([r._p for r in table]), np.array([r._start for r in table])
+
+    @F.pandas_udf("int")
+    def place(at: pd.Series) -> pd.Series:
+        return pd.Series(parts[np.maximum(0, np.searchsorted(edges, at, "right") - 1)])
+
+    both = ends.unionByName(draws.select(place("_at").alias("_p"), F.lit(None).cast("long").alias("ord"), "_at"))
+    # going down, the row seen last is the first one that ends at or after a draw
+    down = W.partitionBy("_p").orderBy(F.desc("_at"), F.col("ord").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("_row", F.last("ord", ignorenulls=True).over(down)).where("ord is null")
+    times = met.groupBy(F.col("_row").alias("ord")).agg(F.count("*").cast("int").alias("_n"))
+    return df.join(times, "ord").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
 def sample_without_replacement(df: DataFrame, n: int, weight: Column, seed: int = 42) -> DataFrame:
     """n rows, p ~ weight: the smallest -ln(u) / w, with u from a hash of the seed and the order value."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "ord"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    return df.orderBy(-F.log(u) / F.greatest(weight, F.lit(1e-12)), "ord").limit(n)
+    return df.orderBy(-F.log(uniform(seeded(seed, "ord"))) / F.greatest(weight, F.lit(1e-12)), "ord").limit(n)
 
 
 def random_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), "ord"), "ord").limit(n)
+    return df.orderBy(seeded(seed, "ord"), "ord").limit(n)
 
 
 def split(df: DataFrame, seed: int = 42, train: float = 0.8, validation: float = 0.1, key: str = "id") -> DataFrame:
     """split: the first int(train n) rows of a seeded hash order train, the next int(validation n) validate, the rest test."""
     n = df.count()
-    placed = ranked(df, F.xxhash64(F.lit(seed), key), F.col(key), name="_rank")
+    placed = ranked(df, seeded(seed, key), F.col(key), name="_rank")
     a, b = int(n * train), int(n * train) + int(n * validation)
     return placed.withColumn("split", F.when(F.col("_rank") < a, "train").when(F.col("_rank") < b, "validation").otherwise("test")).drop("_rank")
 
@@ -147,7 +175,7 @@ def batches(df: DataFrame, batch: int, seed: int = 0, epochs: int = 1, drop_last
         raise ValueError("fewer sequences than one batch")
     out = None
     for epoch in range(epochs):
-        order = (F.xxhash64(F.lit(seed + epoch), key), F.col(key)) if shuffle else (F.col(key),)
+        order = (seeded(seed + epoch, key), F.col(key)) if shuffle else (F.col(key),)
         one = ranked(df, *order, name="_rank").withColumn("epoch", F.lit(epoch))
         one = one.where(F.col("_rank") < n - n % batch) if drop_last else one
         out = one if out is None else out.unionByName(one)

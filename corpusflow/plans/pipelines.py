@@ -33,12 +33,14 @@ def curate(records: DataFrame, c: Curation) -> tuple[DataFrame, DataFrame]:
         unique = records.join(flags.where("dup_of is null").select("ord"), "ord", "left_semi")
     else:
         unique = dedup.exact(records)
-    unique = cut(unique)
-    good = cut(filters.filter_quality(unique))
-    spoken = cut(filters.filter_language(good, c.min_fraction, c.script))
-    final = spoken if c.skip_pii else filters.scrub_pii(spoken)
-    counts = [("ingested", records), ("deduplicated", unique), ("quality", good), ("language", spoken)]
-    report = records.sparkSession.createDataFrame([(name, df.count()) for name, df in counts], "stage string, n long")
+    # one stored copy; its stage is told once and serves the report and the result
+    left = F.when(filters.quality_reason().isNotNull(), 0).when(T.script_fraction(F.coalesce("text", F.lit("")), c.script) < c.min_fraction, 1).otherwise(2)
+    flagged = cut(unique.withColumn("_left", left))
+    kept = flagged.where("_left = 2").drop("_left")
+    final = kept if c.skip_pii else filters.scrub_pii(kept)
+    seen = records.agg(F.count("*").alias("n")).select(F.lit("ingested").alias("stage"), "n")
+    at = flagged.agg(F.count("*").alias("deduplicated"), F.count_if(F.col("_left") > 0).alias("quality"), F.count_if(F.col("_left") > 1).alias("language"))
+    report = seen.unionByName(at.unpivot([], ["deduplicated", "quality", "language"], "stage", "n"))
     return final, report
 
 

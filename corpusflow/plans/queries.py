@@ -306,16 +306,6 @@ def head_split(spark, d):
     return select.head_split(records(spark, d), 0.05).select("ord", "split")
 
 
-@query()
-def seeded_split(spark, d):
-    return select.split(records(spark, d), 42).select("id", "split")
-
-
-@query()
-def weighted_sample(spark, d):
-    return select.weighted_sample(records(spark, d).withColumn("weight", F.lit(1.0)), 100).select("ord")
-
-
 @query("SELECT source, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents) AS percent FROM documents GROUP BY source")
 def source_distribution(spark, d):
     return report.source_distribution(records(spark, d))
@@ -425,7 +415,7 @@ def pack_offsets(spark, d):
     return packing.offsets(records(spark, d), F.size(_tokens(text)) + 2)
 
 
-@query(f"""WITH t AS (SELECT doc_id, [2] || list_transform({TOKENS}, lambda x: CAST(length(x) AS INTEGER)) || [3] AS ids FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, [1] || list_transform({TOKENS}, lambda x: CAST(length(x) AS INTEGER)) || [2] AS ids FROM documents),
 s AS (SELECT row_number() OVER (ORDER BY doc_id, p) - 1 AS k, id FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS p FROM t))
 SELECT CAST(k // 512 AS BIGINT) AS seq_id, CAST(sum(id * (k % 512 + 1)) AS BIGINT) AS checksum FROM s GROUP BY 1 HAVING count(*) = 512""")
 def pack_sequences(spark, d):
@@ -434,12 +424,6 @@ def pack_sequences(spark, d):
     return packing.pack(ids, "ids", 512).select("seq_id", total.alias("checksum"))
 
 
-@query()
-def batch_assign(spark, d):
-    seqs = records(spark, d).select(F.col("ord").alias("seq_id"))
-    return select.batches(seqs, 16, seed=7, epochs=2)
-
-
 @query(f"SELECT source AS work_id, count(*) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS char_count, CAST(sum({WORDS}) AS BIGINT) AS word_count FROM documents GROUP BY 1")
 def manifest_counts(spark, d):
     return report.manifest_counts(records(spark, d), F.col("source"))
