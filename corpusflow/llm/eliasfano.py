@@ -19,6 +19,7 @@ class EliasFano:
     def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, zeros: np.ndarray) -> None:
         self.n, self.low_bits, self.lows, self.highs, self.zeros = n, low_bits, lows, highs, zeros
         self.ones: np.ndarray | None = None
+        self.values: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -86,10 +87,21 @@ class EliasFano:
             a[live] = np.where(less, mid + 1, a[live])
             b[live] = np.where(less, b[live], mid)
 
+    def all(self) -> np.ndarray:
+        """The numbers, decoded; kept for the next search."""
+        if self.values is None:
+            at = np.flatnonzero(np.unpackbits(self.highs.view(np.uint8), bitorder="little"))[: self.n]
+            k = np.arange(self.n)
+            self.values = ((at - k).astype(np.uint64) << np.uint64(self.low_bits)) | self.low(k)
+        return self.values
+
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, -1 where it isn't there."""
+        """The place of each x (the first of equal ones), -1 where it isn't there. Many searches decode the sequence once."""
         if not self.n or not len(x):
             return np.full(len(x), -1)
+        if self.values is not None or 8 * len(x) >= self.n:
+            at = np.searchsorted(self.all(), x)
+            return np.where(self.values[np.minimum(at, self.n - 1)] == x, at, -1)
         at = self.successor(x)
         high = (x >> np.uint64(self.low_bits)).astype(np.int64)
         end = self.select0(high) - high
@@ -101,6 +113,8 @@ class EliasFano:
         """The k-th numbers."""
         if not len(k):
             return np.zeros(0, np.uint64)
+        if self.values is not None:
+            return self.values[k]
         if self.ones is None:
             self.ones = 64 * np.arange(len(self.zeros)) - self.zeros
         word = np.searchsorted(self.ones, k, "right") - 1

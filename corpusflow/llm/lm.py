@@ -4,27 +4,34 @@ The model is a trigram one with absolute discounting, interpolated down to the u
 (c + 0.5) / (N + 0.5 (V + 1)), so it sums to one over the vocabulary and one unknown word. A text is its words (A-Z
 lower-cased) and one end; two start marks stand before it.
 
-Counting: each task sums the trigrams of a slice of its training texts and deals them, packed, to shards by their
-middle word v. A word so frequent that it would fill a shard is dealt further by the first word u; its bigrams go to
-each of its shards, so that a hot word never meets in one task. A shard's task makes a trie and writes it to the
-shared folder:
+1. Words are counted by partial sums, and their counts written as Elias-Fano shards by hash.
+2. Bigrams of words so frequent that they would fill a shard of the trie are dealt once, by both words, to bigram
+   shards of their own.
+3. Each slice of texts sums its trigrams and deals the distinct ones, packed, to shards by their middle word v (a frequent
+   word is dealt further by the first word u), with the documents that they stand in and the lower-order
+   probability that the slice can look up by itself. So n-grams go to their shard, and no slice opens a shard of the trie.
+4. A shard's task makes its trie from the trigrams of training texts, writes it to the shared folder, maps it into memory,
+   scores all trigrams that came to it, and gives each slice's documents their partial sums, which are added up.
+
+A shard of the trie:
 
   level 1   the middle words v (hashes), pointers to their successors, weights of the lower order
   level 2   the successors w of each v as v * 2^40 + fingerprint, discounted probabilities
   level 3   the contexts (v, u) likewise, pointers, weights; their successors as ranks among v's successors
             (context-relative, so a few bits each), discounted probabilities
 
-Key sequences and pointers are Elias-Fano coded, probabilities are quantised to 16 bits of a logarithm. Word counts lie
-in shards of their own by hash. Scoring memory-maps the shards and reads only what its n-grams touch: a trigram is found by the rank of w among
-v's successors, searched in the range of (v, u). It is one map over all texts; nothing of it is shuffled.
+Key sequences and pointers are Elias-Fano coded, probabilities are quantised to 16 bits of a logarithm. A trigram is
+found by the rank of w among v's successors, searched in the range of (v, u).
 
-All counts cover all training texts. Words are told apart by 64-bit hashes; a collision among training words is found
-when a shard of counts is written and stops the job (a fingerprint of 40 bits can take an unseen successor for a seen
-one in about one of 10^12 comparisons).
+Scale: a task holds one slice or one shard (about `shard_tokens` tokens). What slices deal out is at most a row's
+worth for each token. Words are told apart by 128 bits in the counts; in the trie by 64 bits for v and 40 for the others,
+where a collision takes an unseen successor for a seen one in about one of 10^12 comparisons. Slices are numbered
+by partition and place, so the input's rows must come in the same order when a task runs again, as from files.
 
-Edge cases: a null or empty text is its end alone; without training texts all counts are zero; rows with a null id are
-scored and train (crc32 of null is null, so they are not held out); equal rows get equal scores; an empty table gives
-no rows.
+Edge cases: a null or empty text is its end alone; a very long text is a slice of its own; without training texts all
+counts are zero; rows with a null id are scored and train (crc32 of null is null, so they are not held out); equal rows
+and rows that share an id each count and get their own row; sums do not depend on ties; other columns, whatever their
+names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,20 +41,23 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm._text import LOWER, Words, hash_words, mix, sliced, split_words
 from corpusflow.llm.eliasfano import EliasFano
-from corpusflow.session import shared_dir
+from corpusflow.session import release, shared_dir
 
 START, END = np.uint64(0x51A27D3C00000001), np.uint64(0x51A27D3C00000002)
 FINGER = np.uint64((1 << 40) - 1)
 DISCOUNT, SCALE = 0.75, 2048
+SLICE = 8 << 20
 
 
 def held_out() -> Column:
@@ -77,24 +87,25 @@ def padded(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return flat[at - 2], flat[at - 1], flat[at], hashes
 
 
-class Deal:
-    """Which shard a trigram belongs to; heavy words have several."""
+class Heavy(NamedTuple):
+    """Words that would fill a shard: sorted hashes, parts, counts, and weights of the lower order."""
 
-    def __init__(self, shards: int, heavy: dict[int, int]) -> None:
-        self.shards = shards
-        self.words = np.array(sorted(heavy), np.uint64)
-        self.parts = np.array([heavy[int(x)] for x in self.words], np.uint64)
+    words: np.ndarray
+    parts: np.ndarray
+    totals: np.ndarray
+    weights: np.ndarray
 
-    def heavy(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def place(self, v: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for others."""
         if not len(self.words):
-            return np.zeros(len(v), bool), np.ones(len(v), np.uint64)
+            return np.full(len(v), -1)
         at = np.minimum(np.searchsorted(self.words, v), len(self.words) - 1)
-        is_heavy = self.words[at] == v
-        return is_heavy, np.where(is_heavy, self.parts[at], np.uint64(1))
+        return np.where(self.words[at] == v, at, -1)
 
-    def of(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
-        parts = self.heavy(v)[1]
-        return ((mix(v) + mix(u ^ START) % parts) % np.uint64(self.shards)).astype(np.int64)
+    def shard(self, v: np.ndarray, u: np.ndarray, shards: int) -> np.ndarray:
+        at = self.place(v)
+        parts = np.where(at >= 0, self.parts[at], np.uint64(1)) if len(self.words) else np.ones(len(v), np.uint64)
+        return ((mix(v) + mix(u ^ START) % parts) % np.uint64(shards)).astype(np.int64)
 
 
 def store(root: str, name: str, arrays: list[np.ndarray]) -> None:
@@ -132,92 +143,73 @@ def load(root: str, name: str) -> list[np.ndarray] | None:
     return [raw[at : at + length * np.dtype(kinds[kind]).itemsize].view(kinds[kind]) for kind, at, length in head]
 
 
-def planes(x: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each number, byte by byte, which compresses better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+def slim(x: np.ndarray) -> np.ndarray:
+    """The numbers in the smallest type that holds them."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+KINDS = "u1 u2 u4 u8 f4 f8 i8 ?".split()
 
 
-def pack_rows(hashes: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """n-grams of one slice for one shard: hashes of their first words v, fingerprints of the others, and places in these."""
-    first, v = np.unique(columns[0], return_inverse=True)
-    used, rest = np.unique(np.concatenate(columns[1:]), return_inverse=True)
-    head = np.array([len(first), len(used), len(counts)], np.int64)
-    rising = bool((np.diff(v) >= 0).all())
-    v = np.diff(v, prepend=0).astype(np.int32) if rising else v.astype(np.int32)
-    raw = b"".join([
-        head.tobytes(), hashes[first].tobytes(), planes(hashes[used], 5), planes(v, 4), planes(rest.astype(np.int32), 4), planes(np.minimum(counts, 2**31 - 1).astype(np.int32), 4),
-        b"d" if rising else b"p",
-    ])
+def dump(*arrays: np.ndarray) -> bytes:
+    """Arrays, byte by byte of their numbers, which compresses better."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (KINDS.index(a.dtype.str.lstrip("<|").replace("b1", "?")), len(a)))], np.int64)
+    raw = head.tobytes() + b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpack_rows(payload: bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+def undump(payload: bytes) -> list[np.ndarray]:
     raw = pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True)
-    first, used, rows = np.frombuffer(raw, np.int64, 3)
-    at = 24
-
-    def numbers(n: int, width: int, kind: type) -> np.ndarray:
-        nonlocal at
-        part = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
-        at += n * width
-        wide = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
-        wide[:, :width] = part
-        return wide.view(kind).reshape(-1)
-
-    hashes = np.frombuffer(raw, np.uint64, first, at)
-    at += 8 * int(first)
-    fingers = numbers(int(used), 5, np.uint64)
-    v = numbers(int(rows), 4, np.int32)
-    rest = numbers((columns - 1) * int(rows), 4, np.int32).reshape(columns - 1, -1)
-    counts = numbers(int(rows), 4, np.int32).astype(np.int64)
-    v = np.cumsum(v) if raw[-1:] == b"d" else v
-    return [hashes[v], *(fingers[x] for x in rest)], counts
-
-
-def summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct rows of the keys, with their counts added up."""
-    order = np.lexsort(keys[::-1])
-    keys, counts = [k[order] for k in keys], counts[order]
-    new = np.zeros(len(counts), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    return [k[first] for k in keys], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def trie(tri: tuple[list[np.ndarray], np.ndarray], heavy: tuple[list[np.ndarray], np.ndarray]) -> list[np.ndarray]:
-    """The levels of a shard from its trigrams (v, u, w) and the bigrams (v, w) of its heavy words."""
-    (v, u, w), c = tri
-    (hv, hw), hc = summed(*heavy)
-    light = ~np.isin(v, hv)
-    (bv, bw), bc = summed([np.concatenate([v[light], hv]), np.concatenate([w[light], hw])], np.concatenate([c[light], hc]))
-    # level 1 and 2
-    nodes, first = np.unique(bv, return_index=True)
-    fan = np.diff(np.append(first, len(bv)))
-    total = np.add.reduceat(bc, first) if len(first) else np.zeros(0, np.int64)
-    rank_v = np.repeat(np.arange(len(nodes)), fan)
-    code = (rank_v.astype(np.uint64) << np.uint64(40)) | (bw & FINGER)
-    order = np.argsort(code, kind="stable")
-    code, bc = code[order], bc[order]
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2), 8 + 16 * n, []
+    for kind, length in head.tolist():
+        dtype = np.dtype(KINDS[kind])
+        part = np.frombuffer(raw, np.uint8, dtype.itemsize * length, at).reshape(dtype.itemsize, length)
+        out.append(np.ascontiguousarray(part.T).view(dtype).reshape(-1))
+        at += dtype.itemsize * length
+    return out
+
+
+def fingers(hashes: np.ndarray) -> np.ndarray:
+    """The low 40 bits of hashes as five bytes each, and back."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5].T).reshape(-1)
+
+
+def from_fingers(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = raw.reshape(5, -1).T
+    return wide.view(np.uint64).reshape(-1)
+
+
+def trie(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """The levels of a shard from its distinct trigrams (v, fingerprints of u and w), sorted by them, and their counts.
+
+    Of a heavy word only what its contexts hold is here: its second level gives ranks and no probabilities that are used.
+    """
+    nodes, at_v = np.unique(v, return_inverse=True)
+    code, at = np.unique((at_v.astype(np.uint64) << np.uint64(40)) | w, return_inverse=True)
+    bc = np.bincount(at, weights=c, minlength=len(code)).astype(np.int64)
+    rank_v = (code >> np.uint64(40)).astype(np.int64)
+    fan = np.bincount(rank_v, minlength=len(nodes))
+    first = np.cumsum(fan) - fan
+    total = np.bincount(rank_v, weights=bc, minlength=len(nodes)).astype(np.int64)
     two = log_code(np.maximum(bc - DISCOUNT, 1e-9) / total[rank_v])
-    gamma1 = log_code(DISCOUNT * fan / total) if len(total) else np.zeros(0, np.uint16)
-    # level 3: contexts sorted by (v, fingerprint of u), children by rank among v's successors
-    at_v = np.searchsorted(nodes, v)
-    context = (at_v.astype(np.uint64) << np.uint64(40)) | (u & FINGER)
-    child = np.searchsorted(code, (at_v.astype(np.uint64) << np.uint64(40)) | (w & FINGER)) - first[at_v] if len(first) else np.zeros(0, np.int64)
-    order = np.lexsort((child, context))
-    context, child, c = context[order], child[order], c[order]
-    contexts, start = np.unique(context, return_index=True)
+    gamma1 = log_code(DISCOUNT * fan / total)
+    # contexts come sorted by (v, fingerprint of u); their children by rank among v's successors
+    context, child = (at_v.astype(np.uint64) << np.uint64(40)) | u, at - first[at_v]
+    new = np.ones(len(context), bool)
+    new[1:] = context[1:] != context[:-1]
+    start = np.flatnonzero(new)
+    contexts, rank_c = context[start], np.cumsum(new) - 1
     width = np.diff(np.append(start, len(context)))
     sums = np.add.reduceat(c, start) if len(start) else np.zeros(0, np.int64)
-    rank_c = np.repeat(np.arange(len(contexts)), width)
     three = log_code(np.maximum(c - DISCOUNT, 1e-9) / sums[rank_c])
-    gamma2 = log_code(DISCOUNT * width / sums) if len(sums) else np.zeros(0, np.uint16)
+    gamma2 = log_code(DISCOUNT * width / sums)
     most = int(fan.max(initial=0)) + 1
     universe = max(1, len(nodes)) << 40
     coded = [
-        EliasFano.build(nodes, 1 << 64), EliasFano.build(np.append(first, len(bv)), len(bv) + 1), EliasFano.build(code, universe),
+        EliasFano.build(nodes, 1 << 64), EliasFano.build(np.append(first, len(code)), len(code) + 1), EliasFano.build(code, universe),
         EliasFano.build(contexts, universe),
         EliasFano.build(rank_c.astype(np.uint64) * np.uint64(most) + child.astype(np.uint64), max(1, len(contexts)) * most),
     ]
@@ -229,8 +221,8 @@ class Shard:
         self.most, (self.gamma1, self.two, self.gamma2, self.three) = np.uint64(arrays[0][0]), arrays[1:5]
         self.nodes, self.pointers, self.successors, self.contexts, self.children = (EliasFano.of(arrays[5 + 4 * k : 9 + 4 * k]) for k in range(5))
 
-    def probabilities(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """p(w | u, v) of distinct trigrams; base: the unigram estimate of w."""
+    def probabilities(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, low: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+        """p(w | u, v) of distinct trigrams; low: the unigram estimate of w, or where v is heavy its bigram probability."""
         words, back = np.unique(v, return_inverse=True)
         node = self.nodes.find(words)
         known = node >= 0
@@ -239,13 +231,13 @@ class Shard:
         first = np.zeros(len(words), np.int64)
         first[known] = self.pointers.get(node[known]).astype(np.int64)
         node, first = node[back], first[back]
-        p = gamma1[back] * base
+        p = np.where(heavy, low, gamma1[back] * low)
         seen = np.flatnonzero(node >= 0)
         at = np.full(len(v), -1)
-        at[seen] = self.successors.find((node[seen].astype(np.uint64) << np.uint64(40)) | (w[seen] & FINGER))
-        met = at >= 0
+        at[seen] = self.successors.find((node[seen].astype(np.uint64) << np.uint64(40)) | w[seen])
+        met = (at >= 0) & ~heavy
         p[met] += from_code(self.two[at[met]])
-        contexts, back = np.unique((node[seen].astype(np.uint64) << np.uint64(40)) | (u[seen] & FINGER), return_inverse=True)
+        contexts, back = np.unique((node[seen].astype(np.uint64) << np.uint64(40)) | u[seen], return_inverse=True)
         place = self.contexts.find(contexts)
         gamma2 = np.ones(len(contexts))
         gamma2[place >= 0] = from_code(self.gamma2[place[place >= 0]])
@@ -258,117 +250,162 @@ class Shard:
         return p
 
 
-def shards_of(base: DataFrame, root: str, n_words: int, deal: Deal) -> None:
-    """Count trigrams, make the tries and write them."""
+class Counts:
+    """The counts of words, in shards that are mapped as they are asked for."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            batch = batch.filter(batch.column("train"))
-            if not batch.num_rows:
-                continue
-            u, v, w, hashes = padded(split_words(batch.column("text"), LOWER))
-            m = len(hashes)
-            pair, at = np.unique(v * m + u, return_inverse=True)
-            code, c = np.unique(at * m + w, return_counts=True)
-            v, u, w = pair[code // m] // m, pair[code // m] % m, code % m
-            shard = deal.of(hashes[v], hashes[u])
-            shards, levels, payloads = [], [], []
-
-            def add(shard: np.ndarray, level: int, columns: list[np.ndarray], c: np.ndarray) -> None:
-                order = np.argsort(shard, kind="stable")
-                shard = shard[order]
-                edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    shards.append(int(shard[a]))
-                    levels.append(level)
-                    payloads.append(pack_rows(hashes, [x[order[a:b]] for x in columns], c[order[a:b]]))
-
-            add(shard, 3, [v, u, w], c)
-            is_heavy, parts = deal.heavy(hashes[v])
-            if is_heavy.any():
-                two, c2 = np.unique(v[is_heavy] * m + w[is_heavy], return_inverse=True)
-                c2 = np.bincount(c2, weights=c[is_heavy]).astype(np.int64)
-                hv, hw = two // m, two % m
-                n = deal.heavy(hashes[hv])[1].astype(np.int64)
-                again = np.repeat(np.arange(len(hv)), n)
-                part = (np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
-                add(((mix(hashes[hv[again]]) + part) % np.uint64(deal.shards)).astype(np.int64), 2, [hv[again], hw[again]], c2[again])
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(levels, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "level", "rows"])
+    def __init__(self, root: str, files: int) -> None:
+        self.files = files
+        self.at = lru_cache(8)(lambda k: load(root, f"counts-{k}"))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, have = None, {2: [], 3: []}
+    def of(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        part = part_of(h, self.files)
+        order = np.lexsort((h, part))
+        edges = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            mine = order[a:b]
+            if (arrays := self.at(int(part[mine[0]]))) is None:
+                continue
+            (c, checks), keys = arrays[:2], EliasFano.of(arrays[2:])
+            at = keys.find(h[mine])
+            mine, at = mine[at >= 0], at[at >= 0]
+            while len(mine):  # equal hashes stand side by side
+                same = checks[at] == check[mine]
+                out[mine[same]] = c[at[same]]
+                mine, at = mine[~same], at[~same] + 1
+                if len(mine):
+                    on = at < keys.n
+                    on[on] = keys.get(at[on]) == h[mine[on]]
+                    mine, at = mine[on], at[on]
+        return out
 
-        def finish() -> pa.RecordBatch:
-            def all_of(level: int) -> tuple[list[np.ndarray], np.ndarray]:
-                if not have[level]:
-                    return [np.zeros(0, np.uint64)] * level, np.zeros(0, np.int64)
-                return [np.concatenate(x) for x in zip(*(r[0] for r in have[level]), strict=True)], np.concatenate([r[1] for r in have[level]])
 
-            two, three = all_of(2), all_of(3)
-            have[2].clear()
-            have[3].clear()
-            store(root, f"trie-{now}", trie(summed(*three), two))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["shard"])
+def part_of(h: np.ndarray, files: int) -> np.ndarray:
+    return ((h >> np.uint64(7)) % np.uint64(files)).astype(np.int64)
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                shard, level = batch.column("shard")[k].as_py(), batch.column("level")[k].as_py()
-                if shard != now:
-                    if now is not None:
-                        yield finish()
-                    now = shard
-                have[level].append(unpack_rows(batch.column("rows")[k].as_py(), level))
-        if now is not None:
-            yield finish()
 
-    rows = base.mapInArrow(count, "shard int, level int, rows binary")
-    rows.repartition(max(1, deal.shards), "shard").sortWithinPartitions("shard").mapInArrow(build, "shard int").write.format("noop").mode("overwrite").save()
+def check_of(vocab: pa.Array) -> np.ndarray:
+    return hash_words(vocab, "corpusflow-check")
 
 
-def word_counts(base: DataFrame, root: str, shard_tokens: int) -> tuple[int, int, int, dict[int, int], int]:
-    """Count training words, write their shards; tokens, distinct words, texts, heavy words and shards of counts."""
+def word_counts(base: DataFrame, root: str) -> tuple[int, int, int, DataFrame]:
+    """Count training words and write their shards; tokens, distinct words, shards, and the counts (h, c)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, SLICE):
             batch = batch.filter(batch.column("train"))
             if not batch.num_rows:
                 continue
             w = split_words(batch.column("text"), LOWER)
-            words = pa.concat_arrays([w.vocab.cast(pa.large_string()), pa.array([" "], pa.large_string())])  # no word is a space: the end
             c = np.append(np.bincount(w.ids, minlength=len(w.vocab)), batch.num_rows)
-            h = np.append(hash_words(w.vocab), END).astype(np.uint64).view(np.int64)
-            met = pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(h), pa.array(c.astype(np.int64))], names=["word", "h", "c"])
-            yield met.filter(pa.array(c > 0))  # the vocabulary may hold an empty word that stands nowhere
+            h, check = np.append(hash_words(w.vocab), END).astype(np.uint64), np.append(check_of(w.vocab), END).astype(np.uint64)
+            used = c > 0  # the vocabulary may hold an empty word that stands nowhere
+            yield pa.RecordBatch.from_arrays([pa.array(x[used].view(np.int64)) for x in (h, check, c.astype(np.int64))], names=["h", "check", "c"])
 
-    counted = base.mapInArrow(count, "word string, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
     path = f"{root}/words"
-    counted.write.parquet(path)
+    base.mapInArrow(count, "h long, check long, c long").groupBy("h", "check").agg(F.sum("c").alias("c")).write.parquet(path)
     counted = base.sparkSession.read.parquet(path)
     distinct, tokens = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    texts = counted.where("word = ' '").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(tokens / shard_tokens))
-    heavy = {r.h & (2**64 - 1): 1 + r.c // shard_tokens for r in counted.where(F.col("c") > shard_tokens).select("h", "c").collect()} if shards > 1 else {}
     files = max(1, math.ceil(distinct / 2_000_000))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:
-            h, c = batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy()
+            h, check = (batch.column(x).to_numpy().view(np.uint64) for x in ("h", "check"))
             part = batch.column("part").to_numpy()
             for k in np.unique(part):
-                parts.setdefault(int(k), []).append((h[part == k], c[part == k]))
+                parts.setdefault(int(k), []).append((h[part == k], check[part == k], batch.column("c").to_numpy()[part == k]))
         for k, rows in parts.items():
-            h, c = (np.concatenate(x) for x in zip(*rows, strict=True))
+            h, check, c = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.argsort(h)
-            h, c = h[order], c[order]
-            if (h[1:] == h[:-1]).any():
-                raise ValueError("two words have one hash; use another key in hash_words")
-            store(root, f"counts-{k}", [c, *EliasFano.build(h, 1 << 64).parts()])
+            store(root, f"counts-{k}", [c[order], check[order], *EliasFano.build(h[order], 1 << 64).parts()])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], names=["part"])
 
-    part = F.pmod(F.shiftright("h", 7), F.lit(files)).cast("int")
-    counted.select("h", "c", part.alias("part")).repartition(files, "part").mapInArrow(write, "part int").write.format("noop").mode("overwrite").save()
-    return int(tokens), int(distinct), int(texts), heavy, files
+    part = F.pmod(F.shiftrightunsigned("h", 7), F.lit(files)).cast("int")
+    counted.select("h", "check", "c", part.alias("part")).repartition(files, "part").mapInArrow(write, "part int").write.format("noop").mode("overwrite").save()
+    return int(tokens), int(distinct), files, counted.select("h", "c")
+
+
+def heavy_words(base: DataFrame, root: str, counted: DataFrame, shard_tokens: int) -> tuple[Heavy, int]:
+    """The words of more than shard_tokens tokens (fewer of them than there are shards), their bigrams dealt to shards."""
+    rows = sorted((r.h & (2**64 - 1), int(r.c)) for r in counted.where(F.col("c") > shard_tokens).collect())
+    words, totals = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+    heavy = Heavy(words, (1 + totals // shard_tokens).astype(np.uint64), totals, np.ones(len(rows)))
+    if not rows:
+        return heavy, 0
+    shards = math.ceil(int(totals.sum()) / shard_tokens)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, SLICE):
+            batch = batch.filter(batch.column("train"))
+            if not batch.num_rows:
+                continue
+            _, v, w, hashes = padded(split_words(batch.column("text"), LOWER))
+            place = heavy.place(hashes)
+            mine = place[v] >= 0
+            code, c = np.unique(place[v[mine]] * len(hashes) + w[mine], return_counts=True)
+            v, w = code // len(hashes), hashes[code % len(hashes)]
+            shard = bigram_shard(heavy.words[v], w, shards)
+            order = np.lexsort((w, v, shard))
+            edges = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+            parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            payloads = [dump(slim(v[x]), w[x], slim(c[x])) for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[x[0]]) for x in parts], pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "rows"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in by_shard(batches):
+            v, w, c = (np.concatenate(x) for x in zip(*(undump(r) for r in rows), strict=True))
+            code, at = np.unique((v.astype(np.uint64) << np.uint64(40)) | (w & FINGER), return_inverse=True)
+            c = np.bincount(at, weights=c)
+            v = (code >> np.uint64(40)).astype(np.int64)
+            store(root, f"bigrams-{shard}", [log_code(np.maximum(c - DISCOUNT, 1e-9) / heavy.totals[v]), *EliasFano.build(code, max(1, len(heavy.words)) << 40).parts()])
+            some, fan = np.unique(v, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(fan)], names=["v", "fan"])
+
+    dealt = base.mapInArrow(count, "shard int, rows binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    fans = {r.v: r.fan for r in dealt.mapInArrow(build, "v long, fan long").groupBy("v").agg(F.sum("fan").alias("fan")).collect()}
+    weights = np.array([DISCOUNT * fans.get(k, 0) / max(1, totals[k]) for k in range(len(rows))])
+    return heavy._replace(weights=weights), shards
+
+
+def bigram_shard(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    return ((mix(v) ^ mix(w ^ END)) % np.uint64(shards)).astype(np.int64)
+
+
+class Bigrams:
+    """p(w | v) of heavy words, from the bigram shards."""
+
+    def __init__(self, root: str, heavy: Heavy, shards: int) -> None:
+        self.heavy, self.shards = heavy, shards
+        self.at = lru_cache(8)(lambda k: load(root, f"bigrams-{k}"))
+
+    def probabilities(self, v: np.ndarray, w: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """v: places of heavy words; w: hashes."""
+        p = self.heavy.weights[v] * base
+        shard = bigram_shard(self.heavy.words[v], w, self.shards)
+        code = (v.astype(np.uint64) << np.uint64(40)) | (w & FINGER)
+        order = np.lexsort((code, shard))
+        edges = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            mine = order[a:b]
+            if (arrays := self.at(int(shard[mine[0]]))) is not None:
+                at = EliasFano.of(arrays[1:]).find(code[mine])
+                p[mine[at >= 0]] += from_code(arrays[0][at[at >= 0]])
+        return p
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(shard, payloads) of batches that are sorted by shard."""
+    now, have = None, []
+    for batch in batches:
+        for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("rows"), strict=True):
+            if shard != now:
+                if have:
+                    yield now, have
+                now, have = shard, []
+            have.append(payload.as_py())
+    if have:
+        yield now, have
 
 
 def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 2_000_000) -> DataFrame:
@@ -378,52 +415,120 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 2_00
     root = f"{folder if '://' in folder else 'file://' + os.path.abspath(folder)}/lm-{uuid.uuid4().hex}"
     held = held_out() if held is None else held
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("train", ~held)
-    tokens, distinct, _, heavy, files = word_counts(base, root, shard_tokens)
-    deal = Deal(max(1, math.ceil(tokens / shard_tokens)), heavy)
-    shards_of(base, root, distinct, deal)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(64)
-        def counts_at(k: int) -> tuple[np.ndarray, EliasFano] | None:
-            arrays = load(root, f"counts-{k}")
-            return arrays and (arrays[0], EliasFano.of(arrays[1:]))
-
-        @lru_cache(64)
-        def shard_at(k: int) -> Shard | None:
-            arrays = load(root, f"trie-{k}")
-            return arrays and Shard(arrays)
+    tokens, distinct, files, counted = word_counts(base, root)
+    heavy, bigram_shards = heavy_words(base, root, counted, shard_tokens)
+    shards = max(1, math.ceil(tokens / shard_tokens))
+    release(spark)
 
-        for batch in sliced(batches):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, bigrams = Counts(root, files), Bigrams(root, heavy, bigram_shards)
+        task, number = TaskContext.get().partitionId() << 24, 0
+        for batch in sliced(batches, SLICE):
             words = split_words(batch.column("text"), LOWER)
             u, v, w, hashes = padded(words)
-            m = len(hashes)
-            c = np.zeros(m, np.int64)
-            part = (hashes.view(np.int64) >> 7) % files
-            for k in np.unique(part):
-                mine = np.flatnonzero(part == k)
-                mine = mine[np.argsort(hashes[mine])]
-                if (found := counts_at(int(k))) is not None:
-                    at = found[1].find(hashes[mine])
-                    c[mine[at >= 0]] = found[0][at[at >= 0]]
+            m, train = len(hashes), batch.column("train").to_numpy(zero_copy_only=False)
+            c = counts.of(np.append(hashes[:-2], END), np.append(check_of(words.vocab), END))
+            c = np.concatenate([c[:-1], [0], c[-1:]])  # the start mark is no token
             p1 = (c + 0.5) / (tokens + 0.5 * (distinct + 1))
+            n = words.counts + 1
+            text = np.repeat(np.arange(batch.num_rows), n)
+            total = lambda x: np.bincount(text, weights=x, minlength=batch.num_rows)
+            known, base_score = total((c > 0)[w]).astype(np.int64), total(np.log10(p1)[w])
             pair, at = np.unique(v * m + u, return_inverse=True)
             code, back = np.unique(at * m + w, return_inverse=True)
+            times = np.bincount(back[train[text]], minlength=len(code))
             tv, tu, tw = pair[code // m] // m, pair[code // m] % m, code % m
-            shard = deal.of(hashes[tv], hashes[tu])
-            p = p1[tw]
-            order = np.argsort(shard, kind="stable")
-            edges = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+            places = np.argsort(back, kind="stable")
+            docs_of, occurs = text[places], np.bincount(back, minlength=len(code))
+            first = np.cumsum(occurs) - occurs
+            at_heavy = heavy.place(hashes)[tv]
+            low = log_code(p1)
+            low_heavy = np.zeros(len(code), np.uint16)
+            is_heavy = at_heavy >= 0
+            if is_heavy.any():
+                two, twice = np.unique(at_heavy[is_heavy] * m + tw[is_heavy], return_inverse=True)
+                low_heavy[is_heavy] = log_code(bigrams.probabilities(two // m, hashes[two % m], p1[two % m]))[twice]
+            shard = heavy.shard(hashes[tv], hashes[tu], shards)
+            key = 2 * shard + is_heavy
+            order = np.argsort(key, kind="stable")
+            edges = np.append(np.flatnonzero(np.diff(key[order], prepend=-1)), len(order))
+            here = np.array([task | number], np.int64)
+            to, payloads = [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                rows = order[a:b]
-                if (trie_ := shard_at(int(shard[rows[0]]))) is not None:
-                    p[rows] = trie_.probabilities(hashes[tv[rows]], hashes[tu[rows]], hashes[tw[rows]], p1[tw[rows]])
-            n = words.counts + 1
-            text = np.repeat(np.arange(batch.num_rows), n)
-            logs, bases = np.log10(np.minimum(p, 1.0)), np.log10(p1)
-            total = lambda x: np.bincount(text, weights=x, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(~batch.column("train").to_numpy(zero_copy_only=False)), pa.array(n), pa.array(total((c > 0)[w]).astype(np.int64)), pa.array(np.full(batch.num_rows, tokens)), pa.array(total(bases[w])), pa.array(total(logs[back]))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+                x = order[a:b]
+                vs, vi = np.unique(tv[x], return_inverse=True)
+                used, at = np.unique(np.concatenate([tu[x], tw[x]]), return_inverse=True)
+                many = int(occurs[x].sum())
+                rows = np.repeat(first[x] - np.cumsum(occurs[x]) + occurs[x], occurs[x]) + np.arange(many)
+                lows = low_heavy[x] if is_heavy[x[0]] else low[used]
+                to.append(int(shard[x[0]]))
+                payloads.append(dump(here, is_heavy[x[:1]], hashes[vs], fingers(hashes[used]), slim(vi), slim(at[: len(x)]), slim(at[len(x) :]), slim(times[x]), lows, slim(occurs[x]), slim(docs_of[rows])))
+            # the slice's own row goes along, and past the shards
+            ids = batch.column("doc_id")
+            to.append(-1 - (task | number) % max(shards, 1))
+            payloads.append(dump(here, ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()), train, slim(n), slim(known), base_score))
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "rows"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, payloads in by_shard(batches):
+            slices, out = [], []
+            if shard < 0:
+                slices, out = [int(undump(x)[0][0]) for x in payloads], payloads
+            else:
+                rows = [undump(x) for x in payloads]
+                payloads.clear()
+                v = np.concatenate([r[2][r[4]] for r in rows])
+                hashes = [from_fingers(r[3]) for r in rows]
+                u, w = (np.concatenate([h[r[k]] for h, r in zip(hashes, rows, strict=True)]) for k in (5, 6))
+                c = np.concatenate([r[7] for r in rows]).astype(np.int64)
+                low = np.concatenate([r[8] if r[1][0] else r[8][r[6]] for r in rows])
+                is_heavy = np.repeat([bool(r[1][0]) for r in rows], [len(r[7]) for r in rows])
+                order = np.lexsort((w, u, v))
+                v, u, w = v[order], u[order], w[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+                start = np.flatnonzero(new)
+                v, u, w, low, is_heavy, c = v[start], u[start], w[start], low[order[start]], is_heavy[order[start]], np.add.reduceat(c[order], start)
+                of_row = np.empty(len(order), np.int64)
+                of_row[order] = np.cumsum(new) - 1
+                seen = c > 0
+                if seen.any():
+                    store(root, f"trie-{shard}", trie(v[seen], u[seen], w[seen], c[seen]))
+                    p = Shard(load(root, f"trie-{shard}")).probabilities(v, u, w, from_code(low), is_heavy)
+                else:
+                    p = from_code(low)
+                logs = np.log10(np.minimum(p, 1.0))[of_row]
+                at = 0
+                for r in rows:
+                    mine = np.repeat(logs[at : at + len(r[7])], r[9])
+                    at += len(r[7])
+                    sums = np.bincount(r[10], weights=mine)
+                    some = np.flatnonzero(np.bincount(r[10]))
+                    slices.append(int(r[0][0]))
+                    out.append(dump(r[0], slim(some), sums[some].astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([shard < 0] * len(out)), pa.array(out, pa.binary())], names=["slice", "whole", "rows"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, sums = None, None, np.zeros(0)
+
+        def finish() -> pa.RecordBatch:
+            _, ids, valid, train, n, known, base_score = own
+            arrays = [pa.array(ids, mask=~valid), pa.array(~train), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), tokens)), pa.array(base_score), pa.array(sums)]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        for batch in batches:
+            for number, whole, payload in zip(batch.column("slice").to_pylist(), batch.column("whole").to_pylist(), batch.column("rows"), strict=True):
+                if number != now and own is not None:
+                    yield finish()
+                now, parts = number, undump(payload.as_py())
+                if whole:  # a slice's own row comes first
+                    own, sums = parts, np.zeros(len(parts[1]))
+                else:
+                    sums[parts[1]] += parts[2]
+        if own is not None:
+            yield finish()
 
-    return base.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    dealt = base.mapInArrow(deal, "shard int, rows binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    parts = dealt.mapInArrow(score, "slice long, whole boolean, rows binary").repartition("slice").sortWithinPartitions("slice", F.desc("whole"))
+    return parts.mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
