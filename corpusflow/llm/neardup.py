@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm._text import LOWER, free, hash_words, mix, sliced, split_words
 from corpusflow.llm.components import components
-from corpusflow.session import cut
+from corpusflow.session import cut, release
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -250,6 +250,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19,
     met = drawn(keyed(nodes, chunks, width), 0)
     ok = passes(F.col("sketch"), F.col("n"), F.col("lead.sketch"), F.col("lead.n"), percent, most_bits)
     met = cut(met.select("key", "doc_id", "sketch", "n", "lead", ok.alias("ok")))
+    release(docs.sparkSession)
     links = cut(confirmed(sets_of(docs, routes(closest(met.where("ok"), rivals)), size), percent))
     one = cut(components(links))
     # again with other leaders, for those that lie in another component than their leader's
@@ -259,6 +260,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19,
         apart = drawn(named, salt, "component").where(ok & (F.col("component") != F.col("lead.component")))
         links = cut(links.union(confirmed(sets_of(docs, routes(closest(apart, rivals)), size), percent)))
         one = cut(components(links))
+        release(docs.sparkSession)
     met = met.select("key", "doc_id", "sketch", "n", "ok", F.col("lead.doc_id").alias("leader"))
     # what is left: pairs of a bucket that lie in different components by now
     def component(c: str) -> Column:
@@ -267,6 +269,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19,
     inside = met.join(one.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("mine", component("doc_id")).drop("component")
     inside = inside.join(one.withColumnRenamed("id", "leader"), "leader", "left").withColumn("main", component("leader")).drop("component")
     inside = cut(inside.select("key", "doc_id", "sketch", "n", "leader", "ok", "mine", "main"))
+    del met, rows, apart, named
+    release(docs.sparkSession)
     apart = inside.where("mine <> main").select("key", F.col("doc_id").alias("id"), "sketch", "n", "mine", "main")
     others = inside.select("key", F.col("doc_id").alias("id2"), F.col("sketch").alias("s2"), F.col("n").alias("n2"), F.col("mine").alias("c2"))
     close = (F.col("mine") != F.col("c2")) & passes(F.col("sketch"), F.col("n"), F.col("s2"), F.col("n2"), percent, most_bits)
