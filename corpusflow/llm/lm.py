@@ -11,7 +11,8 @@ lower-cased) and one end; two start marks stand before it.
    word is dealt further by the first word u), with the documents that they stand in and the lower-order
    probability that the slice can look up by itself. So n-grams go to their shard, and no slice opens a shard of the trie.
 4. A shard's task makes its trie from the trigrams of training texts, writes it to the shared folder, maps it into memory,
-   scores all trigrams that came to it, and gives each slice's documents their partial sums, which are added up.
+   scores all trigrams that came to it, and gives each slice's documents their partial sums, which are added up. The shard
+   has served its turn then and goes, unless the caller keeps it.
 
 A shard of the trie:
 
@@ -57,7 +58,7 @@ from corpusflow.session import release, shared_dir
 START, END = np.uint64(0x51A27D3C00000001), np.uint64(0x51A27D3C00000002)
 FINGER = np.uint64((1 << 40) - 1)
 DISCOUNT, SCALE = 0.75, 2048
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def held_out() -> Column:
@@ -111,11 +112,12 @@ class Heavy(NamedTuple):
 def store(root: str, name: str, arrays: list[np.ndarray]) -> None:
     """Arrays one after another, 8-byte aligned, under a head of types, places and lengths; renamed into place when whole."""
     system, base = fs.FileSystem.from_uri(root)
-    kinds = {"uint16": 0, "int64": 1, "uint64": 2}
+    kinds = {"uint16": 0, "int64": 1, "uint64": 2, "int32": 3, "float64": 4}
     at, head = 8 + 24 * len(arrays), [len(arrays)]
     for x in arrays:
         head += [kinds[str(x.dtype)], at, len(x)]
         at += -(-x.nbytes // 8) * 8
+    system.create_dir(base)
     temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(temporary) as out:
         out.write(np.array(head, np.int64).tobytes())
@@ -139,10 +141,15 @@ def load(root: str, name: str) -> list[np.ndarray] | None:
             raw = np.frombuffer(f.read(), np.uint8)
     n = int(raw[:8].view(np.int64)[0])
     head = raw[8 : 8 + 24 * n].view(np.int64).reshape(n, 3)
-    kinds = (np.uint16, np.int64, np.uint64)
+    kinds = (np.uint16, np.int64, np.uint64, np.int32, np.float64)
     return [raw[at : at + length * np.dtype(kinds[kind]).itemsize].view(kinds[kind]) for kind, at, length in head]
 
 
+def remove(root: str, name: str) -> None:
+    system, base = fs.FileSystem.from_uri(root)
+    system.delete_file(f"{base}/{name}")
+
+
 def slim(x: np.ndarray) -> np.ndarray:
     """The numbers in the smallest type that holds them."""
     most = int(x.max(initial=0))
@@ -408,8 +415,11 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
         yield now, have
 
 
-def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 2_000_000) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_500_000, keep: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    keep: whether the shards of the trie stay in the shared folder, for other texts to be scored by.
+    """
     spark = docs.sparkSession
     folder = shared_dir(spark)
     root = f"{folder if '://' in folder else 'file://' + os.path.abspath(folder)}/lm-{uuid.uuid4().hex}"
@@ -436,6 +446,7 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 2_00
             known, base_score = total((c > 0)[w]).astype(np.int64), total(np.log10(p1)[w])
             pair, at = np.unique(v * m + u, return_inverse=True)
             code, back = np.unique(at * m + w, return_inverse=True)
+            del u, v, at
             times = np.bincount(back[train[text]], minlength=len(code))
             tv, tu, tw = pair[code // m] // m, pair[code // m] % m, code % m
             places = np.argsort(back, kind="stable")
@@ -484,21 +495,26 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 2_00
                 c = np.concatenate([r[7] for r in rows]).astype(np.int64)
                 low = np.concatenate([r[8] if r[1][0] else r[8][r[6]] for r in rows])
                 is_heavy = np.repeat([bool(r[1][0]) for r in rows], [len(r[7]) for r in rows])
-                order = np.lexsort((w, u, v))
+                del hashes
+                order = np.lexsort((w, u, v)).astype(np.int32)
                 v, u, w = v[order], u[order], w[order]
                 new = np.ones(len(order), bool)
                 new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
                 start = np.flatnonzero(new)
                 v, u, w, low, is_heavy, c = v[start], u[start], w[start], low[order[start]], is_heavy[order[start]], np.add.reduceat(c[order], start)
-                of_row = np.empty(len(order), np.int64)
-                of_row[order] = np.cumsum(new) - 1
+                of_row = np.empty(len(order), np.int32)
+                of_row[order] = np.cumsum(new, dtype=np.int32) - 1
+                del order, new, start
                 seen = c > 0
                 if seen.any():
                     store(root, f"trie-{shard}", trie(v[seen], u[seen], w[seen], c[seen]))
                     p = Shard(load(root, f"trie-{shard}")).probabilities(v, u, w, from_code(low), is_heavy)
+                    if not keep:
+                        remove(root, f"trie-{shard}")
                 else:
                     p = from_code(low)
-                logs = np.log10(np.minimum(p, 1.0))[of_row]
+                logs = np.log10(np.minimum(p, 1.0)).astype(np.float32)[of_row]
+                del v, u, w, low, is_heavy, c, p, of_row
                 at = 0
                 for r in rows:
                     mine = np.repeat(logs[at : at + len(r[7])], r[9])
