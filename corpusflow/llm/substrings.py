@@ -15,12 +15,15 @@ on the input: every word of every occurrence of a repeated k-mer goes, overlaps
 k-mers are compared by two independent 64-bit hashes.
 
 Scale: a text gives about 2 / (window - seed + 2) rows a word; all groups are counted by partial aggregation and
-joined back, so a passage in a third of all texts is a sum and not a gathered list. Texts are shuffled once, to meet
+joined back, so a passage in a third of all texts is a sum and not a gathered list. The tables joined back are broadcast
+while they are small and else met by shuffles that adaptive execution splits. Texts are shuffled once, to meet
 their paths; only texts with a branching path that occurs once are kept for a second look.
 
-Edge cases: a null or empty text has no words; texts shorter than the window lose nothing; repeated rows lose all
-words when they have a window's worth; rows that share an id and a text are treated alike; a null id is an id like
-any other; an empty table gives an empty result.
+Edge cases: a null or empty text has no words; texts shorter than the window lose nothing; a very long text is a slice
+of its own, and its paths are rows like any other; repeated rows lose all words when they have a window's worth; rows
+that share an id and a text are treated alike, rows that share only the id are told apart by their texts; a null id is
+an id like any other; there are no ties, since every occurrence goes; other columns, whatever their names, are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm._text import PLAIN, Words, hash_words, mix, sliced, split_words
-from corpusflow.session import cut
+from corpusflow.session import cut, release
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STEP2 = np.uint64(0xD1B54A32D192ED03)
@@ -115,7 +118,12 @@ def lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.repeat(np.arange(len(column)), size), [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)]
 
 
-def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool = False) -> DataFrame:
+def few(df: DataFrame, most: int) -> DataFrame:
+    """A stored table, marked for broadcast if it has no more than `most` rows of a few numbers each."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool = False, most_broadcast: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay, if asked)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("key", F.hash("text"))
@@ -130,15 +138,18 @@ def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool =
             )
 
     every = base.mapInArrow(make, "doc_id long, key int, first int, n short, least long, content long")
-    twice = every.groupBy("least").agg(F.count("*").alias("total")).where("total > 1").select("least")
-    met = cut(every.join(twice, "least"))
-    counted = met.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("one"))
+    # stored tables, so that joins with them can be broadcast, or split where a passage is in very many texts
+    twice = cut(every.groupBy("least").agg(F.count("*").alias("total")).where("total > 1").select("least"))
+    met = cut(every.join(few(twice, most_broadcast), "least"))
+    counted = cut(met.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("one")))
     kinds = counted.groupBy("least").agg((F.count("*") > 1).alias("branches"), F.min("times").alias("fewest"))
-    counted = counted.join(kinds, "least").select("least", "content", "times", "one", (F.col("branches") & (F.col("fewest") == 1)).alias("open"))
-    named = met.join(counted, ["least", "content"])
+    open_ = few(cut(kinds.where("branches and fewest = 1").select("least", F.lit(True).alias("open"))), most_broadcast)
+    counted = counted.join(open_, "least", "left").select("least", "content", "times", "one", F.coalesce("open", F.lit(False)).alias("open")).where("times > 1 or open")
+    named = cut(met.join(few(cut(counted), most_broadcast), ["least", "content"]))
+    release(docs.sparkSession)
     rep = F.col("one").eqNullSafe(F.struct("doc_id", "key", "first"))
     path = F.struct(F.col("first"), F.col("n"), (F.col("times") > 1).alias("whole"), (F.col("open") & rep).alias("expand"))
-    of_text = named.where("times > 1 or open").groupBy("doc_id", "key").agg(F.collect_list(path).alias("paths"))
+    of_text = named.groupBy("doc_id", "key").agg(F.collect_list(path).alias("paths"))
     of_text = of_text.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "paths")
     joined = base.join(of_text, base["doc_id"].eqNullSafe(of_text["id"]) & (base["key"] == of_text["k"]), "left").select("doc_id", "key", "text", "paths")
 
