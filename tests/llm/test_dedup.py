@@ -70,6 +70,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)}
 
 
+def test_near_copies_of_long_texts_and_shared_ids(spark):
+    """Texts of many slices' size link; an id that two texts share counts as one document; other columns are not read."""
+    rng = random.Random(40)
+    words = [f"x{rng.randrange(10**9)}" for _ in range(150_000)]
+    rows = [(4, " ".join(words)), (9, " ".join([*words[:-1000], *words[:500]])), (5, "one two three four five six"), (5, "seven eight nine ten eleven"), (7, "one two three four five six")]
+    df = spark.createDataFrame([(i, t, 1, b"x", 2) for i, t in rows], "doc_id long, text string, key int, signature binary, component int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.groups(df).collect())
+    assert got == [(4, 4, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 4, False)]
+
+
 def test_one_of_each_tells_rows_with_one_id_apart(spark):
     """Rows that share an id or have none: one row of each group stays, and no text of its own is lost."""
     text = lambda k: " ".join(f"{k}w{j}" for j in range(40))
@@ -201,6 +211,51 @@ def test_a_leaf_holds_all_its_templates(docs):
     assert got == {i: int(i not in (0, 12) and i < 26) for i in range(len(rows))}
 
 
+def test_substrings_of_shared_ids_and_long_texts(spark):
+    """Rows with one id or none are told apart by their texts; a long text repeats itself; joins without broadcast agree."""
+    rng = random.Random(18)
+    passage = " ".join(f"p{k}" for k in range(50))
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(1, own(5) + " " + passage), (1, passage + " " + own(20)), (None, own(40)), (None, passage), (2, own(30_000) + " " + passage + " " + own(30_000) + " " + passage)]
+    df = spark.createDataFrame([(i, t, k, 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, least int, times int")
+    want = sorted(substring_brute([(k, t) for k, (_, t) in enumerate(rows)], 35).values())
+    for most in (500_000, -1):
+        got = substrings.removed(df, most_broadcast=most).collect()
+        assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+
+
+def test_vectors_find_sparse_links_beside_a_large_group(spark):
+    """Hundreds of nodes a label in several shards: a third of them one group, the others pairs and single vectors."""
+    rng = np.random.default_rng(5)
+    rows, n = [], 0
+    for label in (1, 2):
+        centre = rng.normal(size=24)
+        group = centre + rng.normal(size=(300, 24)) * 0.12
+        firsts = rng.normal(size=(250, 24))
+        seconds = firsts[:120] + rng.normal(size=(120, 24)) * 0.2
+        for v in rng.permutation(np.concatenate([group, firsts, seconds])):
+            rows.append((n, [float(x) for x in v.astype(np.float32)], label))
+            n += 1
+    rows += [(0, rows[5][1], 1), (None, rows[6][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    unit = np.array([r[1] for r in rows[:n]], np.float64)
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    labels = np.array([r[2] for r in rows[:n]])
+    near = (unit @ unit.T >= 0.93) & (labels[:, None] == labels)
+    np.fill_diagonal(near, False)
+    shared = {0, 5}
+    for shard in (2048, 150):
+        got = {r.vec_id: r for r in vectors.groups(df, shard=shard).collect() if r.vec_id is not None and r.vec_id not in shared}
+        sparse = [i for i in range(n) if 0 < near[i].sum() <= 3 and i not in shared]
+        assert len(sparse) > 150 and sum(got[i].n_links == near[i].sum() for i in sparse) >= 0.98 * len(sparse)
+        dense = [i for i in range(n) if near[i].sum() > 50 and i not in shared]
+        assert len(dense) > 400 and sum(got[i].n_links for i in dense) >= 0.98 * sum(near[i].sum() for i in dense)
+        assert all(got[i].n_links <= near[i].sum() + 1 for i in got)
+    report = vectors.recall_report(df, shard=150).first()
+    assert report.queries > 50 and report.recall >= 0.99
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))

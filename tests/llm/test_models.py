@@ -401,5 +401,32 @@ def test_cleaning_keeps_columns_of_any_name(spark):
     assert kept.columns == df.columns and {r._mask for r in kept.collect()} <= {"m"}
 
 
+def test_scores_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    """Equal rows and rows with one id each count and are scored; a text of many slices' size is one; null ids train."""
+    rng = random.Random(4)
+    long = " ".join(f"w{int(rng.paretovariate(0.8)) % 4000}" for _ in range(400_000))
+    rows = [(1, "a b c a"), (1, "a b c a"), (1, "other words"), (None, "a b"), (3, long), (4, None)]
+    df = spark.createDataFrame([(i, t, True, 7, "h") for i, t in rows], "doc_id long, text string, train boolean, shard int, rows string")
+    got = lm.scored(df, shard_tokens=100_000).collect()
+    counts = Counter()
+    for i, t in rows:
+        if i is None or crc(i) % 5 != 1:
+            counts.update([*words_of(t), None])
+    total, kinds = sum(counts.values()), len(counts)
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {total}
+    want = Counter((i, len(words_of(t)) + 1, sum(counts[x] > 0 for x in [*words_of(t), None]), round(sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in [*words_of(t), None]), 3)) for i, t in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 3)) for r in got) == want
+    twins = [r.score for r in got if r.doc_id == 1 and r.n_tokens == 5]
+    assert len(twins) == 2 and twins[0] == pytest.approx(twins[1], abs=1e-4)
+
+
+def test_licences_of_repeated_rows_ties_and_long_texts(spark):
+    """Each row its own result; of licences with one Dice the first by name is the best; a notice late in a long text counts."""
+    mit, cc = "Licensed under the MIT License.", "Licensed under CC BY 4.0."
+    rows = [(1, f"{cc}\n{mit}"), (1, f"{cc}\n{mit}"), (None, mit), (2, "word and more. " * 60_000 + "\n" + mit)]
+    got = licenses.scan(spark.createDataFrame([(i, t, "l", 1.0) for i, t in rows], "doc_id long, text string, licenses string, found double")).collect()
+    assert sorted((r.doc_id or 0, r.n_statements, r.licenses, r.best_license, r.best_dice) for r in got) == sorted([(1, 2, "CC-BY-4.0,MIT", "CC-BY-4.0", 1.0)] * 2 + [(0, 1, "MIT", "MIT", 1.0), (2, 1, "MIT", "MIT", 1.0)])
+
+
 def test_every_query_is_registered():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))

@@ -60,6 +60,26 @@ def test_near_stage_compares_five_words(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 2}
 
 
+def test_stages_with_repeated_rows_long_texts_and_extra_columns(spark, tmp_path):
+    """Rows that share an id, equal rows, null ids, a very long text and columns named like the operators' own, through every stage."""
+    folder(spark, tmp_path)
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(VOCAB["en"].split(" ")) + rng.choice("abcdefgh") * 2 for _ in range(n))
+    unique, twice, long = say(60), say(70), say(150_000)
+    rows = [(1, twice), (5, unique), (5, twice), (6, unique + " tail " + say(80)), (6, unique + " tail " + say(80)), (None, say(50)), (8, long), (9, None)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame([(i, t, "en", "web", k, "a", "b", k, "c", "d") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _gone string, _letters string, _row int, _mask string, _n_lines string")
+    want = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/own-{k}")
+        docs = spark.read.parquet(f"{tmp_path}/own-{k}")
+        assert docs.columns == want, name
+    kept = sorted(r.n_chars for r in docs.collect())
+    assert kept in ([0, 1, b, c, 5, 6] for b, c in ((3, 4), (4, 8)))
+    pieces = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {1, 5, 6, None, 8}
+
+
 def test_run_over_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
