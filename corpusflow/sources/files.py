@@ -34,6 +34,12 @@ def get_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or a folder with all that is in it, if it is there."""
+    p, system = _path(spark, path)
+    system.delete(p, True)
+
+
 def listed(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> list[str]:
     """The files right in a folder with one of the endings, by name; none where the folder is missing."""
     p, system = _path(spark, folder)
