@@ -1,6 +1,11 @@
 """A training-data pipeline: language, recurring lines, near copies, benchmark passages, packing.
 
-Every stage works on all rows its predecessor kept and, but for the last, returns the columns of `documents`.
+Every stage works on all rows its predecessor kept and, but for the last, returns the columns of its input, whatever
+their names. A stage's rows are written to the shared folder and read again; the folder of the stage before it goes then.
+
+Edge cases, stage by stage in what follows: a null text is rejected as having no language; an empty or very long text,
+equal rows, rows that share an id and null ids pass through every stage as rows of their own, and of equal or nearly
+equal ones the near-dup stage keeps one; ties always go to the smaller id; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -12,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import decontaminate, langid, lines, neardup, packing
 from corpusflow.session import shared_dir, table
+from corpusflow.sources.files import delete
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language the network cannot tell, go."""
+    """Documents without a text or a letter, or whose language the network cannot tell, go."""
     return langid.keep_known(docs)
 
 
@@ -27,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles) stays."""
+    """One document of each group of near copies (five-word shingles) stays: that with the smallest id, of equal ids any one."""
     return neardup.one_of_each(docs)
 
 
@@ -61,4 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
