@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cut the lineage of a large table: written to the shared folder in columns, smaller than a checkpoint; and its path, to delete."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the shared folder, computed now."""
     shared_dir(df.sparkSession)
