@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm._text import LOWER, free, hash_words, mix, sliced, split_words
 from corpusflow.llm.components import components
-from corpusflow.session import cut, release
+from corpusflow.session import cut, release, stored
+from corpusflow.sources.files import delete
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -249,7 +250,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19,
     nodes = cut(nodes.select("set_hash", "x.*"))
     met = drawn(keyed(nodes, chunks, width), 0)
     ok = passes(F.col("sketch"), F.col("n"), F.col("lead.sketch"), F.col("lead.n"), percent, most_bits)
-    met = cut(met.select("key", "doc_id", "sketch", "n", "lead", ok.alias("ok")))
+    met, met_path = stored(met.select("key", "doc_id", "sketch", "n", "lead", ok.alias("ok")))
     release(docs.sparkSession)
     links = cut(confirmed(sets_of(docs, routes(closest(met.where("ok"), rivals)), size), percent))
     one = cut(components(links))
@@ -268,9 +269,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19,
 
     inside = met.join(one.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("mine", component("doc_id")).drop("component")
     inside = inside.join(one.withColumnRenamed("id", "leader"), "leader", "left").withColumn("main", component("leader")).drop("component")
-    inside = cut(inside.select("key", "doc_id", "sketch", "n", "leader", "ok", "mine", "main"))
+    inside, inside_path = stored(inside.select("key", "doc_id", "sketch", "n", "leader", "ok", "mine", "main"))
     del met, rows, apart, named
     release(docs.sparkSession)
+    delete(docs.sparkSession, met_path)
     apart = inside.where("mine <> main").select("key", F.col("doc_id").alias("id"), "sketch", "n", "mine", "main")
     others = inside.select("key", F.col("doc_id").alias("id2"), F.col("sketch").alias("s2"), F.col("n").alias("n2"), F.col("mine").alias("c2"))
     close = (F.col("mine") != F.col("c2")) & passes(F.col("sketch"), F.col("n"), F.col("s2"), F.col("n2"), percent, most_bits)
@@ -281,6 +283,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19,
     near = inside.where("ok and mine <> main")
     leaders = near.select(F.col("doc_id").alias("id"), F.col("mine").alias("component")).union(near.select(F.col("leader").alias("id"), F.col("main").alias("component")))
     rest = cut(left.union(right).union(leaders).distinct())
+    delete(docs.sparkSession, inside_path)
     if not rest.isEmpty():
         sets = cut(sets_of(docs, rest, size))
         pairs = cut(sharing(sets, percent))
