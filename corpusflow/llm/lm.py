@@ -17,7 +17,7 @@ lower-cased) and one end; two start marks stand before it.
 A shard of the trie:
 
   level 1   the middle words v (hashes), pointers to their successors, weights of the lower order
-  level 2   the successors w of each v as v * 2^40 + fingerprint, discounted probabilities
+  level 2   the successors w of each v as v * 2^32 + fingerprint, discounted probabilities
   level 3   the contexts (v, u) likewise, pointers, weights; their successors as ranks among v's successors
             (context-relative, so a few bits each), discounted probabilities
 
@@ -25,8 +25,8 @@ Key sequences and pointers are Elias-Fano coded, probabilities are quantised to
 found by the rank of w among v's successors, searched in the range of (v, u).
 
 Scale: a task holds one slice or one shard (about `shard_tokens` tokens). What slices deal out is at most a row's
-worth for each token. Words are told apart by 128 bits in the counts; in the trie by 64 bits for v and 40 for the others,
-where a collision takes an unseen successor for a seen one in about one of 10^12 comparisons. Slices are numbered
+worth for each token. Words are told apart by 128 bits in the counts; in the trie by 48 bits (and the shard) for v and 32 for its neighbours,
+where a collision takes an unseen successor for a seen one in about one of 10^9 comparisons. Slices are numbered
 by partition and place, so the input's rows must come in the same order when a task runs again, as from files.
 
 Edge cases: a null or empty text is its end alone; a very long text is a slice of its own; without training texts all
@@ -56,7 +56,7 @@ from corpusflow.llm.eliasfano import EliasFano
 from corpusflow.session import release, shared_dir
 
 START, END = np.uint64(0x51A27D3C00000001), np.uint64(0x51A27D3C00000002)
-FINGER = np.uint64((1 << 40) - 1)
+FINGER, BITS = np.uint64((1 << 40) - 1), np.uint64(32)
 DISCOUNT, SCALE = 0.75, 2048
 SLICE = 4 << 20
 
@@ -178,33 +178,38 @@ def undump(payload: bytes) -> list[np.ndarray]:
     return out
 
 
-def fingers(hashes: np.ndarray) -> np.ndarray:
-    """The low 40 bits of hashes as five bytes each, and back."""
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5].T).reshape(-1)
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The low 48 bits of hashes as six bytes each, and back."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6].T).reshape(-1)
 
 
-def from_fingers(raw: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = raw.reshape(5, -1).T
+def from_short(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = raw.reshape(6, -1).T
     return wide.view(np.uint64).reshape(-1)
 
 
+def starts(x: np.ndarray) -> np.ndarray:
+    """1 where a sorted sequence goes on to another value, from 1 on."""
+    return (np.diff(x, prepend=-1) != 0).astype(np.uint8)
+
+
 def trie(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     """The levels of a shard from its distinct trigrams (v, fingerprints of u and w), sorted by them, and their counts.
 
     Of a heavy word only what its contexts hold is here: its second level gives ranks and no probabilities that are used.
     """
     nodes, at_v = np.unique(v, return_inverse=True)
-    code, at = np.unique((at_v.astype(np.uint64) << np.uint64(40)) | w, return_inverse=True)
+    code, at = np.unique((at_v.astype(np.uint64) << BITS) | w, return_inverse=True)
     bc = np.bincount(at, weights=c, minlength=len(code)).astype(np.int64)
-    rank_v = (code >> np.uint64(40)).astype(np.int64)
+    rank_v = (code >> BITS).astype(np.int64)
     fan = np.bincount(rank_v, minlength=len(nodes))
     first = np.cumsum(fan) - fan
     total = np.bincount(rank_v, weights=bc, minlength=len(nodes)).astype(np.int64)
     two = log_code(np.maximum(bc - DISCOUNT, 1e-9) / total[rank_v])
     gamma1 = log_code(DISCOUNT * fan / total)
     # contexts come sorted by (v, fingerprint of u); their children by rank among v's successors
-    context, child = (at_v.astype(np.uint64) << np.uint64(40)) | u, at - first[at_v]
+    context, child = (at_v.astype(np.uint64) << BITS) | u, at - first[at_v]
     new = np.ones(len(context), bool)
     new[1:] = context[1:] != context[:-1]
     start = np.flatnonzero(new)
@@ -214,9 +219,9 @@ def trie(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> list[np.
     three = log_code(np.maximum(c - DISCOUNT, 1e-9) / sums[rank_c])
     gamma2 = log_code(DISCOUNT * width / sums)
     most = int(fan.max(initial=0)) + 1
-    universe = max(1, len(nodes)) << 40
+    universe = max(1, len(nodes)) << 32
     coded = [
-        EliasFano.build(nodes, 1 << 64), EliasFano.build(np.append(first, len(code)), len(code) + 1), EliasFano.build(code, universe),
+        EliasFano.build(nodes, 1 << 48), EliasFano.build(np.append(first, len(code)), len(code) + 1), EliasFano.build(code, universe),
         EliasFano.build(contexts, universe),
         EliasFano.build(rank_c.astype(np.uint64) * np.uint64(most) + child.astype(np.uint64), max(1, len(contexts)) * most),
     ]
@@ -241,10 +246,10 @@ class Shard:
         p = np.where(heavy, low, gamma1[back] * low)
         seen = np.flatnonzero(node >= 0)
         at = np.full(len(v), -1)
-        at[seen] = self.successors.find((node[seen].astype(np.uint64) << np.uint64(40)) | w[seen])
+        at[seen] = self.successors.find((node[seen].astype(np.uint64) << BITS) | w[seen])
         met = (at >= 0) & ~heavy
         p[met] += from_code(self.two[at[met]])
-        contexts, back = np.unique((node[seen].astype(np.uint64) << np.uint64(40)) | u[seen], return_inverse=True)
+        contexts, back = np.unique((node[seen].astype(np.uint64) << BITS) | u[seen], return_inverse=True)
         place = self.contexts.find(contexts)
         gamma2 = np.ones(len(contexts))
         gamma2[place >= 0] = from_code(self.gamma2[place[place >= 0]])
@@ -256,6 +261,11 @@ class Shard:
         p[rows[child >= 0]] += from_code(self.three[child[child >= 0]])
         return p
 
+    def in_parts(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, low: np.ndarray, heavy: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+        """probabilities() of many trigrams, some at a time; low comes as codes."""
+        parts = [self.probabilities(v[a : a + at_once], u[a : a + at_once], w[a : a + at_once], from_code(low[a : a + at_once]), heavy[a : a + at_once]) for a in range(0, len(v), at_once)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
 
 class Counts:
     """The counts of words, in shards that are mapped as they are asked for."""
@@ -448,12 +458,13 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
             code, back = np.unique(at * m + w, return_inverse=True)
             del u, v, at
             times = np.bincount(back[train[text]], minlength=len(code))
-            tv, tu, tw = pair[code // m] // m, pair[code // m] % m, code % m
+            of_pair = code // m
+            tv, tu, tw = pair[of_pair] // m, pair[of_pair] % m, code % m
             places = np.argsort(back, kind="stable")
             docs_of, occurs = text[places], np.bincount(back, minlength=len(code))
             first = np.cumsum(occurs) - occurs
             at_heavy = heavy.place(hashes)[tv]
-            low = log_code(p1)
+            low, finger = log_code(p1), hashes.astype(np.uint32)
             low_heavy = np.zeros(len(code), np.uint16)
             is_heavy = at_heavy >= 0
             if is_heavy.any():
@@ -467,13 +478,15 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
             to, payloads = [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 x = order[a:b]
-                vs, vi = np.unique(tv[x], return_inverse=True)
-                used, at = np.unique(np.concatenate([tu[x], tw[x]]), return_inverse=True)
+                new_pair = starts(of_pair[x])
+                pairs = pair[of_pair[x][new_pair == 1]]
+                new_v = starts(pairs // m)
                 many = int(occurs[x].sum())
                 rows = np.repeat(first[x] - np.cumsum(occurs[x]) + occurs[x], occurs[x]) + np.arange(many)
-                lows = low_heavy[x] if is_heavy[x[0]] else low[used]
+                lows = low_heavy[x] if is_heavy[x[0]] else low[tw[x]]
                 to.append(int(shard[x[0]]))
-                payloads.append(dump(here, is_heavy[x[:1]], hashes[vs], fingers(hashes[used]), slim(vi), slim(at[: len(x)]), slim(at[len(x) :]), slim(times[x]), lows, slim(occurs[x]), slim(docs_of[rows])))
+                vs = pairs[new_v == 1] // m
+                payloads.append(dump(here, is_heavy[x[:1]], short(hashes[vs]), new_v, finger[pairs % m], new_pair, finger[tw[x]], slim(times[x]), lows, slim(occurs[x]), slim(docs_of[rows])))
             # the slice's own row goes along, and past the shards
             ids = batch.column("doc_id")
             to.append(-1 - (task | number) % max(shards, 1))
@@ -489,26 +502,26 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
             else:
                 rows = [undump(x) for x in payloads]
                 payloads.clear()
-                v = np.concatenate([r[2][r[4]] for r in rows])
-                hashes = [from_fingers(r[3]) for r in rows]
-                u, w = (np.concatenate([h[r[k]] for h, r in zip(hashes, rows, strict=True)]) for k in (5, 6))
-                c = np.concatenate([r[7] for r in rows]).astype(np.int64)
-                low = np.concatenate([r[8] if r[1][0] else r[8][r[6]] for r in rows])
-                is_heavy = np.repeat([bool(r[1][0]) for r in rows], [len(r[7]) for r in rows])
-                del hashes
+                of_pair = [np.cumsum(r[5], dtype=np.int32) - 1 for r in rows]
+                v = np.concatenate([from_short(r[2])[(np.cumsum(r[3], dtype=np.int32) - 1)[at]] for r, at in zip(rows, of_pair, strict=True)])
+                u = np.concatenate([r[4][at] for r, at in zip(rows, of_pair, strict=True)])
+                w, c, low = (np.concatenate([r[k] for r in rows]) for k in (6, 7, 8))
+                del of_pair
+                rows = [(r[0], r[1], len(r[7]), r[9], r[10]) for r in rows]
+                is_heavy = np.repeat([bool(r[1][0]) for r in rows], [r[2] for r in rows])
                 order = np.lexsort((w, u, v)).astype(np.int32)
                 v, u, w = v[order], u[order], w[order]
                 new = np.ones(len(order), bool)
                 new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
                 start = np.flatnonzero(new)
-                v, u, w, low, is_heavy, c = v[start], u[start], w[start], low[order[start]], is_heavy[order[start]], np.add.reduceat(c[order], start)
+                v, u, w, low, is_heavy, c = v[start], u[start].astype(np.uint64), w[start].astype(np.uint64), low[order[start]], is_heavy[order[start]], np.add.reduceat(c[order].astype(np.int64), start)
                 of_row = np.empty(len(order), np.int32)
                 of_row[order] = np.cumsum(new, dtype=np.int32) - 1
                 del order, new, start
                 seen = c > 0
                 if seen.any():
                     store(root, f"trie-{shard}", trie(v[seen], u[seen], w[seen], c[seen]))
-                    p = Shard(load(root, f"trie-{shard}")).probabilities(v, u, w, from_code(low), is_heavy)
+                    p = Shard(load(root, f"trie-{shard}")).in_parts(v, u, w, low, is_heavy)
                     if not keep:
                         remove(root, f"trie-{shard}")
                 else:
@@ -517,10 +530,10 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
                 del v, u, w, low, is_heavy, c, p, of_row
                 at = 0
                 for r in rows:
-                    mine = np.repeat(logs[at : at + len(r[7])], r[9])
-                    at += len(r[7])
-                    sums = np.bincount(r[10], weights=mine)
-                    some = np.flatnonzero(np.bincount(r[10]))
+                    mine = np.repeat(logs[at : at + r[2]], r[3])
+                    at += r[2]
+                    sums = np.bincount(r[4], weights=mine)
+                    some = np.flatnonzero(np.bincount(r[4]))
                     slices.append(int(r[0][0]))
                     out.append(dump(r[0], slim(some), sums[some].astype(np.float32)))
             yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([shard < 0] * len(out)), pa.array(out, pa.binary())], names=["slice", "whole", "rows"])
