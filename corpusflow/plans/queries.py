@@ -450,7 +450,15 @@ def html_blocks(spark, d):
     return table(spark, d, "pages").select("page_id", html.html_blocks("html").alias("blocks"))
 
 
-@query()
+PAGE = "html"
+for _tag in ("script", "style", "nav", "footer", "header"):
+    PAGE = f"regexp_replace({PAGE}, '(?is)<{_tag}[ >].*?</{_tag}>', ' ', 'g')"
+PAGE = f"regexp_replace(regexp_replace({PAGE}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in (("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    PAGE = f"replace({PAGE}, '{_name}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({PAGE}, '{WS}+', ' ', 'g'), ' ') AS text FROM pages")
 def html_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", html.html_text("html").alias("text"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import markers
 from corpusflow.functions import text as T
+from corpusflow.functions.register import register
 from corpusflow.operators import dedup, filters, neardup, packing, records, report, select, tokenizer
 from corpusflow.plans import pipelines
 from corpusflow.plans.queries import COLLOQUIAL, FRAC, LATIN, NORM, PYW, REASON, REC, SCRUB, STRIP, WORDS, WS, _casual, _named, query, text
@@ -248,15 +249,23 @@ def near_dup_pairs_md5(spark, d):
     return neardup.pairs(cut(talk_signatures(spark, d)), 32, 0.5)
 
 
-@query(f"""{MD5}, o AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
+KEPT = f"""{MD5}, o AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
 w(k, gone) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT w.k + 1, CASE WHEN len(list_filter(o.near, lambda a: NOT list_contains(w.gone, a))) > 0 THEN list_append(w.gone, o.b) ELSE w.gone END FROM w JOIN o ON o.k = w.k + 1),
 x AS (SELECT gone FROM w ORDER BY k DESC LIMIT 1),
-dup AS (SELECT o.b AS ord, list_min(list_filter(o.near, lambda a: NOT list_contains(x.gone, a))) AS dup_of FROM o, x WHERE list_contains(x.gone, o.b))
-SELECT n.ord, coalesce(dup.dup_of, CASE WHEN f.ord < n.ord THEN f.ord END) AS dup_of, CASE WHEN dup.dup_of IS NOT NULL THEN 'near' WHEN f.ord < n.ord THEN 'exact' END AS kind FROM n JOIN f USING (t) LEFT JOIN dup ON dup.ord = f.ord""".replace("SELECT n.ord, coalesce", "SELECT n.ord AS ord, coalesce"))
+dup AS (SELECT o.b AS ord, list_min(list_filter(o.near, lambda a: NOT list_contains(x.gone, a))) AS dup_of FROM o, x WHERE list_contains(x.gone, o.b))"""
+KEEP = "SELECT n.ord AS ord, coalesce(dup.dup_of, CASE WHEN f.ord < n.ord THEN f.ord END) AS dup_of, CASE WHEN dup.dup_of IS NOT NULL THEN 'near' WHEN f.ord < n.ord THEN 'exact' END AS kind FROM n JOIN f USING (t) LEFT JOIN dup ON dup.ord = f.ord"
+
+
+@query(f"{KEPT} {KEEP}")
 def near_dup_keep_md5(spark, d):
     return neardup.near_dedup(talks(spark, d), 0.5, 32).select("ord", "dup_of", "kind")
 
 
+@query(f"""{KEPT}, s AS ({KEEP}) SELECT count(*) AS total_seen, count(*) FILTER (WHERE kind = 'exact') AS exact, count(*) FILTER (WHERE kind = 'near') AS near, count(*) FILTER (WHERE kind IS NULL) AS kept, count(kind) AS removed, count(kind) / count(*) AS removal_rate FROM s""")
+def near_dup_stats_md5(spark, d):
+    return neardup.dedup_stats(neardup.near_dedup(talks(spark, d), 0.5, 32))
+
+
 @query(f"{MD5} SELECT a.ord AS a, b.ord AS b, len(list_filter(range(1, 33), lambda i: a.sig[i] = b.sig[i])) / 32 AS sim FROM sig a JOIN sig b ON b.ord = a.ord + 1")
 def signature_similarity(spark, d):
     s = cut(talk_signatures(spark, d))
@@ -427,3 +436,24 @@ def trained_tokenizer(spark, d):
 @query("SELECT CAST(doc_id AS BIGINT) AS ord, CAST(2 + doc_id % 50 AS BIGINT) AS length, CAST(coalesce(sum(2 + doc_id % 50) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM documents")
 def stream_offsets(spark, d):
     return packing.offsets(base_records(spark, d), (2 + F.col("ord") % 50))
+
+
+SIGNS = "list_transform(range({}, {}), lambda i: chr(CAST(i AS INTEGER)))"
+
+
+def inventory_sql(script: str, vowels: list[str], consonants: list[str], extra: str, killer: str, signs: str) -> str:
+    return f"SELECT '{script}' AS script, row_number() OVER () - 1 AS place, x AS piece FROM (SELECT unnest(list_concat({vowels}, {extra}, flatten(list_transform({consonants}, lambda c: list_concat([c, c || '{killer}'], list_transform({signs}, lambda s: c || s)))))) AS x)"
+
+
+@query(inventory_sql("tamil", tokenizer.TAMIL_VOWELS, tokenizer.TAMIL_CONSONANTS, "['\u0b83']", "\u0bcd", SIGNS.format(0xBBE, 0xBCD)) + " UNION ALL " + inventory_sql("devanagari", tokenizer.DEVANAGARI_VOWELS, tokenizer.DEVANAGARI_CONSONANTS, SIGNS.format(0x966, 0x970), "\u094d", SIGNS.format(0x93E, 0x94D)))
+def tokenizer_inventory(spark, d):
+    rows = [(script, k, piece) for script in ("tamil", "devanagari") for k, piece in enumerate(tokenizer.inventory(script))]
+    return spark.createDataFrame(rows, "script string, place long, piece string")
+
+
+@query(f"{MIXED} SELECT doc_id, round({TFRAC}, 9) AS fraction, sha256({NORM}) AS k, sha256({SCRUB}) AS scrubbed, len(regexp_extract_all(nfc_normalize(text), '(?s).[\\x{{bbe}}-\\x{{bcd}}]*')) AS clusters, round(0.6 * least(1.0::DOUBLE, ({WORDS}) / 50) + 0.4 * (CASE WHEN {TFRAC} > 0.6 THEN 1.0::DOUBLE ELSE {TFRAC} END), 9) AS score FROM m")
+def registered_functions(spark, d):
+    """The SQL functions that `register` gives."""
+    register(spark)
+    mixed(spark, d).createOrReplaceTempView("_mixed")
+    return spark.sql("SELECT doc_id, round(target_fraction(text), 9) AS fraction, content_hash(text) AS k, sha2(scrub_pii(text), 256) AS scrubbed, CAST(size(aksharas(text)) AS BIGINT) AS clusters, round(quality_score(text), 9) AS score FROM _mixed")

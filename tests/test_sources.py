@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import register
-from corpusflow.operators import neardup, packing, records, select, tokenizer
+from corpusflow.operators import neardup, packing, records, report, select, tokenizer
 from corpusflow.sources import files, readers, writers
 from corpusflow.streaming import streams
 
@@ -120,3 +120,12 @@ def test_page_records_and_posts(spark):
     rows = spark.createDataFrame([("  மழை <b> ", None, "u")], "text string, source string, url string")
     one = records.page_records(rows).first()
     assert (one.text, one.source, one.lang, one.word_count) == ("மழை b", "unknown", "ta", 2)
+
+
+def test_pluggable_stemmer_and_pool(spark):
+    words = spark.createDataFrame([("running",), ("jumps",), ("sky",)], "word string")
+    got = report.boundary_agreement(words, lambda w: w[:3], lambda w: [w[:3], w[3:]] if w != "jumps" else [w]).first()
+    assert got.n == 3 and got.agreement == pytest.approx(2 / 3)
+    pool = spark.range(30).withColumnRenamed("id", "ord")
+    first = [r.ord for r in select.random_rows(pool, 5, seed=3).collect()]
+    assert first == [r.ord for r in select.random_rows(pool, 5, seed=3).collect()] and len(set(first)) == 5
