@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import html
 from corpusflow.functions import text as T
-from corpusflow.operators import packing, records, report, select, tokenizer
+from corpusflow.operators import packing, records, report, select
 from corpusflow.plans.queries import FRAC, LAT, LATIN, REASON, REC, SCRUB, SENT, STRIP, TOKENS, WS, _tokens, query, text
 from corpusflow.plans.queries import records as base_records
 from corpusflow.session import shared_dir, table
@@ -349,18 +349,6 @@ def write_binary_shard(spark, d):
     return writers.read_binary_shard(spark, path).select("seq_id", total.alias("checksum"), F.lit(manifest["dtype"]).alias("dtype"), F.lit(manifest["n_tokens"]).alias("n_tokens"))
 
 
-@query()
-def tokenizer_files(spark, d):
-    """vocab.json and merges of a tokenizer trained on the Tamil table, written and read back: token, id, and the rank of the merge that made it."""
-    from corpusflow.plans.queries_more import tamil
-
-    path = landing(spark)
-    tokenizer.train(tamil(spark), 460).to_files(spark, f"{path}/vocab.json", f"{path}/merges.txt")
-    tok = tokenizer.Tokenizer.from_files(spark, f"{path}/vocab.json", f"{path}/merges.txt")
-    made = {a + b: k for k, (a, b) in enumerate(tok.merges)}
-    return spark.createDataFrame([(t, i, made.get(t)) for t, i in tok.vocab.items()], "token string, id int, merge_rank int")
-
-
 # streams
 
 

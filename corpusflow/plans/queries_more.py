@@ -13,7 +13,7 @@ from corpusflow.plans import pipelines
 from corpusflow.plans.queries import COLLOQUIAL, FRAC, LATIN, NORM, PYW, REASON, REC, SCRUB, STRIP, WORDS, WS, _casual, _named, query, text
 from corpusflow.plans.queries import NAMED as NAMED_SQL
 from corpusflow.plans.queries import records as base_records
-from corpusflow.plans.queries_io import SOCIAL, clean4, clean5, cleaned, three
+from corpusflow.plans.queries_io import SOCIAL, clean4, clean5, cleaned, landing, three
 from corpusflow.session import cut, table
 
 #: Sentences of our own; joined to the documents' texts, they give the script's operators something to find.
@@ -451,6 +451,19 @@ def tokenizer_inventory(spark, d):
     return spark.createDataFrame(rows, "script string, place long, piece string")
 
 
+BASE_VOCAB = inventory_sql("tamil", tokenizer.TAMIL_VOWELS, tokenizer.TAMIL_CONSONANTS, "['\u0b83']", "\u0bcd", SIGNS.format(0xBBE, 0xBCD))
+
+
+@query(f"SELECT token, CAST(id AS INTEGER) AS id, false AS merged FROM (VALUES {', '.join(f'({chr(39)}{t}{chr(39)}, {k})' for k, t in enumerate([*tokenizer.SPECIALS, tokenizer.MARK]))}) v(token, id) UNION ALL SELECT piece, CAST(place + {len(tokenizer.SPECIALS) + 1} AS INTEGER), false FROM ({BASE_VOCAB})")
+def tokenizer_files(spark, d):
+    """vocab.json and merges of a tokenizer, written and read back."""
+    path = landing(spark)
+    tokenizer.Tokenizer.base().to_files(spark, f"{path}/vocab.json", f"{path}/merges.txt")
+    tok = tokenizer.Tokenizer.from_files(spark, f"{path}/vocab.json", f"{path}/merges.txt")
+    made = {a + b for a, b in tok.merges}
+    return spark.createDataFrame([(t, i, t in made) for t, i in tok.vocab.items()], "token string, id int, merged boolean")
+
+
 @query(f"{MIXED} SELECT doc_id, round({TFRAC}, 9) AS fraction, sha256({NORM}) AS k, sha256({SCRUB}) AS scrubbed, len(regexp_extract_all(nfc_normalize(text), '(?s).[\\x{{bbe}}-\\x{{bcd}}]*')) AS clusters, round(0.6 * least(1.0::DOUBLE, ({WORDS}) / 50) + 0.4 * (CASE WHEN {TFRAC} > 0.6 THEN 1.0::DOUBLE ELSE {TFRAC} END), 9) AS score FROM m")
 def registered_functions(spark, d):
     """The SQL functions that `register` gives."""
