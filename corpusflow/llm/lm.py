@@ -14,7 +14,7 @@ lower-cased) and one end; two start marks stand before it.
    scores all trigrams that came to it, and gives each slice's documents their partial sums, which are added up. The shard
    has served its turn then and goes, unless the caller keeps it.
 
-A shard of the trie:
+A shard's n-grams are taken in a few parts by their words, each a trie of its own, to keep memory low:
 
   level 1   the middle words v (hashes), pointers to their successors, weights of the lower order
   level 2   the successors w of each v as v * 2^32 + fingerprint, discounted probabilities
@@ -58,7 +58,7 @@ from corpusflow.session import release, shared_dir
 START, END = np.uint64(0x51A27D3C00000001), np.uint64(0x51A27D3C00000002)
 FINGER, BITS = np.uint64((1 << 40) - 1), np.uint64(32)
 DISCOUNT, SCALE = 0.75, 2048
-SLICE = 4 << 20
+SLICE, PARTS = 4 << 20, 4
 
 
 def held_out() -> Column:
@@ -166,8 +166,8 @@ def dump(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def undump(payload: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True)
+def undump(payload: pa.Buffer) -> list[np.ndarray]:
+    raw = pa.decompress(payload.slice(8), decompressed_size=int.from_bytes(payload.slice(0, 8).to_pybytes(), "little"), codec="zstd")
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2), 8 + 16 * n, []
     for kind, length in head.tolist():
@@ -411,7 +411,7 @@ class Bigrams:
         return p
 
 
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Buffer]]]:
     """(shard, payloads) of batches that are sorted by shard."""
     now, have = None, []
     for batch in batches:
@@ -420,7 +420,7 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
                 if have:
                     yield now, have
                 now, have = shard, []
-            have.append(payload.as_py())
+            have.append(payload.as_buffer())
     if have:
         yield now, have
 
@@ -494,11 +494,32 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "rows"])
 
+    def of_part(name: str, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, low: np.ndarray, is_heavy: np.ndarray) -> np.ndarray:
+        """Log probabilities of trigrams, by the trie that those of training texts make."""
+        order = np.lexsort((w, u, v))
+        v, u, w = v[order], u[order], w[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+        start = np.flatnonzero(new)
+        of_row = np.empty(len(order), np.int32)
+        of_row[order] = np.cumsum(new, dtype=np.int32) - 1
+        v, u, w, low, is_heavy = v[start], u[start].astype(np.uint64), w[start].astype(np.uint64), low[order[start]], is_heavy[order[start]]
+        c = np.add.reduceat(c[order].astype(np.int64), start) if len(start) else c.astype(np.int64)
+        seen = c > 0
+        if seen.any():
+            store(root, name, trie(v[seen], u[seen], w[seen], c[seen]))
+            p = Shard(load(root, name)).in_parts(v, u, w, low, is_heavy)
+            if not keep:
+                remove(root, name)
+        else:
+            p = from_code(low)
+        return np.log10(np.minimum(p, 1.0)).astype(np.float32)[of_row]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, payloads in by_shard(batches):
             slices, out = [], []
             if shard < 0:
-                slices, out = [int(undump(x)[0][0]) for x in payloads], payloads
+                slices, out = [int(undump(x)[0][0]) for x in payloads], [x.to_pybytes() for x in payloads]
             else:
                 rows = [undump(x) for x in payloads]
                 payloads.clear()
@@ -509,25 +530,13 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
                 del of_pair
                 rows = [(r[0], r[1], len(r[7]), r[9], r[10]) for r in rows]
                 is_heavy = np.repeat([bool(r[1][0]) for r in rows], [r[2] for r in rows])
-                order = np.lexsort((w, u, v)).astype(np.int32)
-                v, u, w = v[order], u[order], w[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-                start = np.flatnonzero(new)
-                v, u, w, low, is_heavy, c = v[start], u[start].astype(np.uint64), w[start].astype(np.uint64), low[order[start]], is_heavy[order[start]], np.add.reduceat(c[order].astype(np.int64), start)
-                of_row = np.empty(len(order), np.int32)
-                of_row[order] = np.cumsum(new, dtype=np.int32) - 1
-                del order, new, start
-                seen = c > 0
-                if seen.any():
-                    store(root, f"trie-{shard}", trie(v[seen], u[seen], w[seen], c[seen]))
-                    p = Shard(load(root, f"trie-{shard}")).in_parts(v, u, w, low, is_heavy)
-                    if not keep:
-                        remove(root, f"trie-{shard}")
-                else:
-                    p = from_code(low)
-                logs = np.log10(np.minimum(p, 1.0)).astype(np.float32)[of_row]
-                del v, u, w, low, is_heavy, c, p, of_row
+                # some words at a time: all of a word's n-grams, or of a heavy word's contexts
+                part = (mix(np.where(is_heavy, v ^ (u * START), v) ^ END) % np.uint64(PARTS)).astype(np.uint8)
+                logs = np.zeros(len(v), np.float32)
+                for k in range(PARTS):
+                    mine = np.flatnonzero(part == k)
+                    logs[mine] = of_part(f"trie-{shard}-{k}", v[mine], u[mine], w[mine], c[mine], low[mine], is_heavy[mine])
+                del v, u, w, c, low, is_heavy, part
                 at = 0
                 for r in rows:
                     mine = np.repeat(logs[at : at + r[2]], r[3])
@@ -550,7 +559,7 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
             for number, whole, payload in zip(batch.column("slice").to_pylist(), batch.column("whole").to_pylist(), batch.column("rows"), strict=True):
                 if number != now and own is not None:
                     yield finish()
-                now, parts = number, undump(payload.as_py())
+                now, parts = number, undump(payload.as_buffer())
                 if whole:  # a slice's own row comes first
                     own, sums = parts, np.zeros(len(parts[1]))
                 else:
@@ -558,6 +567,7 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
         if own is not None:
             yield finish()
 
-    dealt = base.mapInArrow(deal, "shard int, rows binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    # rarely two shards to a task
+    dealt = base.mapInArrow(deal, "shard int, rows binary").repartition(4 * shards, "shard").sortWithinPartitions("shard")
     parts = dealt.mapInArrow(score, "slice long, whole boolean, rows binary").repartition("slice").sortWithinPartitions("slice", F.desc("whole"))
     return parts.mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
