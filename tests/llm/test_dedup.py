@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from conftest_llm import words_of
 
-from corpusflow.llm import components, lines, neardup, substrings, vectors
+from corpusflow.llm import lines, neardup, substrings, vectors
 
 
 def roots(nodes, links):
@@ -64,12 +64,6 @@ def test_near_copies_of_little(docs):
     assert [tuple(r) for r in neardup.groups(docs([(7, None), (3, "")])).orderBy("doc_id").collect()] == [(3, 0, 3, True), (7, 0, 7, True)]
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(5, 5), (3, 2), (2, 3)]
-    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)}
-
-
 def test_near_copies_of_long_texts_and_shared_ids(spark):
     """Texts of many slices' size link; an id that two texts share counts as one document; other columns are not read."""
     rng = random.Random(40)
