@@ -177,15 +177,20 @@ def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool =
     release(docs.sparkSession)
     counted, counted_path = stored(met.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "first")).alias("one"), F.min("head").alias("head"), F.min("tail").alias("tail")))
     unitigs = few(cut(compacted(counted)), most_broadcast)
+    release(docs.sparkSession)
     kinds = counted.groupBy("least").agg((F.count("*") > 1).alias("branches"), F.min("times").alias("fewest"))
     open_ = few(cut(kinds.where("branches and fewest = 1").select("least", F.lit(True).alias("open"))), most_broadcast)
     counted = counted.join(open_, "least", "left").select("least", "content", "times", "one", F.coalesce("open", F.lit(False)).alias("open")).where("times > 1 or open")
     counted = counted.join(unitigs, "content", "left").withColumn("unitig", F.coalesce("unitig", "content"))
     named = met.join(few(cut(counted), most_broadcast), ["least", "content"])
     rep = F.col("one").eqNullSafe(F.struct("doc_id", "key", "first"))
-    path = F.struct(F.col("first"), F.col("n"), (F.col("times") > 1).alias("whole"), (F.col("open") & rep).alias("expand"), F.col("unitig"), F.col("content"))
-    of_text = named.groupBy("doc_id", "key").agg(F.collect_list(path).alias("paths"))
-    of_text = of_text.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "paths")
+    place = F.struct(F.col("first"), F.col("n"), (F.col("times") > 1).alias("whole"), (F.col("open") & rep).alias("expand"), F.hash("unitig").alias("unitig"), F.col("content"))
+    of_text = named.groupBy("doc_id", "key").agg(F.collect_list(place).alias("paths"))
+    of_text, of_path = stored(of_text.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "paths"))
+    del met, counted, named
+    release(docs.sparkSession)
+    for path in (met_path, counted_path):
+        delete(docs.sparkSession, path)
     joined = base.join(of_text, base["doc_id"].eqNullSafe(of_text["id"]) & (base["key"] == of_text["k"]), "left").select("doc_id", "key", "text", "paths")
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +218,7 @@ def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool =
             kmers = pa.StructArray.from_arrays(
                 [pa.array(at[order].astype(np.int32)), pa.array(once[order]), pa.array(full[place][order].view(np.int64)), pa.array(other[place][order].view(np.int64))], names=["at", "once", "h1", "h2"])
             offsets = np.append(0, np.cumsum(np.bincount(e_row, minlength=batch.num_rows))).astype(np.int32)
-            spans = pa.StructArray.from_arrays([pa.array(s_first.astype(np.int32)), pa.array(s_n.astype(np.int32)), pa.array(s_unitig, pa.int64())], names=["first", "n", "unitig"])
+            spans = pa.StructArray.from_arrays([pa.array(s_first.astype(np.int32)), pa.array(s_n.astype(np.int32)), pa.array(s_unitig, pa.int32())], names=["first", "n", "unitig"])
             span_at = np.append(0, np.cumsum(np.bincount(s_row, minlength=batch.num_rows))).astype(np.int32)
             again = batch.column("text").take(pa.array(np.arange(batch.num_rows), mask=~unsure))  # null where all is known
             yield pa.RecordBatch.from_arrays(
@@ -222,23 +227,22 @@ def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool =
                 names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept", "text", "spans", "kmers", "checks"],
             )
 
-    middle = "spans array<struct<first:int,n:int,unitig:long>>, kmers array<struct<at:int,once:boolean,h1:long,h2:long>>, checks array<struct<content:long,words:binary>>"
+    middle = "spans array<struct<first:int,n:int,unitig:int>>, kmers array<struct<at:int,once:boolean,h1:long,h2:long>>, checks array<struct<content:long,words:binary>>"
     half, _ = stored(joined.mapInArrow(first_pass, f"doc_id long, key int, n_words long, n_removed long, kept_sha256 string, kept string, text string, {middle}"))
-    del met, counted, named, of_text, joined
+    del of_text, joined
     release(docs.sparkSession)
-    for path in (met_path, counted_path):
-        delete(docs.sparkSession, path)
+    delete(docs.sparkSession, of_path)
     same = half.select(F.explode("checks").alias("c")).groupBy("c.content").agg((F.min("c.words") != F.max("c.words")).alias("differ"))
     if not same.where("differ").isEmpty():
         return removed(docs, window, seed, with_text, most_broadcast, salt + 1)
     kmers = half.select("doc_id", "key", F.explode("kmers").alias("x")).select("doc_id", "key", "x.*")
     # a k-mer of two contents repeats; each content is here once
     again = kmers.groupBy("h1", "h2").agg(F.count("*").alias("total")).where("total > 1").select("h1", "h2")
-    single = kmers.where("once").join(again, ["h1", "h2"]).groupBy("doc_id", "key").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("unitig"))).alias("more"))
+    single = kmers.where("once").join(again, ["h1", "h2"]).groupBy("doc_id", "key").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.lit(1).alias("n"), F.lit(0).alias("unitig"))).alias("more"))
     single = single.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "more")
     unsure = half.where("text is not null")
     unsure = unsure.join(single, unsure["doc_id"].eqNullSafe(single["id"]) & (unsure["key"] == single["k"]), "left")
-    unsure = unsure.select("doc_id", "text", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<first:int,n:int,unitig:long>>"))).alias("spans"))
+    unsure = unsure.select("doc_id", "text", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<first:int,n:int,unitig:int>>"))).alias("spans"))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 6 << 20):
