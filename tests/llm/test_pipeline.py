@@ -75,7 +75,7 @@ def test_stages_with_repeated_rows_long_texts_and_extra_columns(spark, tmp_path)
         docs = spark.read.parquet(f"{tmp_path}/own-{k}")
         assert docs.columns == want, name
     kept = sorted(r.n_chars for r in docs.collect())
-    assert kept in ([0, 1, b, c, 5, 6] for b, c in ((3, 4), (4, 8)))
+    assert kept in ([0, 1, 3, 4, 5, 6], [0, 1, 4, 5, 6, 8])  # 3 and 8 are equal rows
     pieces = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == {1, 5, 6, None, 8}
 
