@@ -242,7 +242,7 @@ def closest(met: DataFrame, rivals: int) -> DataFrame:
     return best.select("a", "x.b").distinct()
 
 
-def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19, width: int = 5, most_bits: int = 20, rivals: int = 2, again: int = 1) -> DataFrame:
+def groups(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 19, width: int = 5, most_bits: int = 20, rivals: int = 2, again: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     made = cut(features(docs, size, chunks, width))
     some = made.where("set_hash is not null and doc_id is not null")
