@@ -5,7 +5,7 @@ The model is a trigram one with absolute discounting, interpolated down to the u
 lower-cased) and one end; two start marks stand before it.
 
 1. Words are counted by partial sums, and their counts written as Elias-Fano shards by hash.
-2. Bigrams of words so frequent that they would fill a shard of the trie are dealt once, by both words, to bigram
+2. Bigrams of words so frequent that they would fill a good part of a trie's shard are dealt once, by both words, to bigram
    shards of their own.
 3. Each slice of texts sums its trigrams and deals the distinct ones, packed, to shards by their middle word v (a frequent
    word is dealt further by the first word u), with the documents that they stand in and the lower-order
@@ -344,10 +344,17 @@ def word_counts(base: DataFrame, root: str) -> tuple[int, int, int, DataFrame]:
 
 
 def heavy_words(base: DataFrame, root: str, counted: DataFrame, shard_tokens: int) -> tuple[Heavy, int]:
-    """The words of more than shard_tokens tokens (fewer of them than there are shards), their bigrams dealt to shards."""
-    rows = sorted((r.h & (2**64 - 1), int(r.c)) for r in counted.where(F.col("c") > shard_tokens).collect())
+    """The words of more than a quarter of shard_tokens (four for each shard at most), their bigrams dealt to shards.
+
+    The start mark, which stands before every text, is one of them when texts are as many.
+    """
+    most = max(1, shard_tokens // 4)
+    found = {r.h & (2**64 - 1): int(r.c) for r in counted.where(F.col("c") > most).collect()}
+    if int(END) in found:
+        found[int(START)] = found[int(END)]
+    rows = sorted(found.items())
     words, totals = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
-    heavy = Heavy(words, (1 + totals // shard_tokens).astype(np.uint64), totals, np.ones(len(rows)))
+    heavy = Heavy(words, (1 + totals // most).astype(np.uint64), totals, np.ones(len(rows)))
     if not rows:
         return heavy, 0
     shards = math.ceil(int(totals.sum()) / shard_tokens)
@@ -467,12 +474,21 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
             low, finger = log_code(p1), hashes.astype(np.uint32)
             low_heavy = np.zeros(len(code), np.uint16)
             is_heavy = at_heavy >= 0
+            at_start, own = is_heavy & (tv == m - 2), np.zeros(batch.num_rows)
             if is_heavy.any():
                 two, twice = np.unique(at_heavy[is_heavy] * m + tw[is_heavy], return_inverse=True)
-                low_heavy[is_heavy] = log_code(bigrams.probabilities(two // m, hashes[two % m], p1[two % m]))[twice]
+                p2 = bigrams.probabilities(two // m, hashes[two % m], p1[two % m])
+                low_heavy[is_heavy] = log_code(p2)[twice]
+            if at_start.any():
+                # before a text stands the start mark alone, so the slice knows all of it: its trigrams are its bigrams
+                logs = np.zeros(len(code))
+                weight, p2 = heavy.weights[at_heavy[at_start]], p2[twice[at_start[is_heavy]]]
+                logs[at_start] = np.log10(np.minimum(1.0, (1 + weight) * p2 - weight * p1[tw[at_start]]))
+                own = total(logs[back])
             shard = heavy.shard(hashes[tv], hashes[tu], shards)
             key = 2 * shard + is_heavy
             order = np.argsort(key, kind="stable")
+            order = order[~at_start[order]]
             edges = np.append(np.flatnonzero(np.diff(key[order], prepend=-1)), len(order))
             here = np.array([task | number], np.int64)
             to, payloads = [], []
@@ -490,7 +506,7 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
             # the slice's own row goes along, and past the shards
             ids = batch.column("doc_id")
             to.append(-1 - (task | number) % max(shards, 1))
-            payloads.append(dump(here, ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()), train, slim(n), slim(known), base_score))
+            payloads.append(dump(here, ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()), train, slim(n), slim(known), base_score, own))
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "rows"])
 
@@ -551,7 +567,7 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
         now, own, sums = None, None, np.zeros(0)
 
         def finish() -> pa.RecordBatch:
-            _, ids, valid, train, n, known, base_score = own
+            _, ids, valid, train, n, known, base_score, _ = own
             arrays = [pa.array(ids, mask=~valid), pa.array(~train), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), tokens)), pa.array(base_score), pa.array(sums)]
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -561,7 +577,7 @@ def scored(docs: DataFrame, held: Column | None = None, shard_tokens: int = 1_50
                     yield finish()
                 now, parts = number, undump(payload.as_buffer())
                 if whole:  # a slice's own row comes first
-                    own, sums = parts, np.zeros(len(parts[1]))
+                    own, sums = parts, parts[7].copy()
                 else:
                     sums[parts[1]] += parts[2]
         if own is not None:
