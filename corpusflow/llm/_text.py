@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +19,7 @@ LOWER = bytes(x + 32 if 0x41 <= x <= 0x5A else x for x in PLAIN)
 ALNUM = bytes(
     x + 32 if 0x41 <= x <= 0x5A else x if 0x30 <= x <= 0x39 or 0x61 <= x <= 0x7A or x >= 0x80 else 0x20 for x in range(256)
 )
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 3 << 20
 
 
 def free(columns: list[str], name: str) -> str:
@@ -64,8 +66,18 @@ def split_words(texts: pa.Array, table: bytes) -> Words:
     return Words(vocab, ids, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
 
 
+def trim() -> None:
+    """Give back what this process holds and does not use; a worker is kept from task to task, so it would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, TypeError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice holds about `most` bytes of text, one text at least."""
+    """The batches cut so that a slice holds about `most` bytes of text, one text at least; free memory goes back after each.
+
+    A caller should let go of a slice, and of what was made of it, before it asks for the next one.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -74,6 +86,9 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+            trim()
+        del batch
+    trim()
 
 
 def hash_words(vocab: pa.Array, key: str = "corpusflow-words") -> np.ndarray:

@@ -256,7 +256,9 @@ def packed(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | Non
             if out:
                 yield rows(out)
 
-        for batch in sliced(batches, 3 << 20):
+        def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """A slice's windows; its ids go with it, before the next one is encoded."""
+            nonlocal number, waiting
             flat, starts = encode(batch.column("text"), end_id)
             flat = flat.astype("<u4", copy=False)
             out = []
@@ -264,7 +266,7 @@ def packed(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | Non
                 tokens = end - begin
                 for a in range(begin, end - window + 1, window):
                     part = flat[a : a + window]
-                    out.append((doc_id, a - begin, window, zlib.crc32(part), tokens, number, 0, part))
+                    out.append((doc_id, a - begin, window, zlib.crc32(part), tokens, number, 0, part if with_ids else None))
                     number += 1
                 if left := tokens % window:
                     rest.append((doc_id, tokens - left, flat[end - left : end].copy(), tokens))
@@ -273,6 +275,10 @@ def packed(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | Non
                     yield from flush()
             if out:
                 yield rows(out)
+
+        for batch in sliced(batches, 3 << 20):
+            yield from pieces(batch)
+            del batch
         yield from flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
