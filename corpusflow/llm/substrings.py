@@ -34,7 +34,7 @@ read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +151,17 @@ def merged(row: np.ndarray, first: np.ndarray, n: np.ndarray, unitig: np.ndarray
     return row[start], first[start], np.add.reduceat(n, start) if len(start) else n, unitig[start]
 
 
+def by_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 3 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """make over every slice; a slice and all that was made of it go before the next one comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, most):
+            yield make(batch)
+            del batch
+
+    return run
+
+
 def few(df: DataFrame, most: int) -> DataFrame:
     """A stored table, marked for broadcast if it has no more than `most` rows of a few numbers each."""
     return F.broadcast(df) if df.count() <= most else df
@@ -161,16 +172,15 @@ def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool =
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("key", F.hash("text"))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 6 << 20):
-            text, first, count, *hashes = paths(split_words(batch.column("text"), PLAIN), window, seed, salt)
-            pick = pa.array(text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pick), batch.column("key").take(pick), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), *(pa.array(x.view(np.int64)) for x in hashes)],
-                names=["doc_id", "key", "first", "n", "least", "content", "head", "tail"],
-            )
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, first, count, *hashes = paths(split_words(batch.column("text"), PLAIN), window, seed, salt)
+        pick = pa.array(text)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pick), batch.column("key").take(pick), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), *(pa.array(x.view(np.int64)) for x in hashes)],
+            names=["doc_id", "key", "first", "n", "least", "content", "head", "tail"],
+        )
 
-    every = base.mapInArrow(make, "doc_id long, key int, first int, n short, least long, content long, head long, tail long")
+    every = base.mapInArrow(by_slice(make), "doc_id long, key int, first int, n short, least long, content long, head long, tail long")
     # stored tables, so that joins with them can be broadcast, or split where a passage is in very many texts
     twice = cut(every.groupBy("least").agg(F.count("*").alias("total")).where("total > 1").select("least"))
     met, met_path = stored(every.join(few(twice, 3 * most_broadcast), "least"))  # a number a row
@@ -193,42 +203,41 @@ def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool =
         delete(docs.sparkSession, path)
     joined = base.join(of_text, base["doc_id"].eqNullSafe(of_text["id"]) & (base["key"] == of_text["k"]), "left").select("doc_id", "key", "text", "paths")
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 6 << 20):
-            w = split_words(batch.column("text"), PLAIN)
-            row, (first, n, whole, expand, unitig, content) = lists(batch.column("paths"))
-            first, n, whole, expand = first.astype(np.int64), n.astype(np.int64), whole.astype(bool), expand.astype(bool)
-            s_row, s_first, s_n, s_unitig = merged(row[whole], first[whole], n[whole], unitig[whole])
-            cut_, shas, kept = digest(w, s_row, s_first, s_n, window)
-            # the words at each place of a repeated path
-            words = w.vocab.to_numpy(zero_copy_only=False)[w.ids] if len(w.ids) else np.zeros(0, object)
-            at = np.flatnonzero(whole)
-            begin = w.starts[row[at]] + first[at]
-            digests = [hashlib.md5(" ".join(words[a:b]).encode(), usedforsecurity=False).digest() for a, b in zip(begin.tolist(), (begin + n[at] + window - 1).tolist(), strict=True)]
-            checks = pa.StructArray.from_arrays([pa.array(content[at], pa.int64()), pa.array(digests, pa.binary())], names=["content", "words"])
-            check_at = np.append(0, np.cumsum(np.bincount(row[at], minlength=batch.num_rows))).astype(np.int32)
-            unsure = np.zeros(batch.num_rows, bool)
-            unsure[row[~whole]] = True
-            h = word_hashes(w, salt)
-            full, other = rolled(h, window, STEP), rolled(h, window, STEP2)
-            e_row, e_n, once = np.repeat(row[expand], n[expand]), n[expand], np.repeat(~whole[expand], n[expand])
-            at = np.repeat(first[expand], e_n) + np.arange(int(e_n.sum())) - np.repeat(np.cumsum(e_n) - e_n, e_n)
-            place = w.starts[e_row] + at
-            order = np.argsort(e_row, kind="stable")
-            kmers = pa.StructArray.from_arrays(
-                [pa.array(at[order].astype(np.int32)), pa.array(once[order]), pa.array(full[place][order].view(np.int64)), pa.array(other[place][order].view(np.int64))], names=["at", "once", "h1", "h2"])
-            offsets = np.append(0, np.cumsum(np.bincount(e_row, minlength=batch.num_rows))).astype(np.int32)
-            spans = pa.StructArray.from_arrays([pa.array(s_first.astype(np.int32)), pa.array(s_n.astype(np.int32)), pa.array(s_unitig, pa.int32())], names=["first", "n", "unitig"])
-            span_at = np.append(0, np.cumsum(np.bincount(s_row, minlength=batch.num_rows))).astype(np.int32)
-            again = batch.column("text").take(pa.array(np.arange(batch.num_rows), mask=~unsure))  # null where all is known
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(w.counts), pa.array(cut_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept if with_text else [None] * len(kept), pa.string()),
-                 again, pa.ListArray.from_arrays(pa.array(span_at), spans), pa.ListArray.from_arrays(pa.array(offsets), kmers), pa.ListArray.from_arrays(pa.array(check_at), checks)],
-                names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept", "text", "spans", "kmers", "checks"],
-            )
+    def first_pass(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = split_words(batch.column("text"), PLAIN)
+        row, (first, n, whole, expand, unitig, content) = lists(batch.column("paths"))
+        first, n, whole, expand = first.astype(np.int64), n.astype(np.int64), whole.astype(bool), expand.astype(bool)
+        s_row, s_first, s_n, s_unitig = merged(row[whole], first[whole], n[whole], unitig[whole])
+        cut_, shas, kept = digest(w, s_row, s_first, s_n, window)
+        # the words at each place of a repeated path
+        words = w.vocab.to_numpy(zero_copy_only=False)[w.ids] if len(w.ids) else np.zeros(0, object)
+        at = np.flatnonzero(whole)
+        begin = w.starts[row[at]] + first[at]
+        digests = [hashlib.md5(" ".join(words[a:b]).encode(), usedforsecurity=False).digest() for a, b in zip(begin.tolist(), (begin + n[at] + window - 1).tolist(), strict=True)]
+        checks = pa.StructArray.from_arrays([pa.array(content[at], pa.int64()), pa.array(digests, pa.binary())], names=["content", "words"])
+        check_at = np.append(0, np.cumsum(np.bincount(row[at], minlength=batch.num_rows))).astype(np.int32)
+        unsure = np.zeros(batch.num_rows, bool)
+        unsure[row[~whole]] = True
+        h = word_hashes(w, salt)
+        full, other = rolled(h, window, STEP), rolled(h, window, STEP2)
+        e_row, e_n, once = np.repeat(row[expand], n[expand]), n[expand], np.repeat(~whole[expand], n[expand])
+        at = np.repeat(first[expand], e_n) + np.arange(int(e_n.sum())) - np.repeat(np.cumsum(e_n) - e_n, e_n)
+        place = w.starts[e_row] + at
+        order = np.argsort(e_row, kind="stable")
+        kmers = pa.StructArray.from_arrays(
+            [pa.array(at[order].astype(np.int32)), pa.array(once[order]), pa.array(full[place][order].view(np.int64)), pa.array(other[place][order].view(np.int64))], names=["at", "once", "h1", "h2"])
+        offsets = np.append(0, np.cumsum(np.bincount(e_row, minlength=batch.num_rows))).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(s_first.astype(np.int32)), pa.array(s_n.astype(np.int32)), pa.array(s_unitig, pa.int32())], names=["first", "n", "unitig"])
+        span_at = np.append(0, np.cumsum(np.bincount(s_row, minlength=batch.num_rows))).astype(np.int32)
+        again = batch.column("text").take(pa.array(np.arange(batch.num_rows), mask=~unsure))  # null where all is known
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("key"), pa.array(w.counts), pa.array(cut_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept if with_text else [None] * len(kept), pa.string()),
+             again, pa.ListArray.from_arrays(pa.array(span_at), spans), pa.ListArray.from_arrays(pa.array(offsets), kmers), pa.ListArray.from_arrays(pa.array(check_at), checks)],
+            names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept", "text", "spans", "kmers", "checks"],
+        )
 
     middle = "spans array<struct<first:int,n:int,unitig:int>>, kmers array<struct<at:int,once:boolean,h1:long,h2:long>>, checks array<struct<content:long,words:binary>>"
-    half, _ = stored(joined.mapInArrow(first_pass, f"doc_id long, key int, n_words long, n_removed long, kept_sha256 string, kept string, text string, {middle}"))
+    half, _ = stored(joined.mapInArrow(by_slice(first_pass), f"doc_id long, key int, n_words long, n_removed long, kept_sha256 string, kept string, text string, {middle}"))
     del of_text, joined
     release(docs.sparkSession)
     delete(docs.sparkSession, of_path)
@@ -244,12 +253,11 @@ def removed(docs: DataFrame, window: int = 35, seed: int = 16, with_text: bool =
     unsure = unsure.join(single, unsure["doc_id"].eqNullSafe(single["id"]) & (unsure["key"] == single["k"]), "left")
     unsure = unsure.select("doc_id", "text", F.concat("spans", F.coalesce("more", F.array().cast("array<struct<first:int,n:int,unitig:int>>"))).alias("spans"))
 
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 6 << 20):
-            w = split_words(batch.column("text"), PLAIN)
-            row, (first, n, _) = lists(batch.column("spans"))
-            cut_, shas, kept = digest(w, row, first.astype(np.int64), n.astype(np.int64), window)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w.counts), pa.array(cut_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+    def second_pass(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = split_words(batch.column("text"), PLAIN)
+        row, (first, n, _) = lists(batch.column("spans"))
+        cut_, shas, kept = digest(w, row, first.astype(np.int64), n.astype(np.int64), window)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w.counts), pa.array(cut_, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = half.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").union(unsure.mapInArrow(second_pass, FULL))
+    out = half.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").union(unsure.mapInArrow(by_slice(second_pass), FULL))
     return out if with_text else out.drop("kept")

@@ -7,7 +7,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 
-from corpusflow.llm import packing
+from corpusflow.llm import packing, substrings
 
 WORDS = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
 
@@ -62,3 +62,7 @@ def test_packing_lets_a_slice_go_before_the_next(worker, monkeypatch):
     run = worker(packing.packed)
     held(run, 1000)  # the tokenizer
     assert held(run, 400_000) < 0.5  # their ids alone are 1.6 MB
+
+
+def test_paths_of_a_slice_go_before_the_next(worker):
+    assert held(worker(substrings.removed), 400_000) < 0.5  # paths of 50 bytes for every ten words
