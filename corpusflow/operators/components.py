@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusflow.session import cut
 
+#: So many edges settle in one task each round; more are dealt to as many tasks as shuffles have partitions.
+FEW = 50_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b); component is the smallest id reachable.
@@ -15,15 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     A round's edges are checkpointed in the shared folder, so a lost executor costs one round at most.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    state = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    before = state(e)
+    together = (lambda x: x.coalesce(1)) if before.n <= FEW else (lambda x: x)  # minima and distinct rows of one partition need no shuffle
     while True:  # distances shrink by a constant factor at least, so the rounds are logarithmic
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = together(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = together(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))))
         e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        now = state(e)
         if now == before:
             break
         before = now
