@@ -15,7 +15,7 @@ from corpusflow.plans.queries import FRAC, LAT, LATIN, REASON, REC, SCRUB, SENT,
 from corpusflow.plans.queries import records as base_records
 from corpusflow.session import shared_dir, table
 from corpusflow.sources import readers, writers
-from corpusflow.sources.files import put_text
+from corpusflow.sources.files import exists, put_text
 from corpusflow.streaming import streams
 
 
@@ -360,8 +360,9 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Dat
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else number}")
 
     stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start().awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{path}/out")
-    return out.drop("batch")
+    if not exists(spark, f"{path}/out/*"):  # a stream without rows may give no batch
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").drop("batch")
 
 
 def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -399,5 +400,7 @@ def stream_near_dedup(spark, d):
     rows = streamed(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
     writer = streams.near_dedup_stream(rows, path).trigger(availableNow=True).option("checkpointLocation", f"{path}/state")
     writer.start().awaitTermination()
+    if not exists(spark, f"{path}/kept/*"):
+        return spark.createDataFrame([], "ord long")
     return spark.read.schema("ord long, text string, batch long").parquet(f"{path}/kept").select("ord")
 

@@ -16,6 +16,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(system.globStatus(p))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, system = _path(spark, path)
+    return bool(system.exists(p) and system.getFileStatus(p).isDirectory())
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small text file, folders included."""
     p, system = _path(spark, path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.operators import filters, neardup
 from corpusflow.session import cut
-from corpusflow.sources.files import exists
+from corpusflow.sources.files import exists, is_folder
 
 
 def curated_stream(records: DataFrame, min_fraction: float = 0.0, script: tuple[int, int] = T.TAMIL) -> DataFrame:
@@ -49,7 +49,7 @@ def near_dedup_stream(records: DataFrame, store: str, least: float = 0.85, perms
             # every kept row comes before the batch; what is close to one goes whatever its order value
             met = neardup.pairs_between(old, new, perms, least).select(F.col("b").alias("ord")).distinct()
             new = cut(new.join(met, "ord", "left_anti"))
-        kept = cut(neardup.greedy(new, neardup.pairs(new, perms, least)).where("dup_of is null").select("ord"))
+        kept = cut(neardup.settled(new, perms, least).where("dup_of is null").select("ord"))
         new.join(kept, "ord", "left_semi").write.mode("overwrite").parquet(f"{store}/signatures/batch={number}")
         rows.join(kept, "ord", "left_semi").write.mode("overwrite").parquet(f"{store}/kept/batch={number}")
 
@@ -64,5 +64,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return timed(events).withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def read_parquet_stream(spark: SparkSession, folder: str, schema, glob: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def read_parquet_stream(spark: SparkSession, folder: str, schema, name: str) -> DataFrame:
+    """A stream of the files of a folder that a name or pattern fits; a folder of that name gives its files."""
+    reader = spark.readStream.schema(schema)
+    if is_folder(spark, f"{folder}/{name}"):
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
