@@ -55,7 +55,7 @@ text = "text"
 
 @query(f"SELECT doc_id, sha256({NORM}) AS k, {NORM} = text AS unchanged FROM documents")
 def content_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.content_hash(text).alias("k"), (T.normal(text) == text).alias("unchanged"))
+    return table(spark, d, "documents").select("doc_id", T.content_hash(text).alias("k"), (T.normal(text) == F.col(text)).alias("unchanged"))
 
 
 @query(f"SELECT doc_id, left(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\x{{b80}}-\\x{{bff}}]', '', 'g'), 512) AS k FROM documents")
