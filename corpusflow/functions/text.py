@@ -143,7 +143,7 @@ def script_content(c: Column, least: float = 0.5, script: tuple[int, int] = TAMI
 
 def some_script(c: Column, more_than: float = 0.3, script: tuple[int, int] = TAMIL) -> Column:
     """Whether more than that share of all characters is in the script."""
-    return script_chars(c, script) > F.length(c) * F.lit(more_than)
+    return script_fraction(c, script) > more_than
 
 
 def quality_flags(c: Column, script: tuple[int, int] = TAMIL) -> Column:
