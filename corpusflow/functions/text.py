@@ -278,11 +278,9 @@ def convert_legacy(c: Column, convert: Callable[[str], str] | None = None, marke
     if convert is None:
         return c
 
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else convert(x))
-
-    return F.when(looks_legacy(c, marker, glyphs), run(c)).otherwise(c)
+    # only texts that look so are sent to Python
+    legacy = looks_legacy(c, marker, glyphs)
+    return F.when(legacy, texts(convert)(F.when(legacy, c))).otherwise(c)
 
 
 def declared_charset(content: Column) -> Column:

@@ -55,7 +55,7 @@ SOURCE_QUALITY = {"tn_govt_schemes": 0.9, "tamil_news_headlines": 0.7, "wikipedi
 
 def landed_pages(pages: DataFrame, qualities: dict[str, float] = SOURCE_QUALITY, min_length: int = 40, least: float = 0.5, script: tuple[int, int] = T.TAMIL, per_page: int | None = None) -> DataFrame:
     """Records of the paragraphs of stored pages (url, source, html) that are long and in the script; first of each id stays."""
-    found = html.paragraphs(pages, "html", min_length, least, script, per_page).where(T.script_content(F.col("text"), least, script))
+    found = html.paragraphs(pages, "html", max(1, min_length), least, script, per_page)
     table = F.create_map(*[F.lit(x) for pair in qualities.items() for x in pair])
     first = dedup.by_id(found.withColumn("ord", F.struct("url", "paragraph")).withColumn("id", short_id(F.col("text"))))
     return plain_records(first, F.coalesce(F.try_element_at(table, "source"), F.lit(0.5)))
