@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
+from corpusflow.session import cut
 
 
 def first_wins(df: DataFrame, key: Column | list[Column], order: str = "ord") -> DataFrame:
@@ -51,7 +52,7 @@ def best_quality(df: DataFrame, order: str = "ord", default: float = 1.0) -> Dat
 
 def exact_flags(df: DataFrame, order: str = "ord") -> DataFrame:
     """(ord, source, dup_of): dup_of is the order value of the row that it copies, null for kept rows."""
-    rows = df.select(order, F.coalesce("source", F.lit("unknown")).alias("source"), T.content_hash(F.coalesce("text", F.lit(""))).alias("_k"))
+    rows = cut(df.select(order, F.coalesce("source", F.lit("unknown")).alias("source"), T.content_hash(F.coalesce("text", F.lit(""))).alias("_k")))  # texts are read and hashed once
     firsts = rows.groupBy("_k").agg(F.min(order).alias("_first"))
     return rows.join(firsts, "_k").select(order, "source", F.when(F.col("_first") < F.col(order), F.col("_first")).alias("dup_of"))
 

@@ -108,7 +108,7 @@ def best_quality_dedup(spark, d):
 
 @query(f"SELECT source, count(*) AS seen, count(*) FILTER (WHERE ord > f) AS duplicates, count(*) FILTER (WHERE ord = f) AS kept FROM (SELECT source, doc_id AS ord, min(doc_id) OVER (PARTITION BY sha256({NORM})) f FROM documents) GROUP BY source")
 def dedup_source_stats(spark, d):
-    return dedup.source_stats(dedup.exact_flags(records(spark, d)))
+    return dedup.source_stats(dedup.exact_flags(table(spark, d, "documents").withColumnRenamed("doc_id", "ord")))
 
 
 REASON = """CASE WHEN length(text) < 20 THEN 'too_short' WHEN length(text) > 10000 THEN 'too_long' WHEN coalesce(quality_score, 0.5) < 0.5 THEN 'low_quality_score'
