@@ -210,9 +210,11 @@ def any_word(words: list[str], whole: bool = True, strict: bool = True) -> str:
     """A pattern for any of the words, between word edges if whole. strict: Python's edges, which see combining marks
     as outside words; else edges at the ends of letter-and-mark runs."""
     body = "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
+    plain = words and all(w and w == re.escape(w) for w in words)
+    first = f"(?=[{''.join(sorted({w[0] for w in words}))}])" if plain else ""  # passes over places where none begins
     if not whole:
-        return body
-    return PYB + body + PYB if strict else rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){body}(?![\p{{L}}\p{{M}}\p{{N}}_])"
+        return first + body
+    return first + PYB + body + PYB if strict else rf"{first}(?<![\p{{L}}\p{{M}}\p{{N}}_]){body}(?![\p{{L}}\p{{M}}\p{{N}}_])"
 
 
 def marker_score(c: Column, groups: list[tuple[int, str]], cap: int = 5) -> Column:
@@ -246,10 +248,11 @@ def style_class(c: Column, old: list[str], new: list[str]) -> Column:
     return F.when(is_old & is_new, "mixed").when(is_old, "old").when(is_new, "modern").otherwise("neutral")
 
 
-EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
+#: A match begins where a run of its characters does, or where the match before it ends.
+EMAIL = r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++@[a-z0-9.-]+\.[a-z]{2,}"
 LINK = rf"(?i)https?://(?:(?!{WS})[\s\S])+|www\.(?:(?!{WS})[\s\S])+"
 _SEP = rf"(?:[-.]|{WS})?"
-PHONE = rf"(?:(?:\+?91{_SEP})|{PYB})(?:\p{{Nd}}{{4,5}}{_SEP})?\p{{Nd}}{{3,4}}{_SEP}\p{{Nd}}{{4}}{PYB}"
+PHONE = rf"(?=[+\p{{Nd}}])(?:(?:\+?91{_SEP})|{PYB})(?:\p{{Nd}}{{4,5}}{_SEP})?\p{{Nd}}{{3,4}}{_SEP}\p{{Nd}}{{4}}{PYB}"
 
 
 def scrub(c: Column) -> Column:

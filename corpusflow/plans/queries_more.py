@@ -76,8 +76,10 @@ for _h in markers.STICKY_HEADERS:
 
 @query(f"{MIXED}, c AS (SELECT doc_id, trim(regexp_replace({HEADED}, '{WS}+', ' ', 'g'), ' ') AS text FROM m) SELECT doc_id AS ord, sha256(text) AS h FROM c WHERE length(text) >= 20 QUALIFY row_number() OVER (PARTITION BY left(text, 200) ORDER BY doc_id) = 1")
 def tamil_sticky_headers(spark, d):
-    rows = mixed(spark, d).select(F.col("doc_id").alias("ord"), T.strip_prefixes(F.col("text"), markers.STICKY_HEADERS).alias("text")).where("length(text) >= 20")
-    return dedup.by_prefix(rows, 200).select("ord", F.sha2("text", 256).alias("h"))
+    # told once of each text; a squeezed text's first 201 characters give its key of 200
+    one = T.let(T.strip_prefixes(F.col("text"), markers.STICKY_HEADERS), lambda t: F.struct(F.length(t).alias("n"), F.sha2(t, 256).alias("h"), F.substring(t, 1, 201).alias("text")))
+    rows = cut(mixed(spark, d).select(F.col("doc_id").alias("ord"), one.alias("x")).select("ord", "x.*")).where("n >= 20")
+    return dedup.by_prefix(rows, 200).select("ord", "h")
 
 
 @query(f"{MIXED} SELECT doc_id AS ord, {three(TFRAC)} AS fraction FROM m WHERE {TFRAC} >= 0.02")
