@@ -318,7 +318,7 @@ def write_nested_export(spark, d):
 def write_grouped_manifests(spark, d):
     path = landing(spark)
     writers.grouped(report.manifests(table(spark, d, "conversations"), F.col("conv_id"), "turn").drop("topics"), path)
-    return spark.read.json(path).select(F.col("work_id").cast("long").alias("work_id"), "n_pages", F.sha2("text", 256).alias("h"))
+    return spark.read.schema("work_id long, n_pages long, text string").json(path).select("work_id", "n_pages", F.sha2("text", 256).alias("h"))
 
 
 @query("SELECT line FROM (SELECT '| source | records |' AS line UNION ALL SELECT '|-|-|' UNION ALL SELECT '| ' || source || ' | ' || n || ' |' FROM (SELECT source, count(*) n FROM documents GROUP BY 1))")

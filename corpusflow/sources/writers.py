@@ -41,8 +41,16 @@ def nested_export(df: DataFrame, min_quality: float = 0.0) -> DataFrame:
     return split_by_id(kept).select("id", "text", F.struct("source", url.alias("url"), topics.alias("topics"), "quality_score").alias("meta"), "split")
 
 
-def grouped(df: DataFrame, path: str, key: str = "work_id") -> None:
-    df.write.mode("overwrite").partitionBy(key).json(path)
+def grouped(df: DataFrame, path: str, key: str = "work_id", folders: int | None = 256) -> None:
+    """A line for each group, the key in it, in order in folders by the key's hash; None: a folder for each group.
+
+    A folder for each group costs some ms to write and to list again, so it is for corpora of few works.
+    """
+    if folders is None:
+        df.write.mode("overwrite").partitionBy(key).json(path)
+    else:
+        dealt = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(folders)))
+        dealt.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def readme(stats: DataFrame) -> str:
