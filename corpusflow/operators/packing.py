@@ -32,7 +32,7 @@ def pack(docs: DataFrame, tokens: str, size: int, bos: int = 1, eos: int = 2, or
     """
     if size < 2:
         raise ValueError("sequences need two tokens at least")
-    rows = docs.select(order, F.concat(F.array(F.lit(bos)), F.col(tokens), F.array(F.lit(eos))).alias("_ids"))
+    rows = cut(docs.select(order, F.concat(F.array(F.lit(bos)), F.col(tokens), F.array(F.lit(eos))).alias("_ids")))  # tokens are told once
     at = offsets(rows, F.size("_ids"), order)
     met = rows.join(at, order)
     first, last = F.floor(F.col("offset") / size), F.floor((F.col("offset") + F.col("length") - 1) / size)

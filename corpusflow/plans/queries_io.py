@@ -342,7 +342,7 @@ SELECT *, 'uint16' AS dtype, (SELECT count(*) FROM q) * 128 AS n_tokens FROM q""
 def write_binary_shard(spark, d):
     """Packed sequences through the binary sink, its manifest, and back."""
     path = landing(spark)
-    ids = base_records(spark, d).select("ord", F.transform(_tokens(text), lambda w: F.length(w)).alias("ids"))
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.transform(_tokens(text), lambda w: F.length(w)).alias("ids"))
     writers.binary_shard(packing.pack(ids, "ids", 128), path, 128, 40_000)
     manifest = spark.read.json(f"{path}/manifest").first()
     total = F.aggregate(F.transform("tokens", lambda x, i: (x * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from corpusflow.operators.packing import manifest, token_width
 from corpusflow.operators.select import drop_transient, split_by_id
@@ -66,14 +68,12 @@ def binary_shard(packed: DataFrame, path: str, size: int, vocab_size: int) -> No
     """
     kind = token_width(vocab_size)
 
-    @F.pandas_udf("binary")
-    def raw(s: pd.Series) -> pd.Series:
-        def one(x):
-            if len(x) != size:
-                raise ValueError("a sequence has another length")
-            return np.asarray(x).astype(np.dtype(kind).newbyteorder("<")).tobytes()
-
-        return s.map(one)
+    @F.arrow_udf(BinaryType())
+    def raw(a: pa.Array) -> pa.Array:
+        if not pc.all(pc.equal(pc.list_value_length(a), size), min_count=0).as_py():
+            raise ValueError("a sequence has another length")
+        ids = a.flatten().to_numpy(zero_copy_only=False).astype(np.dtype(kind).newbyteorder("<")).reshape(-1, size)
+        return pa.array([x.tobytes() for x in ids], pa.binary())
 
     packed.select("seq_id", raw("tokens").alias("raw")).write.mode("overwrite").parquet(f"{path}/sequences")
     manifest(packed, size, vocab_size).write.mode("overwrite").json(f"{path}/manifest")
@@ -82,9 +82,9 @@ def binary_shard(packed: DataFrame, path: str, size: int, vocab_size: int) -> No
 def read_binary_shard(spark, path: str) -> DataFrame:
     m = spark.read.json(f"{path}/manifest").first()
 
-    @F.pandas_udf("array<int>")
-    def ids(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: np.frombuffer(b, np.dtype(m["dtype"]).newbyteorder("<")).astype(np.int32).tolist())
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def ids(a: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(b, np.dtype(m["dtype"]).newbyteorder("<")).astype(np.int32) for b in a.to_pylist()], pa.list_(pa.int32()))
 
     return spark.read.parquet(f"{path}/sequences").select("seq_id", ids("raw").alias("tokens"))
 
