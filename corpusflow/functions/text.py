@@ -2,8 +2,8 @@
 
 White space, word characters and word edges follow Python's Unicode rules, which neither Java's nor RE2's shorthand
 classes match. Every script-specific function takes its code-point range; the default is the Tamil block.
-Lengths and substrings count code points. Expressions stay inside code generation; only Unicode normalisation needs
-Arrow batches, since Spark has no function for it.
+Lengths and substrings count code points. Expressions stay inside the JVM, Unicode normalisation by Spark's own ICU;
+only callers' own functions of a text take Arrow batches.
 """
 
 from __future__ import annotations
